@@ -31,6 +31,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/rillgrid-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
+    jvm.System.gc()  # shuffle files of what has been written go with the driver's references to them
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

@@ -129,13 +129,17 @@ def rolling(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * down[: n - k + 1], seed)
 
 
-def group_hash(h: np.ndarray, offs: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A hash of each group's sequence of hashes; groups are h[offs[i]:offs[i + 1]]."""
+def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each span's sequence of hashes, spans anywhere in h."""
     up, down = _power(len(h) + 1)
     total = np.zeros(len(h) + 1, U64)
     np.cumsum(h * up[: len(h)], out=total[1:])
-    body = (total[offs[1:]] - total[offs[:-1]]) * down[offs[:-1]]
-    return mix(body + mix(np.diff(offs).astype(U64), seed + 1), seed)
+    return mix((total[ends] - total[starts]) * down[starts] + mix((ends - starts).astype(U64), seed + 1), seed)
+
+
+def group_hash(h: np.ndarray, offs: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each group's sequence of hashes; groups are h[offs[i]:offs[i + 1]]."""
+    return span_hash(h, offs[:-1], offs[1:], seed)
 
 
 def per_group(x: np.ndarray, offs: np.ndarray) -> np.ndarray:
