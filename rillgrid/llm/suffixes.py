@@ -44,10 +44,14 @@ def suffix_array(s: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(s)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    wide = np.concatenate([s.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for k in range(7):  # bytes from 1 to 256 in 9 bits each: 7 of them in 63 bits
-        key = (key << np.uint64(9)) | np.where(left > k, wide[k : k + n], np.uint64(0))
+    # eight bytes at a time; UTF-8 has no byte 0xFF, so that bytes from 1 leave 0 for what is beyond the end
+    wide = np.concatenate([s + np.uint8(1), np.zeros(16, np.uint8)])
+    key = np.empty(n, np.uint64)
+    for k in range(8):
+        part = key[k::8]
+        part[:] = wide[k : k + 8 * len(part)].view(">u8")
+    tail = np.flatnonzero(left < 8)
+    key[tail] &= ~((np.uint64(1) << (8 * (8 - left[tail])).astype(np.uint64)) - np.uint64(1))
     order = np.argsort(key)
     k = key[order]
     new = np.ones(n, bool)
@@ -58,12 +62,10 @@ def suffix_array(s: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarra
     size = np.diff(np.append(begin, n))
     # places in the array whose group has several suffixes
     open_ = np.flatnonzero(np.repeat(size > 1, size))
-    have = 7
+    have = 8
     while have < depth and len(open_):
         i = order[open_]
-        on = left[i] > have
-        after = np.zeros(len(i), np.int64)
-        after[on] = rank[i[on] + have] + 1
+        after = np.where(left[i] > have, rank[np.minimum(i + have, n - 1)] + 1, 0)
         key = rank[i] * (n + 2) + after
         by = np.argsort(key)
         order[open_] = i = i[by]
@@ -180,7 +182,7 @@ def _finish(window: int, with_text: bool):
     return finish
 
 
-def dedup(docs: DataFrame, window: int = 400, gram: int = 32, hot: int = 4_000, shard_mb: float = 4.0, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 400, gram: int = 32, hot: int = 4_000, shard_mb: float = 1.0, with_text: bool = False) -> DataFrame:
     """Removes every byte of a `window`-byte string that starts anywhere else too.
 
     One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and `kept` if with_text.

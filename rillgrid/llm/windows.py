@@ -7,14 +7,16 @@ meet, though no task sees all documents:
 1. Documents of equal content are one class; only its smallest doc_id goes on.
 2. A window's anchor is the gram of `gram` units with the smallest hash in it, the leftmost of
    equals.  Equal windows have equal anchors at equal places.  Neighbouring windows mostly share
-   theirs, so a document has about 2 / (window - gram) anchors a unit.
-3. An anchor that stands once (or in one document, if only other documents count) rules out its
-   windows.  Of the others, a segment is cut for each run of windows, and dealt to shards by the
-   anchor's hash.
-4. Anchors of more than `hot` segments are dealt over several shards.  There a window without a
-   partner may have one in another shard of the anchor; it's passed on by fingerprint.
-
-Nothing is dropped: anchors only rule out windows that can't have a partner.
+   theirs, so a document has about 2 / (window - gram) anchors a unit.  A window holds at least
+   half of its other units on one side of the anchor, at its end or else its start; the anchor
+   with that half is the window's key.
+3. A key that stands once (or in one document, if only other documents count) rules out its
+   windows.  Of the others, a segment is cut for each run of windows with one key, and dealt to
+   shards by the key.
+4. Keys of more than `hot` segments are dealt over several shards.  There a window without a
+   partner may have one in another shard of the key; it's passed on by fingerprint.
+
+Nothing is dropped: keys only rule out windows that can't have a partner.
 """
 
 from __future__ import annotations
@@ -61,25 +63,29 @@ def least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: document, first window, windows after the last, and the anchor's place and hash.
+    """Runs of windows with one key: document, first window, the one after the last, and the key.
 
     Windows are numbered by their first unit in the whole batch.
     """
     none = np.zeros(0, np.int64)
     if len(h) < window:
-        return none, none, none, none, np.zeros(0, U64)
+        return none, none, none, np.zeros(0, U64)
+    half = (window - gram) // 2
     g = tx.rolling(h, gram, 5)
     place = (least((g & _MASK) | np.arange(len(g), dtype=U64), window - gram + 1) & ~_MASK).astype(np.int64)
     own = tx.owners(firsts)
-    ok = own[: len(place)] == own[window - 1 :][: len(place)]
-    at = np.flatnonzero(ok)
+    at = np.flatnonzero(own[: len(place)] == own[window - 1 :][: len(place)])
     if not len(at):
-        return none, none, none, none, np.zeros(0, U64)
+        return none, none, none, np.zeros(0, U64)
+    place = place[at]
+    before = place - at >= half
     new = np.ones(len(at), bool)
-    new[1:] = (place[at][1:] != place[at][:-1]) | (own[at][1:] != own[at][:-1])
+    new[1:] = (place[1:] != place[:-1]) | (before[1:] != before[:-1]) | (own[at][1:] != own[at][:-1])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(at)) - 1
-    return own[at[begin]], at[begin], at[end] + 1, place[at[begin]], g[place[at[begin]]]
+    place, before = place[begin], before[begin]
+    key = tx.span_hash(h, place - half * before, place + gram + half * ~before, 23) ^ np.where(before, U64(0), U64(0x5851F42D4C957F2D))
+    return own[at[begin]], at[begin], at[end] + 1, key
 
 
 def outline(docs: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
@@ -89,7 +95,7 @@ def outline(docs: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
         for batch in batches:
             for part in tx.slabs(batch, "text"):
                 h, firsts, _, _ = units.split(*tx.buffers(part.column("text")))
-                doc, _, _, _, anchor = anchors(h, firsts, window, gram)
+                doc, _, _, anchor = anchors(h, firsts, window, gram)
                 order = np.lexsort((anchor, doc))
                 doc, anchor = doc[order], anchor[order]
                 new = np.ones(len(doc), bool)
@@ -114,7 +120,7 @@ def _segments(units: Units, window: int, gram: int, hot: int):
             for part in tx.slabs(batch, "text"):
                 buf, offs = tx.buffers(part.column("text"))
                 h, firsts, starts, ends = units.split(buf, offs)
-                doc, low, high, _, anchor = anchors(h, firsts, window, gram)
+                doc, low, high, anchor = anchors(h, firsts, window, gram)
                 lists = part.column("anchors")
                 known = lists.flatten().to_numpy().view(np.uint64) ^ tx.mix(np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()), 15)
                 if not len(doc) or not len(known):
