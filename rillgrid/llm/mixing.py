@@ -103,3 +103,11 @@ def mix(docs: DataFrame, block: int = 16, shard_words: int = 200_000, seed: str
     rest = F.col("words") - passes * F.col("shard_size")
     extra = F.least(F.greatest(rest - before, F.lit(0)), F.col("size"))
     return chosen.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + extra).cast("long").alias("taken"), "source", "shard")
+
+
+def choose(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs of which the mix takes words, with size, source_size, target and taken."""
+    names = ["size", "source_size", "target", "taken"]
+    part = mix(docs, **how).filter("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(*[F.max(c).alias(f"_{c}") for c in names])
+    free = {c: c if c not in docs.columns else f"mix_{c}" for c in names}
+    return docs.join(part, docs["doc_id"] == part["_id"]).select(*[docs[c] for c in docs.columns], *[F.col(f"_{c}").alias(free[c]) for c in names])

@@ -156,3 +156,12 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows:
     named = rep.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return named.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def keep(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs whose doc_id is its component's smallest, all columns; of rows that share a doc_id, one.
+
+    The ids of the others go to the rows in a join by doc_id.
+    """
+    gone = dedup(docs, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.dropDuplicates(["doc_id"]).join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")

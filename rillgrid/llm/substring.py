@@ -163,7 +163,7 @@ def shard(window: int):
         yield report(*spread(x, *runs(seg[gone], rel[gone])))
         stay = ~gone & x["salted"][seg]
         if stay.any():
-            yield unsettled(x, h, firsts[seg[stay]] + rel[stay], seg[stay], rel[stay], window)
+            yield unsettled(x, h, firsts[seg[stay]] + rel[stay], seg[stay], rel[stay], window, False)
 
     return searched
 

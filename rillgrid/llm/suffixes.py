@@ -139,7 +139,7 @@ def shard(window: int):
             at = offs[seg[seen]] + rel[seen]
             alone = ~gone[seen]
             alone[np.unique(tx.rolling(h, window, 21)[at], return_index=True)[1]] = True
-            yield unsettled(x, h, at[alone], seg[seen[alone]], rel[seen[alone]], window)
+            yield unsettled(x, h, at[alone], seg[seen[alone]], rel[seen[alone]], window, True)
 
     return searched
 
@@ -182,7 +182,7 @@ def _finish(window: int, with_text: bool):
     return finish
 
 
-def dedup(docs: DataFrame, window: int = 400, gram: int = 32, hot: int = 4_000, shard_mb: float = 1.0, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 400, gram: int = 32, hot: int = 4_000, shard_mb: float = 0.5, with_text: bool = False) -> DataFrame:
     """Removes every byte of a `window`-byte string that starts anywhere else too.
 
     One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and `kept` if with_text.

@@ -40,6 +40,8 @@ class Units:
 
     def __init__(self, by_word: bool):
         self.by_word = by_word
+        # bytes of text at a time: a byte's unit takes as much memory as a word's
+        self.slab = tx.CHUNK if by_word else tx.CHUNK // 4
 
     def split(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if self.by_word:
@@ -93,7 +95,7 @@ def outline(docs: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
 
     def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.slabs(batch, "text"):
+            for part in tx.slabs(batch, "text", units.slab):
                 h, firsts, _, _ = units.split(*tx.buffers(part.column("text")))
                 doc, _, _, anchor = anchors(h, firsts, window, gram)
                 order = np.lexsort((anchor, doc))
@@ -117,7 +119,7 @@ def _segments(units: Units, window: int, gram: int, hot: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.slabs(batch, "text"):
+            for part in tx.slabs(batch, "text", units.slab):
                 buf, offs = tx.buffers(part.column("text"))
                 h, firsts, starts, ends = units.split(buf, offs)
                 doc, low, high, anchor = anchors(h, firsts, window, gram)
@@ -164,9 +166,9 @@ def report(doc_id, first, last, f1=None, f2=None) -> pa.RecordBatch:
     )
 
 
-def unsettled(x: dict, h: np.ndarray, at: np.ndarray, row: np.ndarray, rel: np.ndarray, window: int) -> pa.RecordBatch:
-    """Windows at `at` of h, the rel-th of their segments, by fingerprint, at all their places."""
-    n = x["times"][row]
+def unsettled(x: dict, h: np.ndarray, at: np.ndarray, row: np.ndarray, rel: np.ndarray, window: int, once: bool) -> pa.RecordBatch:
+    """Windows at `at` of h, the rel-th of their segments, by fingerprint, at all their places or once each."""
+    n = np.ones(len(row), np.int64) if once else x["times"][row]
     pick = np.repeat(x["cut"][row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     first = x["firsts"][pick] + np.repeat(rel, n)
     f1, f2 = (np.repeat(tx.rolling(h, window, k)[at], n) for k in (21, 22))
