@@ -16,7 +16,7 @@ ARTICLES = ("a", "an", "the")
 def first_tag(text: Column, tag: str = "answer") -> Column:
     """What stands in the first pair of tags, in any case and over lines; null without one."""
     pattern = rf"(?is)<{tag}>(.*?)</{tag}>"
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.trim(F.regexp_extract(text, pattern, 1)))
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^\s+|\s+$", ""))
 
 
 def last_tag(text: Column, tag: str = "answer") -> Column:

@@ -62,9 +62,9 @@ def whiten(df: DataFrame, value: str, mask: str | None = None, shift_mean: bool
     """
     m = F.lit(1.0) if mask is None else F.col(mask).cast("double")
     x = F.when(m > 0, F.col(value))
-    stats = df.agg(F.avg(x).alias("_m"), F.var_samp(x).alias("_v"))
-    w = (F.col(value) - F.col("_m")) / F.sqrt(F.col("_v") + eps)
-    return df.join(F.broadcast(stats)).withColumn(out, w if shift_mean else w + F.col("_m")).drop("_m", "_v")
+    stats = df.agg(F.avg(x).alias("_white_m"), F.var_samp(x).alias("_white_v"))
+    w = (F.col(value) - F.col("_white_m")) / F.sqrt(F.col("_white_v") + eps)
+    return df.join(F.broadcast(stats)).withColumn(out, w if shift_mean else w + F.col("_white_m")).drop("_white_m", "_white_v")
 
 
 def group_mean_baseline(df: DataFrame, group: list[str], score: str, out: str = "advantage") -> DataFrame:

@@ -25,7 +25,7 @@ def _backward(df: DataFrame, seq: list[str], order: list[str], columns: list[str
     row = F.array_sort(F.collect_list(F.struct(*order, *columns, F.struct(*df.columns).alias("_row"))))
     packed = df.groupBy(*seq).agg(row.alias("_t"))
     solve = F.pandas_udf(step, "array<double>")
-    packed = packed.withColumn("_x", solve(*[F.transform(F.col("_t"), lambda r, c=c: r[c].cast("double")) for c in columns]))
+    packed = packed.withColumn("_x", solve(*[F.col(f"_t.{c}").cast("array<double>") for c in columns]))
     one = packed.select(F.explode(F.arrays_zip(F.col("_t._row").alias("row"), F.col("_x").alias("x"))).alias("_z"))
     return one.select("_z.row.*", F.col("_z.x").alias(out))
 

@@ -161,10 +161,10 @@ def rloo_advantage(spark, d):
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, count(*) OVER w AS n, sum(l_discount * l_quantity) OVER w / sum(l_quantity) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey))
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_discount - CASE WHEN n > 1 THEN b ELSE 0.0 END, 6) + 0.0 AS advantage FROM s""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_discount - CASE WHEN n > 1 THEN b ELSE 0.0 END, 9) + 0.0 AS advantage FROM s""")
 def opo_advantage(spark, d):
     out = advantages.length_weighted(table(spark, d, "lineitem"), ["l_orderkey"], "l_discount", "l_quantity")
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6("advantage").alias("advantage"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.round("advantage", 9) + F.lit(0.0)).alias("advantage"))
 
 
 @query(f"""WITH e AS ({_GROUPS}), s AS (SELECT event_id, value - CASE WHEN count(*) {_W} > 1 THEN avg(value) {_W} ELSE 0.0 END AS x FROM e), a AS (SELECT avg(x) AS m, var_samp(x) AS v FROM s)
@@ -190,10 +190,10 @@ _NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_OR
 
 
 @query(f"""WITH n AS ({_NUMBERED})
-SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, a.l_shipdate, round(sum(b.l_quantity * power(0.9, b.t - a.t)), 6) AS return_
+SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, a.l_shipdate, round(sum(b.l_quantity * power(0.9, b.t - a.t)), 9) AS return_
 FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND b.t >= a.t GROUP BY a.l_orderkey, a.t, a.l_linenumber, a.l_partkey, a.l_suppkey, a.l_shipdate""")
 def reinforce_discounted(spark, d):
-    return sequences.discounted_return(_tokens(spark, d), ["l_orderkey"], _TOK, "l_quantity", 0.9).select("l_orderkey", *_TOK, r6("return_").alias("return_"))
+    return sequences.discounted_return(_tokens(spark, d), ["l_orderkey"], _TOK, "l_quantity", 0.9).select("l_orderkey", *_TOK, F.round("return_", 9).alias("return_"))
 
 
 @query(f"""WITH n AS ({_NUMBERED}), x AS (SELECT *, l_discount + 0.99 * coalesce(lead(l_tax) OVER (PARTITION BY l_orderkey ORDER BY t), 0) - l_tax AS delta FROM n)
@@ -416,7 +416,7 @@ def tool_turn_collapse(spark, d):
     return sequences.collapse_runs(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role", ["assistant"])
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(translate(text, '‘’“”–—−', '''''""---'), '\s+', ' ', 'g'))) AS digest FROM documents")
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(translate(replace(text, '…', '...'), '‘’“”–—− ', '''''""--- '), '\s+', ' ', 'g'))) AS digest FROM documents""")
 def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(answers.ascii_normalise(F.col("text"))).alias("digest"))
 
