@@ -7,9 +7,12 @@ similarity s shares one with probability 1 - (1 - s**rows)**bands, at 0.8 and 40
 but 1.3e-7.  Documents of equal sets are one class and only its smallest doc_id is compared.
 
 Buckets aren't expanded into pairs.  First each document is compared with a few of its buckets'
-leaders, drawn by hash; components of the links found so far mostly settle a bucket.  Then the
-pairs of a bucket that still stand in different components, and are of like size, are compared:
-so no link between two components is lost, and a pair within one adds nothing.
+leaders, the documents with the most company; components of the links found so far mostly settle a
+bucket.  For buckets of several components, each document's shingles that no other such document
+has are counted: they bound its similarity with any.  Documents are compared once more with the
+leaders that have the fewest of their own, and at last in pairs of one bucket, different components and
+a bound that reaches the threshold: so no link between components is lost, and a pair within
+one would add nothing.
 
 Cases: a null or empty text, or one of white space, has an empty set and links with nothing; a
 text of fewer words than a shingle has one shingle, the whole; rows that share a doc_id count as
@@ -121,37 +124,72 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, n: int, sha
     return rows.mapInArrow(compared, "u long, v long")
 
 
+def own_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, own): how many of a document's shingles stand in no other of the documents `ids`."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.slabs(batch, "text"):
+                g, offs = sets(part, k)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.repeat(part.column("doc_id").to_numpy(), np.diff(offs)))], ["shingle", "doc_id"])
+
+    rows = docs.join(ids, "doc_id").mapInArrow(listed, "shingle long, doc_id long")
+    once = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id = last")
+    return once.groupBy("doc_id").agg(F.count("*").alias("own"))
+
+
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, leaders: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reached by links), kept."""
     bounded_batches(docs.sparkSession)
     docs = texts(docs)
-    n = partitions(docs, 8)
+    n = partitions(docs, 4)
     seen = stage(_outline(docs, k, bands, rows), "signatures")
     classes = seen.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")).filter("members > 1")
     later = stage(seen.filter("n_shingles > 0").select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "classes")
     alone = seen.filter("n_shingles > 0").join(later, "doc_id", "left_anti").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band")).distinct()
-    # a bucket's leader is drawn by hash, so that a large group has another one in each band
-    buckets = alone.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("doc_id", "band").alias("draw"), "doc_id", "n")).alias("lead")).filter("members > 1")
-    met = stage(alone.join(buckets, "band").select("band", "doc_id", "n", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets")
-
-    def alike(x: str, y: str):
-        return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-
-    star = met.filter("doc_id <> lead").filter(alike("n", "lead_n")).groupBy(F.col("doc_id").alias("b"), F.col("lead").alias("a")).agg(F.count("*").alias("shared"))
-    pick = Window.partitionBy("b").orderBy(F.col("shared").desc(), F.xxhash64("a", "b"), "a")
-    tried = stage(star.withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= leaders).select("a", "b"), "tried")
-    links = stage(confirm(tried, docs, k, percent, n), "links")
-    part = components(links)
-    # what is left: pairs of a bucket in different components
-    at = met.select("band", "doc_id", "n").join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    mixed = at.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band")
-    at = stage(at.join(mixed, "band"), "mixed")
-    left, right = at.toDF("band", "a", "a_n", "a_c"), at.toDF("band", "b", "b_n", "b_c")
-    rest = left.join(right, "band").filter("a < b AND a_c <> b_c").filter(alike("a_n", "b_n")).select("a", "b").distinct()
-    rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stage(confirm(stage(rest, "rest"), docs, k, percent, n), "more")
+    buckets = alone.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+    met = stage(alone.join(buckets, "band"), "buckets")
+
+    def star(at: DataFrame, worth: str, fit) -> DataFrame:
+        """Each document with the first leaders of its buckets, by their worth; a leader is its bucket's worthiest, ties by a hash."""
+        lead = at.groupBy("band").agg(F.max(F.struct(worth, F.xxhash64("doc_id").alias("draw"), *[c for c in at.columns if c not in ("band", worth)])).alias("l"))
+        pairs = at.join(lead, "band").filter(F.col("doc_id") != F.col("l.doc_id")).filter(fit)
+        pairs = pairs.groupBy(F.col("doc_id").alias("b"), F.col("l.doc_id").alias("a")).agg(F.max(f"l.{worth}").alias("w"))
+        first = Window.partitionBy("b").orderBy(F.col("w").desc(), F.xxhash64("a", "b"), "a")
+        return pairs.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders).select("a", "b")
+
+    def reaches(both, size_a, size_b):
+        return both * 100 >= (size_a + size_b - both) * percent
+
+    # a group's least changed document shares the most buckets with the others
+    popular = met.groupBy("doc_id").agg(F.sum("members").alias("popular"))
+    size = F.least("n", "l.n")
+    tried = stage(star(met.join(popular, "doc_id").select("band", "doc_id", "n", "popular"), "popular", reaches(size, F.col("n"), F.col("l.n"))), "tried")
+    part = components(stage(confirm(tried, docs, k, percent, n), "links"))
+
+    def mixed(at: DataFrame, part: DataFrame) -> DataFrame:
+        """Buckets that still have several components."""
+        named = at.join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+        several = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band")
+        return stage(named.join(several, "band"), "mixed")
+
+    # what stands in no other of the documents left can't be shared, which bounds a pair's similarity
+    at = mixed(met.select("band", "doc_id", "n"), part)
+    own = stage(own_shingles(docs, at.select("doc_id").distinct(), k), "own")
+    at = at.join(own, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).withColumn("share", F.col("common") / F.col("n")).drop("own")
+    at = stage(at.filter(reaches(F.col("common"), F.col("n"), F.col("common"))), "open")
+    fit = reaches(F.least("common", "l.common"), F.col("n"), F.col("l.n")) & (F.col("c") != F.col("l.c"))
+    more = stage(confirm(stage(star(at, "share", fit), "tried2"), docs, k, percent, n), "links2")
+    joined = lambda part, more: components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    if not more.isEmpty():
+        part = joined(part, more)
+    # then all pairs of different components that can reach the threshold
+    at = mixed(at.drop("c"), part)
+    left, right = (at.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "common", "c")], F.col("doc_id").alias(x)) for x in "ab")
+    rest = left.join(right, "band").filter("a < b AND a_c <> b_c").filter(reaches(F.least("a_common", "b_common"), F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
+    more = stage(confirm(stage(rest, "rest"), docs, k, percent, n), "links3")
     if not more.isEmpty():
-        part = components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+        part = joined(part, more)
     rep = seen.select("doc_id", "n_shingles").join(later, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     named = rep.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
