@@ -1,0 +1,259 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from rillgrid.llm import decontaminate, extraction, language_model, licences, mixing, pii, quality
+
+from . import data
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, data.SCHEMA)
+
+
+def texts(spark, *xs):
+    return frame(spark, [(i, x, "en", "s", 0, "b", "g", 1, 2, 3, 4) for i, x in enumerate(xs)])
+
+
+def brute_counts(t):
+    w = [x.decode() for x in data.words(t)]
+    lines = [x for x in (t or "").split("\n") if data.words(x)]
+    seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = {i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    n = len(w)
+    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit), n < 50 or 100 * len(hit) > 50 * n
+
+
+def test_quality_counts(spark):
+    rows = data.documents() + [(1000, "a\nb\n\na\n \na", "en", "s", 0, *[None] * 6), (1001, "# * é\n# * é\n", "fr", "s", 0, *[None] * 6)]
+    got = {r.doc_id: tuple(r[1:7]) for r in quality.judge(frame(spark, rows)).collect()}
+    assert got == {r[0]: brute_counts(r[1]) for r in rows}
+    assert quality.judge(frame(spark, [])).count() == 0
+
+
+def test_quality_keeps_prose_and_rejects_junk(spark):
+    rng = random.Random(5)
+    function = "the of and to in a is that it for on was be with as by".split()
+    word = lambda: rng.choice(function) if rng.random() < 0.5 else "".join(rng.choice("etaoinshr") for _ in range(6))
+    prose = [" ".join(word() for _ in range(120)).capitalize() + "." for _ in range(40)]
+    junk = [" | ".join(word() for _ in range(120)), "!! ".join(word().upper() for _ in range(120)), "### ".join(word() + "%%%" for _ in range(120))]
+    docs = texts(spark, *prose, *junk)
+    assert [r.kept for r in quality.judge(docs).orderBy("doc_id").collect()] == [True] * 40 + [False] * 3
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns and kept.count() == 40
+
+
+def test_distance():
+    p, q = np.array([[1.0, 3.0], [0, 0], [1, 0]]), np.array([[1.0, 3.0], [1, 1], [0, 1]])
+    assert quality.distance(p, q) == pytest.approx([0, 0, 1])
+
+
+def test_licences(spark):
+    docs = texts(spark, None, "", "Licensed under the Apache License, Version 2.0.", "MIT\nLicense MIT license", "gnu general public license", "CC BY-NC 4.0", "x Released under the MIT License.", "permission is hereby granted, free of charge", "apache licence")
+    got = {r.doc_id: tuple(r[1:]) for r in licences.scan(docs).collect()}
+    assert got[0] == got[1] == (0, 0, None, None, "", "", 0.0)
+    assert got[2][:6] == (8, 1, 3, 3, "apache", "apache,apache-2.0")
+    assert got[3][1:5] == (2, 0, 2, "mit")
+    assert got[4][1:5] == (1, 0, 0, "gpl")
+    assert got[5][4] == "cc-by" and "cc-by-nc-4.0" in got[5][5]
+    assert got[6][5] == "mit" and 0 < got[6][6] <= 1
+    assert got[7][4:6] == ("", "mit")
+    assert got[8][4:6] == ("", "")
+    assert licences.scan(frame(spark, [])).count() == 0
+
+
+def test_decontamination(spark):
+    rng = random.Random(2)
+    w = [f"t{i}" for i in range(3000)]
+    item = rng.sample(w, 40)
+    prose = lambda k: rng.sample(w, k)
+    moved = item[20:] + prose(30) + item[:20]
+    docs = texts(spark, None, "", " ".join(prose(100)), " ".join(prose(50) + item + prose(500)).upper(), ", ".join(moved), " ".join(item[:12] + prose(40)), "a b c")
+    bench = spark.createDataFrame([(7, " ".join(item), "x"), (8, None, "x"), (9, "", "x"), (10, "a b c", "x"), (11, " ".join(item), "x")], "item_id long, text string, doc_id string")
+    for block in (8.0, 0.0001):
+        got = {r.doc_id: (r.contaminated, r["items"]) for r in decontaminate.flag(docs, bench, block_mb=block).collect()}
+        assert got == {0: (False, []), 1: (False, []), 2: (False, []), 3: (True, [7, 11]), 4: (True, [7, 11]), 5: (False, []), 6: (True, [10])}
+        kept = decontaminate.clean(docs, bench, block_mb=block)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 5}
+    assert decontaminate.flag(frame(spark, []), bench).count() == 0
+    assert not decontaminate.flag(docs, bench.limit(0)).filter("contaminated").count()
+
+
+def test_tiles_are_greedy():
+    assert sorted(decontaminate.tile([(10, 0, 0), (8, 5, 20), (5, 15, 40)], 20, 3)) == [(3, 10, 25), (5, 15, 40), (10, 0, 0)]
+    assert decontaminate.tile([(4, 0, 0), (4, 0, 9)], 4, 4) == [(4, 0, 0)]
+
+
+PAGE = '<html><head><title>T &amp; t</title><style>p{}</style></head><body><nav><ul><li>menu</li></ul></nav><div class="ad">buy</div><article><h1>Head &eacute;</h1><p><b>one<br><p>two  <i>th</i>ree\n&lt;x&gt; 1 &#60; 2</p><!-- no --><script>var t="</p>";</script><div class="comments">say</div><aside>side</aside></article><footer>&copy; foot</footer></body></html>'
+
+
+def test_extraction(spark):
+    expected = "Head é one two three <x> 1 < 2"
+    assert extraction.extract(PAGE) == expected
+    assert extraction.extract(PAGE.replace("</article>", "").replace("</body></html>", "")) == expected
+    assert extraction.extract(PAGE.replace("</nav>", "").replace("</ul>", "")) == expected
+    plain = PAGE.replace("<article>", '<div class="story">').replace("</article>", "</div>")
+    other = plain.replace("two", "other words " * 5)
+    rows = [(1, "http://a.example.com/1", PAGE), (2, "http://b.example.com/1", plain), (3, "http://b.example.com/2", other), (4, None, None), (5, "http://a.example.com/2", ""), (6, "x", "no markup &amp; none"), (6, "x", "no markup &amp; none")]
+    pages = spark.createDataFrame([(*r, "t", "h") for r in rows], "page_id long, url string, html string, slot string, host string")
+    got = [tuple(r) for r in extraction.main_text(pages).orderBy("page_id").collect()]
+    assert got[0] == (1, "http://a.example.com/1", expected, len(expected))
+    assert got[1][2] == expected and got[2][2] == expected.replace("two", ("other words " * 5).strip())
+    assert got[3] == (4, None, "", 0) and got[4][2:] == ("", 0)
+    assert got[5] == got[6] == (6, "x", "no markup & none", 16)
+    assert extraction.main_text(pages.limit(0)).count() == 0
+    slots = {r.host: (r.pages, r.slot) for r in extraction.templates(pages.select("page_id", "html", extraction.host(F.col("url")).alias("host"))).collect()}
+    assert slots["b.example.com"] == (2, "/html/body/div.story")
+
+
+def test_pii(spark):
+    key = "k"
+    known = ["joe.x@mail.example.com", "10.0.0.255", "+1 (743) 555-3824", "(212) 867-5309", "123-45-6789", "4012888888881881", "1234 5678 9012 3456", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "GB82 WEST 1234 5698 7654 32", "Mrs. Anna Smith", "Herr Meier", "г-н Иванов"]
+    docs = texts(spark, None, "", "clean text 1.2 and 2024, v1.2.3.4.5", *[f"see {e}, and {e}!" for e in known], f"all: {' ; '.join(known)}")
+    got = {r.doc_id: r for r in pii.surrogates(docs, key).collect()}
+    assert (got[0].text, got[0].n_entities, got[1].text, got[2].n_entities, got[2].text) == (None, 0, "", 0, "clean text 1.2 and 2024, v1.2.3.4.5")
+    new = []
+    for i, e in enumerate(known):
+        r = got[3 + i]
+        assert r.n_entities == 2 and e not in r.text
+        a, b = re.fullmatch(r"see (.*), and (.*)!", r.text).groups()
+        assert a == b  # coreference
+        new.append(a)
+    assert got[3 + len(known)].text == f"all: {' ; '.join(new)}"
+    assert len(set(new)) == len(known)
+    assert re.fullmatch(r"\+1 \(\d{3}\) 555-\d{4}", new[2]) and re.fullmatch(r"\d{3}-\d{2}-\d{4}", new[4]) and re.fullmatch(r"(\d{4} ){3}\d{4}", new[6]) and re.fullmatch(r"[0-9a-f]{40}", new[7])
+    assert new[9].startswith("Mrs. ") and new[9].split()[1] in pii.GIVEN["f", "latin"] and re.fullmatch(r"г-н [А-Яа-я]+", new[11])
+
+    def luhn(d):
+        return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10
+
+    assert luhn(new[5]) == 0 and luhn(known[5]) == 0
+    again = pii.replace(docs, key)
+    assert again.columns == docs.columns and {r.doc_id: r.text for r in again.collect()} == {d: r.text for d, r in got.items()}
+    assert {r.text for r in pii.surrogates(docs, "other").filter("doc_id = 5").collect()} != {got[5].text}
+    assert pii.surrogates(frame(spark, [])).count() == 0
+
+
+def test_permutations_have_no_collisions(spark):
+    n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    got = [r[0] for r in n.select(pii._digits("k", "t", F.col("d"))).collect()]
+    assert sorted(got) == [f"{i:03d}" for i in range(1000)] and got != sorted(got)
+
+
+def test_pii_collisions_are_mended(spark, monkeypatch):
+    """With one syllable in all, family names collide; the later ones get longer ones."""
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["bal", "bor"])
+    names = [f"Mr. {a}{b}{c}" for a in "ABCDEFGH" for b in "aeiou" for c in "lmn"]
+    docs = texts(spark, *[f"{n} met {n}" for n in names])
+    got = {r.doc_id: r.text.split(" met ") for r in pii.surrogates(docs, "k").collect()}
+    assert all(a == b for a, b in got.values())
+    assert len({a for a, _ in got.values()}) == len(names)
+
+
+def targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, free, out = sum(sizes.values()), set(order), {}
+    while True:
+        left = total - sum(3 * sizes[s] for s in order if s not in free)
+        share = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / share > 3 * sizes[s]}
+        if not over:
+            break
+        free -= over
+    for s in order:
+        out[s] = left * weight[s] / share if s in free else 3.0 * sizes[s]
+    return out
+
+
+def test_mixing(spark):
+    rows = data.documents(120)
+    got = mixing.mix(frame(spark, rows), shard_words=2000).collect()
+    source = {r[0]: r[3] for r in rows}
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(data.words(r[1]))
+    want = targets(sizes)
+    taken = Counter()
+    for r in got:
+        s = source[r.doc_id]
+        taken[s] += r.taken
+        assert (r.size, r.source_size) == (len(data.words(dict((x[0], x[1]) for x in rows)[r.doc_id])), sizes[s])
+        assert r.target == pytest.approx(want[s]) and 0 <= r.taken <= 3 * r.size
+    for s, t in want.items():
+        assert taken[s] == pytest.approx(t, rel=0.02, abs=16)
+    again = mixing.mix(frame(spark, rows).repartition(5), shard_words=2000).collect()
+    assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in got}
+    assert mixing.mix(frame(spark, [])).count() == 0
+    chosen = mixing.choose(frame(spark, rows))
+    assert chosen.columns[:11] == frame(spark, rows).columns and chosen.count() == sum(r.taken > 0 for r in got)
+
+
+def test_capped_targets(spark):
+    rows = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 20), (None, 3), ("d", 500)], "source string, source_size long")
+    want = targets({"a": 10, "b": 1000, "c": 20, None: 3, "d": 500})
+    assert {r.source: r.target for r in mixing.targets(rows).collect()} == pytest.approx(want)
+
+
+def test_sainte_lague(spark):
+    votes = {"a": 53, "b": 24, "c": 23, "d": 0, "e": 7}
+    seats, won = 20, Counter()
+    for _ in range(seats):
+        won[max(votes, key=lambda k: (votes[k] / (2 * won[k] + 1), -ord(k)))] += 1
+    rows = spark.createDataFrame([(k, v, seats) for k, v in votes.items()], "p string, v long, s long")
+    assert {r.p: r.quota for r in mixing.apportion(rows, [], "v", "s", ["p"]).collect()} == {k: won[k] for k in votes}
+
+
+def test_language_model(spark):
+    rng = random.Random(4)
+    langs = [[f"{p}{i}" for i in range(12)] for p in ("ae", "zo")]
+    rows = [(i, None if i == 5 else "" if i == 6 else " ".join(rng.choice(langs[i % 2]).upper() if k % 9 else f"rare{rng.randrange(9999)}" for k in range(80))) for i in range(200)]
+    docs = frame(spark, [(*r, "en", "s", 0, *[None] * 6) for r in rows])
+    held = {i for i, _ in rows if __import__("zlib").crc32(str(i).encode()) % 5 == 1}
+    c = Counter()
+    for i, t in rows:
+        if i not in held:
+            c.update([w.lower() for w in (t or "").split()] + ["</s>"])
+    n, v = sum(c.values()), len(c)
+    for table in (1 << 18, 64):
+        got = {r.doc_id: r for r in language_model.score(docs, table=table).collect()}
+        for i, t in rows:
+            tokens = [w.lower() for w in (t or "").split()] + ["</s>"]
+            r = got[i]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, len(tokens), sum(c[w] > 0 for w in tokens), n)
+            assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
+            assert r.score < 0
+        assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
+    assert language_model.score(frame(spark, [])).count() == 0
+
+
+def test_model_is_normalised():
+    p = language_model.start()
+    every = np.arange(language_model.CLASSES)
+    before = np.tile(np.array([3, 5, 8, 1]), (len(every), 1))
+    assert np.exp(language_model.log_probabilities(p, every, before)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_long_text_is_whole(spark):
+    t = "word " * 400_000 + "end"
+    docs = texts(spark, t)
+    assert quality.judge(docs).first().n_words == 400_001
+    assert licences.scan(docs).first().n_words == 400_001
+    assert hashlib.sha256(pii.surrogates(docs).first().text.encode()).hexdigest() == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_arrow_slices():
+    from rillgrid.llm import text as tx
+
+    column = pa.array(["a b", None, "é  c", "", "dd"]).slice(1, 4)
+    buf, offs = tx.buffers(column)
+    starts, ends, firsts = tx.words(buf, offs)
+    assert [buf[a:b].tobytes().decode() for a, b in zip(starts, ends)] == ["é", "c", "dd"]
+    assert firsts.tolist() == [0, 0, 2, 2, 3]
