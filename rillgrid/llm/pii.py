@@ -3,6 +3,7 @@
 Entities are found by one pattern of alternatives; the text between them stays as it is.  Each is
 replaced by a keyed surrogate of its own type and format, the same one wherever it stands:
 
+- texts without a digit, an @, a quotation mark or a title hold none and pass by;
 - numbers (cards, phones, social security and IP addresses) go through a keyed permutation of all
   numbers of their length, a Feistel network, so different ones stay different; separators, country
   codes, a fictional 555 exchange and whether a card's check digit is right are kept;
@@ -21,6 +22,7 @@ other columns, whatever their names, are kept by replace() and ignored by the qu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,18 +41,32 @@ GIVEN = {
 SYLLABLES = {"latin": "bal bor cal dan del fen gal har kel lan mar nor pel ran sol tam".split(), "cyrillic": "бал бор вал дан дел фен гал кар кел лан мар нор пел ран сол там".split()}
 
 _TITLE = "|".join(t for g in ("f", "m") for t in TITLES[g])
-#: Type and pattern, in the order in which they're tried at a place.
+#: Type and pattern, in the order in which they're tried at a place; all start where no letter or digit stands before.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\d.-])\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?![\d-])|(?<![0-9A-Za-z])\d{13,16}(?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])|(?<=(?:token|secret|password|api_key|apikey) ?[=:] ?\")[!#-~]{8,200}(?=\")",
-    "name": rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{L}})",
+    "email": r"(?<![._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "phone": r"(?<!\+)\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<!-)\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?<![.-])\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3})(?![\d-])|\d{13,16}(?![0-9A-Za-z])",
+    "secret": r"(?=[0-9a-f]{32})(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])|(?:token|secret|password|api_key|apikey) ?[=:] ?\"[!#-~]{8,200}(?=\")",
+    "name": rf"(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{L}})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+ANY = rf"(?<![\p{{L}}\d])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
+#: A character that Unicode keeps out of texts; it's put around entities.
+MARK = "\ufdd0"
+
+
+def suspicious(text: Column) -> Column:
+    """False for texts that can't hold an entity: without a digit, an @, a quotation mark or a title."""
+    return reduce(lambda c, t: c | F.contains(text, F.lit(t)), TITLES["f"] + TITLES["m"], text.rlike(r'[0-9@"]'))
+
+
+def pieces(text: Column) -> Column:
+    """text cut at its entities: what stands at odd places (from 0) is one.  A mark in the text itself is doubled meanwhile."""
+    safe = F.replace(text, F.lit(MARK), F.lit("\ufdd1\ufdd2"))
+    cut = F.transform(F.split(F.regexp_replace(safe, ANY, f"{MARK}$0{MARK}"), MARK, -1), lambda p: F.replace(p, F.lit("\ufdd1\ufdd2"), F.lit(MARK)))
+    return F.when(suspicious(text), cut).otherwise(F.array(text))
 
 
 def _digest(key: str, what: str, *parts: Column) -> Column:
@@ -62,31 +78,49 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 14), 16, 10).cast("long")
 
 
-def permute(key: str, what: str, left: Column, right: Column, left_size: Column, right_size: Column, rounds: int = 6) -> tuple[Column, Column]:
-    """A keyed permutation of pairs of numbers below the two sizes: a Feistel network with sums."""
-    for r in range(0, rounds, 2):
-        left = F.pmod(left + F.pmod(_number(_digest(key, f"{what}{r}", right)), left_size), left_size)
-        right = F.pmod(right + F.pmod(_number(_digest(key, f"{what}{r + 1}", left)), right_size), right_size)
-    return left, right
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often it's used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def permute(key: str, what: str, left: Column, right: Column, left_size: Column, right_size: Column, then: Callable[[Column, Column], Column], rounds: int = 6) -> Column:
+    """then() of a keyed permutation of pairs of numbers below the two sizes: a Feistel network with sums."""
+
+    def step(r: int, left: Column, right: Column) -> Column:
+        if r == rounds:
+            return then(left, right)
+        new_left = F.pmod(left + F.pmod(_number(_digest(key, f"{what}{r}", right)), left_size), left_size)
+        new_right = lambda x: F.pmod(right + F.pmod(_number(_digest(key, f"{what}{r + 1}", x)), right_size), right_size)
+        return let(new_left, lambda x: let(new_right(x), lambda y: step(r + 2, x, y)))
+
+    return let(left, lambda x: let(right, lambda y: step(0, x, y)))
 
 
 def _digits(key: str, what: str, digits: Column) -> Column:
     """A permutation of all strings of as many digits, of which there are 2 to 18."""
-    n = F.length(digits)
-    a = F.floor(n / 2).cast("int")
-    size = [F.pow(F.lit(10.0), x).cast("long") for x in (a, n - a)]
-    left, right = permute(key, what, digits.substr(F.lit(1), a).cast("long"), digits.substr(a + 1, n - a).cast("long"), *size)
-    return F.concat(F.lpad(left.cast("string"), a, "0"), F.lpad(right.cast("string"), n - a, "0"))
+
+    def of(d: Column) -> Column:
+        n = F.length(d)
+        a = F.floor(n / 2).cast("int")
+        size = [F.pow(F.lit(10.0), x).cast("long") for x in (a, n - a)]
+        joined = lambda x, y: F.concat(F.lpad(x.cast("string"), a, "0"), F.lpad(y.cast("string"), n - a, "0"))
+        return permute(key, what, d.substr(F.lit(1), a).cast("long"), d.substr(a + 1, n - a).cast("long"), *size, joined)
+
+    return let(digits, of)
 
 
 def _refill(shape: Column, fill: Column) -> Column:
     """shape with its digits replaced, in order, by those of fill."""
-    step = F.aggregate(
-        F.split(shape, ""),
-        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda s, c: F.when(c.rlike(r"^\d$"), F.struct(F.concat(s["out"], fill.substr(s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))),
-    )
-    return step["out"]
+
+    def filled(f: Column) -> Column:
+        step = F.aggregate(
+            F.split(shape, ""),
+            F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+            lambda s, c: F.when(c.between("0", "9"), F.struct(F.concat(s["out"], f.substr(s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))),
+        )
+        return step["out"]
+
+    return let(fill, filled)
 
 
 def _luhn(digits: Column) -> Column:
@@ -96,46 +130,48 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(key: str, e: Column) -> Column:
-    all_ = F.regexp_replace(e, r"\D", "")
-    body, last = all_.substr(F.lit(1), F.length(all_) - 1), F.substring(all_, -1, 1).cast("int")
-    new = _digits(key, "card", body)
-    # a right check digit stays right, a wrong one as wrong as it was
-    check = F.pmod(_luhn(new) + last - _luhn(body), F.lit(10))
-    return _refill(e, F.concat(new, check.cast("string")))
+    def of(d: Column) -> Column:
+        body, last = d.substr(F.lit(1), F.length(d) - 1), F.substring(d, -1, 1).cast("int")
+        # a right check digit stays right, a wrong one as wrong as it was
+        check = lambda new: F.pmod(_luhn(new) + last - _luhn(body), F.lit(10))
+        return let(_digits(key, "card", body), lambda new: _refill(e, F.concat(new, check(new).cast("string"))))
+
+    return let(F.regexp_replace(e, r"\D", ""), of)
 
 
 def _phone(key: str, e: Column) -> Column:
     country = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .(-])", 0)
+
+    def of(rest: Column, d: Column) -> Column:
+        # the exchange 555 is no one's and stays
+        fictional = d.rlike(r"^\d{3}555\d{4}$")
+        free = F.when(fictional, F.concat(F.substring(d, 1, 3), F.substring(d, 7, 4))).otherwise(d)
+        back = lambda new: F.when(fictional, F.concat(F.substring(new, 1, 3), F.lit("555"), F.substring(new, 4, 4))).otherwise(new)
+        return let(_digits(key, "phone", free), lambda new: F.concat(country, _refill(rest, back(new))))
+
     rest = e.substr(F.length(country) + 1, F.length(e) - F.length(country))
-    all_ = F.regexp_replace(rest, r"\D", "")
-    n = F.length(all_)
-    # the exchange 555 is no one's and stays
-    fictional = all_.rlike(r"^\d{3}555\d{4}$")
-    free = F.when(fictional, F.concat(F.substring(all_, 1, 3), F.substring(all_, 7, 4))).otherwise(all_)
-    new = _digits(key, "phone", free)
-    back = F.when(fictional, F.concat(F.substring(new, 1, 3), F.lit("555"), F.substring(new, 4, 4))).otherwise(new)
-    return F.concat(country, _refill(rest, F.lpad(back, n, "0")))
+    return let(rest, lambda r: let(F.regexp_replace(r, r"\D", ""), lambda d: of(r, d)))
 
 
 def _ip(key: str, e: Column) -> Column:
-    part = F.transform(F.split(e, r"\."), lambda x: x.cast("long"))
     size = F.lit(1 << 16).cast("long")
-    left, right = permute(key, "ip", part[0] * 256 + part[1], part[2] * 256 + part[3], size, size)
-    return F.concat_ws(".", F.floor(left / 256), left % 256, F.floor(right / 256), right % 256)
+    part = F.transform(F.split(e, r"\."), lambda x: x.cast("long"))
+    written = lambda x, y: F.concat_ws(".", F.floor(x / 256), x % 256, F.floor(y / 256), y % 256)
+    return let(part, lambda p: permute(key, "ip", p[0] * 256 + p[1], p[2] * 256 + p[3], size, size, written))
 
 
 def _classes(e: Column, digest: Column) -> Column:
     """e with letters and digits replaced by others of their class, from as many digests as e needs."""
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(e) / 32).cast("int")), lambda i: F.sha2(F.concat(digest, i.cast("string")), 256)), "")
-    hexadecimal = e.rlike(r"^[0-9a-f]+$")
 
-    def letter(c: Column, i: Column) -> Column:
-        x = F.conv(stream.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        return (
-            F.when(c.rlike("^[0-9]$"), F.chr(48 + x % 10)).when(c.rlike("^[a-z]$"), F.chr(97 + x % 26)).when(c.rlike("^[A-Z]$"), F.chr(65 + x % 26)).otherwise(c)
-        )
+    def of(stream: Column, e: Column) -> Column:
+        def letter(c: Column, i: Column) -> Column:
+            x = lambda n, first: let(F.conv(stream.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int"), lambda v: F.chr(first + v % n))
+            return F.when(c.between("0", "9"), x(10, 48)).when(c.between("a", "z"), x(26, 97)).when(c.between("A", "Z"), x(26, 65)).otherwise(c)
+
+        return F.when(e.rlike(r"^[0-9a-f]+$"), stream.substr(F.lit(1), F.length(e))).otherwise(F.array_join(F.transform(F.split(e, ""), letter), ""))
 
-    return F.when(hexadecimal, stream.substr(F.lit(1), F.length(e))).otherwise(F.array_join(F.transform(F.split(e, ""), letter), ""))
+    stream = lambda d, e: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(e) / 32).cast("int")), lambda i: F.sha2(F.concat(d, i.cast("string")), 256)), "")
+    return let(e, lambda x: let(digest, lambda d: let(stream(d, x), lambda s: of(s, x))))
 
 
 def _email(key: str, e: Column, attempt: Column) -> Column:
@@ -147,46 +183,53 @@ def _email(key: str, e: Column, attempt: Column) -> Column:
 
 
 def _name(key: str, e: Column, attempt: Column) -> Column:
-    words = F.split(e, " ")
-    title = words[0]
-    female = F.regexp_replace(title, r"\.$", "").isin(TITLES["f"])
-    person = F.concat_ws(" ", F.slice(words, 2, 2))
-    digest = _digest(key, "name", person, attempt)
-    x = lambda at: F.conv(F.substring(digest, at, 2), 16, 10).cast("int")
+    def of(words: Column, digest: Column) -> Column:
+        title = words[0]
+        female = F.regexp_replace(title, r"\.$", "").isin(TITLES["f"])
+        byte = lambda at: F.conv(digest.substr(at, F.lit(2)), 16, 10).cast("int")
 
-    def in_script(script: str) -> Column:
-        given = F.element_at(F.when(female, F.array(*map(F.lit, GIVEN["f", script]))).otherwise(F.array(*map(F.lit, GIVEN["m", script]))), x(1) % 8 + 1)
-        parts = F.array(*map(F.lit, SYLLABLES[script]))
-        family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), 4 + 2 * attempt), lambda i: F.element_at(parts, F.conv(digest.substr(i * 2 + 3, F.lit(2)), 16, 10).cast("int") % len(SYLLABLES[script]) + 1)), ""))
-        return F.when(F.size(words) > 2, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
+        def in_script(script: str) -> Column:
+            given = F.element_at(F.when(female, F.array(*map(F.lit, GIVEN["f", script]))).otherwise(F.array(*map(F.lit, GIVEN["m", script]))), byte(F.lit(1)) % 8 + 1)
+            parts = F.array(*map(F.lit, SYLLABLES[script]))
+            family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), 4 + 2 * attempt), lambda i: F.element_at(parts, byte(i * 2 + 3) % len(SYLLABLES[script]) + 1)), ""))
+            return F.when(F.size(words) > 2, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
 
-    return F.when(person.rlike(r"\p{IsCyrillic}"), in_script("cyrillic")).otherwise(in_script("latin"))
+        return F.when(e.rlike(r"\p{IsCyrillic}"), in_script("cyrillic")).otherwise(in_script("latin"))
+
+    return let(F.split(e, " "), lambda w: let(_digest(key, "name", F.concat_ws(" ", F.slice(w, 2, 2)), attempt), lambda d: of(w, d)))
 
 
 def kind(e: Column) -> Column:
     """The type of an entity: the first pattern that takes it whole."""
-    whole = {k: p.split("|(?<=(?:token")[0] if k == "secret" else p for k, p in PATTERNS.items()}
+    whole = {k: p if k != "secret" else p.replace('(?=\\")', "") for k, p in PATTERNS.items()}
     return reduce(lambda c, k: c.when(e.rlike(f"^(?:{whole[k]})$"), F.lit(k)), whole, F.when(F.lit(False), F.lit(""))).otherwise(F.lit("secret"))
 
 
+def _secret(key: str, e: Column, attempt: Column) -> Column:
+    before = F.regexp_extract(e, r'^(?:\w+ ?[=:] ?\")?', 0)
+    value = e.substr(F.length(before) + 1, F.length(e) - F.length(before))
+    return F.concat(before, _classes(value, _digest(key, "secret", value, attempt)))
+
+
 def surrogate(e: Column, key: str, attempt: Column | None = None) -> Column:
     """The replacement of an entity; attempts after 0 are for those that collided."""
     attempt = F.lit(0) if attempt is None else attempt
-    k = kind(e)
-    return (
-        F.when(k == "email", _email(key, e, attempt))
+    return let(
+        kind(e),
+        lambda k: F.when(k == "email", _email(key, e, attempt))
         .when(k == "ip", _ip(key, e))
         .when(k == "phone", _phone(key, e))
         .when(k == "ssn", _refill(e, _digits(key, "ssn", F.regexp_replace(e, r"\D", ""))))
         .when(k == "card", _card(key, e))
         .when(k == "name", _name(key, e, attempt))
-        .otherwise(_classes(e, _digest(key, "secret", e, attempt)))
+        .otherwise(_secret(key, e, attempt)),
     )
 
 
 def corrections(docs: DataFrame, key: str, attempts: int = 8) -> DataFrame:
     """(entity, replacement) of entities whose first surrogate is another's, each with one of its own."""
-    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("entity")).distinct()
+    cut = docs.filter(suspicious(F.col("text"))).select(pieces(F.col("text")).alias("p"))
+    found = cut.select(F.explode(F.filter("p", lambda p, i: i % 2 == 1)).alias("entity")).distinct()
     now = found.select("entity", F.lit(0).alias("attempt"), surrogate(F.col("entity"), key).alias("replacement"))
     now = stage(now, "surrogates")
     for k in range(1, attempts):
@@ -202,7 +245,8 @@ def corrections(docs: DataFrame, key: str, attempts: int = 8) -> DataFrame:
 
 def replace(docs: DataFrame, key: str = "rillgrid") -> DataFrame:
     """docs with entities in `text` replaced, all other columns as they were."""
-    return _replaced(docs, key).select(*docs.columns)
+    inner = docs.withColumnRenamed("_found", "_found_") if "_found" in docs.columns else docs
+    return _replaced(inner, key).select(*inner.columns).toDF(*docs.columns)
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -212,20 +256,19 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def _replaced(docs: DataFrame, key: str) -> DataFrame:
-    """docs with `text` replaced and the entities and their kinds in two further columns."""
-    entities, wrong = _free(docs, "_entities"), _free(docs, "_wrong")
-    docs_ = docs.withColumn("text", F.col("text").cast("string"))
-    late = corrections(docs_.select("text"), key)
-    text = F.col("text")
-    found = docs_.withColumn(entities, F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
-    new = F.transform(F.col(entities), lambda e: surrogate(e, key))
+    """docs with `text` replaced and the entities in one more column, the last."""
+    parts, wrong = _free(docs, "_pieces"), _free(docs, "_wrong")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    late = corrections(docs.select("text"), key)
+    found = docs.withColumn(parts, pieces(F.col("text")))
+    entities = F.filter(F.col(parts), lambda p, i: i % 2 == 1)
+    mend = lambda p: surrogate(p, key)
     if not late.isEmpty():
-        with_wrong = found.select("doc_id", F.explode(entities).alias("entity")).distinct().join(late, "entity").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "replacement"))).alias(wrong))
-        found = found.join(with_wrong, "doc_id", "left")
-        new = F.transform(F.col(entities), lambda e: F.coalesce(F.col(wrong)[e], surrogate(e, key)))
-    between = F.split(text, ANY, -1)
-    joined = F.concat(between[0], F.array_join(F.zip_with(F.slice(between, 2, F.size(F.col(entities))), new, lambda gap, s: F.concat(s, gap)), ""))
-    return found.withColumn("text", F.when(F.size(F.col(entities)) > 0, joined).otherwise(text)).withColumn(_free(docs, "_found"), F.col(entities))
+        hit = found.select("doc_id", F.explode(entities).alias("entity")).distinct().join(late, "entity").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "replacement"))).alias(wrong))
+        found = found.join(hit, "doc_id", "left")
+        mend = lambda p: F.coalesce(F.col(wrong)[p], surrogate(p, key))
+    new = F.array_join(F.transform(F.col(parts), lambda p, i: F.when(i % 2 == 1, mend(p)).otherwise(p)), "")
+    return found.withColumn("text", F.when(F.size(F.col(parts)) > 1, new).otherwise(F.col("text"))).withColumn("_found", F.coalesce(entities, F.array().cast("array<string>"))).drop(parts, wrong)
 
 
 def surrogates(docs: DataFrame, key: str = "rillgrid") -> DataFrame:
