@@ -27,18 +27,20 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return new.filter("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link and none to a node that has a link of its own."""
+    sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    node = sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    return node.filter("up > 1 OR up = 1 AND root = 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of each node of links (u, v): the smallest node that it reaches.
 
     Each round links larger neighbours to the smallest of the neighbourhood and then smaller ones,
-    until nothing changes; every component is then a star around its smallest node.
+    until every component is a star around its smallest node.
     """
     edges = stage(links.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).filter("u <> v").distinct(), "edges")
-    mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-    before = None
-    while True:
-        now = edges.agg(mark.alias("m")).first()["m"]
-        if now == before or now[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
+    while not _settled(edges):
         edges = stage(_star(stage(_star(edges, False), "large"), True), "small")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

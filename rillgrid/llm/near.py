@@ -6,13 +6,12 @@ half the hash evaluations.  Bands of `rows` values deal documents to buckets; a
 similarity s shares one with probability 1 - (1 - s**rows)**bands, at 0.8 and 40 bands of 5 all
 but 1.3e-7.  Documents of equal sets are one class and only its smallest doc_id is compared.
 
-Buckets aren't expanded into pairs.  First each document is compared with a few of its buckets'
-leaders, the documents with the most company; components of the links found so far mostly settle a
-bucket.  For buckets of several components, each document's shingles that no other such document
-has are counted: they bound its similarity with any.  Documents are compared once more with the
-leaders that have the fewest of their own, and at last in pairs of one bucket, different components and
-a bound that reaches the threshold: so no link between components is lost, and a pair within
-one would add nothing.
+Buckets aren't expanded into pairs.  Each document's shingles that no other document in a bucket
+has are counted: they bound its similarity with any.  A bucket's leader is the document with the
+smallest share of its own, a group's least changed one; first each document is compared with a
+few of its buckets' leaders, and the components of these links mostly settle a bucket.  At last
+come pairs of one bucket, different components and a bound that reaches the threshold: so no link
+between components is lost, and a pair within one would add nothing.
 
 Cases: a null or empty text, or one of white space, has an empty set and links with nothing; a
 text of fewer words than a shingle has one shingle, the whole; rows that share a doc_id count as
@@ -150,46 +149,28 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows:
     buckets = alone.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     met = stage(alone.join(buckets, "band"), "buckets")
 
-    def star(at: DataFrame, worth: str, fit) -> DataFrame:
-        """Each document with the first leaders of its buckets, by their worth; a leader is its bucket's worthiest, ties by a hash."""
-        lead = at.groupBy("band").agg(F.max(F.struct(worth, F.xxhash64("doc_id").alias("draw"), *[c for c in at.columns if c not in ("band", worth)])).alias("l"))
-        pairs = at.join(lead, "band").filter(F.col("doc_id") != F.col("l.doc_id")).filter(fit)
-        pairs = pairs.groupBy(F.col("doc_id").alias("b"), F.col("l.doc_id").alias("a")).agg(F.max(f"l.{worth}").alias("w"))
-        first = Window.partitionBy("b").orderBy(F.col("w").desc(), F.xxhash64("a", "b"), "a")
-        return pairs.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders).select("a", "b")
-
     def reaches(both, size_a, size_b):
         return both * 100 >= (size_a + size_b - both) * percent
 
-    # a group's least changed document shares the most buckets with the others
-    popular = met.groupBy("doc_id").agg(F.sum("members").alias("popular"))
-    size = F.least("n", "l.n")
-    tried = stage(star(met.join(popular, "doc_id").select("band", "doc_id", "n", "popular"), "popular", reaches(size, F.col("n"), F.col("l.n"))), "tried")
-    part = components(stage(confirm(tried, docs, k, percent, n), "links"))
-
-    def mixed(at: DataFrame, part: DataFrame) -> DataFrame:
-        """Buckets that still have several components."""
-        named = at.join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-        several = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band")
-        return stage(named.join(several, "band"), "mixed")
-
-    # what stands in no other of the documents left can't be shared, which bounds a pair's similarity
-    at = mixed(met.select("band", "doc_id", "n"), part)
-    own = stage(own_shingles(docs, at.select("doc_id").distinct(), k), "own")
-    at = at.join(own, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).withColumn("share", F.col("common") / F.col("n")).drop("own")
+    # what stands in no other of these documents can't be shared, which bounds a document's similarity with any
+    own = stage(own_shingles(docs, met.select("doc_id").distinct(), k), "own")
+    at = met.select("band", "doc_id", "n").join(own, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     at = stage(at.filter(reaches(F.col("common"), F.col("n"), F.col("common"))), "open")
-    fit = reaches(F.least("common", "l.common"), F.col("n"), F.col("l.n")) & (F.col("c") != F.col("l.c"))
-    more = stage(confirm(stage(star(at, "share", fit), "tried2"), docs, k, percent, n), "links2")
-    joined = lambda part, more: components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    if not more.isEmpty():
-        part = joined(part, more)
-    # then all pairs of different components that can reach the threshold
-    at = mixed(at.drop("c"), part)
-    left, right = (at.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "common", "c")], F.col("doc_id").alias(x)) for x in "ab")
+    worth = F.struct((F.col("common") / F.col("n")).alias("share"), F.xxhash64("doc_id").alias("draw"), "doc_id", "n", "common")
+    pairs = at.join(at.groupBy("band").agg(F.max(worth).alias("l")), "band").filter(F.col("doc_id") != F.col("l.doc_id"))
+    pairs = pairs.filter(reaches(F.least("common", "l.common"), F.col("n"), F.col("l.n"))).groupBy(F.col("doc_id").alias("b"), F.col("l.doc_id").alias("a")).agg(F.max("l.share").alias("share"))
+    first = Window.partitionBy("b").orderBy(F.col("share").desc(), F.xxhash64("a", "b"), "a")
+    tried = stage(pairs.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders).select("a", "b"), "tried")
+    part = components(stage(confirm(tried, docs, k, percent, n), "links"))
+    # then all pairs of a bucket of different components that can reach the threshold
+    named = at.join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    several = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band")
+    mixed = stage(named.join(several, "band"), "mixed")
+    left, right = (mixed.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "common", "c")], F.col("doc_id").alias(x)) for x in "ab")
     rest = left.join(right, "band").filter("a < b AND a_c <> b_c").filter(reaches(F.least("a_common", "b_common"), F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
-    more = stage(confirm(stage(rest, "rest"), docs, k, percent, n), "links3")
+    more = stage(confirm(stage(rest, "rest"), docs, k, percent, n), "more")
     if not more.isEmpty():
-        part = joined(part, more)
+        part = components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     rep = seen.select("doc_id", "n_shingles").join(later, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     named = rep.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
