@@ -141,3 +141,61 @@ def test_sampling_and_retrieval(spark):
     got = {(r.query, r["rank"]): r.key for r in retrieval.knn(v, v.filter("k < 5"), "k", "v", 3, block=2).collect()}
     scores = np.round(vectors[:5] @ vectors.T, 5)
     assert got == {(q, r + 1): int(k) for q in range(5) for r, k in enumerate(np.lexsort((np.arange(50), -scores[q]))[:3])}
+
+
+def test_maths():
+    from rillgrid.functions import maths
+
+    assert maths.canonical(r"x = \dfrac12") == r"\frac{1}{2}"
+    assert maths.canonical("3/4") == r"\frac{3}{4}" and maths.canonical("0.5") == r"\frac{1}{2}" and maths.canonical(".25") == "0.25"
+    assert maths.canonical(r"\sqrt3") == r"\sqrt{3}" and maths.canonical(r"12 \text{ cm}") == "12" and maths.canonical("1,234") == "1234"
+    for a, g, same in ((r"\frac{1}{2}", "0.5", True), ("50%", "0.5", True), ("(1, 2/4)", "(1,0.5)", True), ("(1,2)", "[1,2]", False), (r"2\sqrt{4}", "4", True), ("7", "8", False), (r"90^\circ", "90", True), (None, "1", False), ("2^{10}", "1024", True)):
+        assert maths.equal(a, g) is same, (a, g)
+    assert maths.repetition("abcdefgh") < 0.1 < 0.2 < maths.repetition("ab" * 200)
+
+
+def test_groups(spark):
+    from rillgrid.functions import groups
+    from rillgrid.sources import generators
+
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert value(groups.parse_groups(F.lit("{[b, A], [d,c ]}"))) == [["A", "B"], ["C", "D"]]
+    assert value(groups.parse_groups(F.lit("none"))) is None
+    assert [value(groups.group_score(F.lit(a), F.lit("{[A, B], [C, D]}"))) for a in ("[d, c] [b, a]", "I abstain", "[a, c]")] == [1.0, 0.3, 0.1]
+    assert value(groups.roles(F.lit("Answer: {Al = Knave} Answer: {Al = Knight, Bo = knave}"))) == {"al": "knight", "bo": "knave"}
+    assert [tuple(r) for r in value(groups.tool_calls(F.lit('<tool_call>{"name": "f", "arguments": {"x": 1}}</tool_call><tool_call>bad</tool_call>')))] == [("f", '{"x":1}')]
+    assert value(groups.hint_count(F.lit("<hint> a <hint>"))) == 2
+    assert value(groups.truncate(F.lit("abcdefgh"), 4)) == "ab...(truncated)...gh"
+    assert value(groups.pad_tokens(F.array(F.lit(1), F.lit(2)), 4, 0)) == [0, 0, 1, 2]
+    assert value(groups.pad_tokens(F.array(*map(F.lit, range(5))), 3, 0, side="left")) == [2, 3, 4]
+    assert value(groups.first_choice(F.lit("The answer: (c) 3"))) == "C"
+    assert value(groups.code_block(F.lit("x ```python\ny\n``` z"))) == "y\n"
+    assert {"9,10:20", "0,1:1"} <= {r.prompt for r in generators.digit_sequences(spark, 10, 1, 20).collect()}
+    assert {r.prompt: r.response for r in generators.digit_sequences(spark, 10, 1, 2, 20).collect()}["9,10:2"] == "11,12"
+    rows = generators.countdown(spark, 20, 3).collect()
+    assert [r["index"] for r in rows] == list(range(20))
+    assert all(answers.evaluate(r.hints[-1]) == r.target and len({*r.numbers, r.target}) == 4 and 10 <= r.target <= 90 for r in rows)
+    assert all(r["count"] == r.word.split("-").count(r.letter) >= 1 for r in generators.character_counts(spark, 30).collect())
+
+
+def test_readers_and_streams(spark, tmp_path):
+    from rillgrid.sources import readers
+    from rillgrid.streaming import streams
+
+    (tmp_path / "g.jsonl").write_text('{"description": "d", "words": [" a ", "b"], "contest": "c"}\nbad\n{"description": "e", "words": ["x"]}\n')
+    assert [(r.words, r.source) for r in readers.word_groups(spark, f"file://{tmp_path}/g.jsonl", "s").collect()] == [(["A", "B"], "s")]
+    (tmp_path / "b.csv").write_text("Game ID,Puzzle Date,Group Name,Word,Starting Row,Starting Column\n2,2024-01-02,G,b,0,1\n2,2024-01-02,G,a,0,0\n1,2024-01-01,H,c,1,1\n")
+    assert [(r["index"], r.description, r.words) for r in readers.csv_groups(spark, f"file://{tmp_path}/b.csv").orderBy("index").collect()] == [(0, "H", ["C"]), (1, "G", ["A", "B"])]
+    rows = spark.createDataFrame([(0, "System: s\n\nUser: u\n\nAssistant: a", 1.0), (1, "plain", 2.0)], "i long, p string, g double")
+    records = readers.rl_records(rows, F.col("p"), F.struct("g"), F.struct("i"), "i")
+    assert [[tuple(m) for m in r.prompt] for r in records.orderBy("index").collect()] == [[("system", "s"), ("user", "u"), ("assistant", "a")], [("user", "plain")]]
+    assert readers.problems(records) == [] and readers.problems(records.drop("index")) == ["no column index"]
+    assert readers.problems(records.withColumn("metadata", F.lit("{"))) == ["2 bad values in metadata"]
+    assert sorted(r[0] for r in readers.ranked_shards(spark.range(10), 3, 1, "id").groupBy("shard").count().select("count").collect()) == [3, 3, 3]
+    turns = spark.createDataFrame([(1, 0, "a b"), (1, 1, "x <answer>"), (1, 2, "late"), (2, 0, "a"), (2, 1, "b"), (2, 2, "c")], "conv_id long, turn long, text string")
+    turns.coalesce(1).write.parquet(f"file://{tmp_path}/turns")
+    stream = streams.turn_loop(spark.readStream.schema(turns.schema).parquet(f"file://{tmp_path}/turns"), 3, 100)
+    run = stream.writeStream.format("memory").queryName("turns").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.table("turns").collect()) == [(1, 2, 4, "answer"), (2, 3, 3, "turns")]
