@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillgrid.functions import answers
-from rillgrid.operators import advantages, metrics, partitioning, retrieval, sampling, sequences
+from rillgrid.functions import answers, groups, maths
+from rillgrid.operators import advantages, joins, metrics, partitioning, retrieval, sampling, sequences
 from rillgrid.operators.batch import Batch
+from rillgrid.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -453,3 +454,73 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, g""")
 def events_session(spark, d):
     e = table(spark, d, "events").groupBy(F.session_window("ts", "10 minutes"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return e.select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+@query("""WITH p AS (SELECT event_id AS asof_event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+r AS (SELECT e.event_id, p.asof_event_id, row_number() OVER (PARTITION BY e.event_id ORDER BY p.ts DESC, p.asof_event_id DESC) AS k FROM events e LEFT JOIN p ON p.user_id = e.user_id AND p.ts <= e.ts WHERE e.event_type = 'view')
+SELECT event_id, coalesce(asof_event_id, -1) AS asof_event_id FROM r WHERE k = 1""")
+def asof_join(spark, d):
+    e = table(spark, d, "events")
+    views = e.filter("event_type = 'view'").select("event_id", "user_id", "ts")
+    bought = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return joins.asof(views, bought, ["user_id"], "ts", "event_id", ["event_id"]).select("event_id", F.coalesce("asof_event_id", F.lit(-1)).alias("asof_event_id"))
+
+
+@query("""WITH r AS (SELECT s_suppkey AS k, floor(s_acctbal) AS low, floor(s_acctbal) + 50 AS high FROM supplier) SELECT k, count(*) AS n FROM r JOIN customer ON c_acctbal >= low AND c_acctbal < high GROUP BY k""")
+def range_join(spark, d):
+    r = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.floor("s_acctbal").alias("low"), (F.floor("s_acctbal") + 50).alias("high"))
+    return joins.in_ranges(table(spark, d, "customer").select("c_acctbal"), r, "c_acctbal", "low", "high", 50).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT lang, source, count(*) AS n, cast(sum(n_chars) AS BIGINT) AS chars, cast(grouping(lang) * 2 + grouping(source) AS BIGINT) AS g FROM documents GROUP BY CUBE (lang, source)")
+def cube_counts(spark, d):
+    return table(spark, d, "documents").cube("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.grouping_id().cast("long").alias("g"))
+
+
+@query("SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def except_keys(spark, d):
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct().join(table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("k")), "k", "left_anti")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
+def percentiles(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(r6(F.percentile("value", 0.5)).alias("median"), r6(F.percentile("value", 0.9)).alias("p90"))
+
+
+@query("""SELECT doc_id, md5(CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 150) || '...(truncated)...' || right(text, 150) END) AS digest, cast((length(text) - length(replace(text, 'the', ''))) / 3 AS INT) AS hints FROM documents""")
+def truncate_and_count(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(groups.truncate(t, 300)).alias("digest"), groups.hint_count(t, "the").alias("hints"))
+
+
+@query("""WITH t AS (SELECT conv_id, role, len(regexp_split_to_array(trim(text), '\s+')) AS n FROM conversations) SELECT conv_id, cast(sum(n) AS BIGINT) AS tokens, cast(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS BIGINT) AS trained FROM t GROUP BY conv_id""")
+def loss_masks(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("ts"))
+    m = turns.select("conv_id", groups.messages_with_masks(F.col("ts")).alias("m"))
+    return m.select("conv_id", F.size("m").cast("long").alias("tokens"), F.aggregate("m", F.lit(0), lambda s, x: s + x["mask"]).cast("long").alias("trained"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 1.0 WHEN p_partkey % 3 = 1 THEN 0.1 ELSE 0.3 END::DOUBLE AS score FROM part")
+def group_scores(spark, d):
+    k = F.col("p_partkey")
+    gold = F.concat(F.lit("{[A, B], [C, w"), k, F.lit("]}"))
+    given = F.when(k % 3 == 0, F.concat(F.lit("[W"), k, F.lit(", c] [b,a]"))).when(k % 3 == 1, F.lit("[a, c]")).otherwise(F.lit("I abstain"))
+    return table(spark, d, "part").select("p_partkey", groups.group_score(given, gold).alias("score"))
+
+
+@query("SELECT p_partkey, p_size % 2 = 0 AS same FROM part")
+def math_equality(spark, d):
+    s = F.col("p_size")
+    given = F.when(s % 2 == 0, F.concat(F.lit("\\dfrac{"), s, F.lit("}{2}"))).otherwise(F.concat(s, F.lit(".25")))
+    gold = F.when(s % 2 == 0, (s / 2).cast("int").cast("string")).otherwise(s.cast("string"))
+    return table(spark, d, "part").select("p_partkey", maths.math_equal(given, gold).alias("same"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_nationkey) AS responses FROM nation GROUP BY n_regionkey")
+def gather_responses(spark, d):
+    return readers.gather_responses(table(spark, d, "nation"), "n_regionkey", "n_nationkey", "n_name").withColumn("responses", F.array_join("responses", "|"))
+
+
+@query("SELECT o_orderkey, cast((row_number() OVER (ORDER BY o_orderkey) - 1) AS BIGINT) AS index FROM orders")
+def indexed_rows(spark, d):
+    return readers.indexed(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
