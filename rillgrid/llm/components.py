@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .tables import stage
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, tasks: int) -> DataFrame:
     """One star step on edges (u, v), u > v: neighbours are linked to the smallest of the neighbourhood.
 
     Minima are summed before they are shuffled, and meet their edges again by a join, so that a
@@ -19,12 +19,12 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     else:
         around = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("other")))
     least = around.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("m", "node").alias("m"))
-    met = around.join(least, "node")
+    met = around.join(least, "node").coalesce(tasks)
     if small:
         new = met.select(F.col("other").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v")))
     else:
         new = met.filter("other > node").select(F.col("other").alias("u"), F.col("m").alias("v"))
-    return new.filter("u <> v").distinct()
+    return new.filter("u <> v").distinct().coalesce(tasks)
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -41,6 +41,8 @@ def components(links: DataFrame) -> DataFrame:
     until every component is a star around its smallest node.
     """
     edges = stage(links.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).filter("u <> v").distinct(), "edges")
+    # as few tasks as the links fill: most graphs here are small beside the documents
+    tasks = 1 + edges.count() // 100_000
     while not _settled(edges):
-        edges = stage(_star(stage(_star(edges, False), "large"), True), "small")
+        edges = stage(_star(stage(_star(edges, False, tasks), "large"), True, tasks), "small")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

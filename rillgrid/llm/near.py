@@ -8,14 +8,15 @@ but 1.3e-7.  Documents of equal sets are one class and only its smallest doc_id
 
 Buckets aren't expanded into pairs.  Each document's shingles that no other document in a bucket
 has are counted: they bound its similarity with any.  A bucket's leader is the document with the
-smallest share of its own, a group's least changed one; first each document is compared with a
-few of its buckets' leaders, and the components of these links mostly settle a bucket.  At last
-come pairs of one bucket, different components and a bound that reaches the threshold: so no link
-between components is lost, and a pair within one would add nothing.
+smallest share of its own, a group's least changed one; all others are compared with it, and the
+components of these links mostly settle the bucket.  At last come pairs of one bucket and
+different components: they share at most what both share with the leader and what of the rest is
+neither's own, and are compared if that can reach the threshold.  So no link between components is
+lost, and a pair within one would add nothing.
 
 Cases: a null or empty text, or one of white space, has an empty set and links with nothing; a
 text of fewer words than a shingle has one shingle, the whole; rows that share a doc_id count as
-one document; of equals the smallest doc_id stays; an empty table gives an empty result; columns
+one document, a null one is compared with none and kept; of equals the smallest doc_id stays; an empty table gives an empty result; columns
 other than doc_id and text are ignored.
 """
 
@@ -90,8 +91,8 @@ def _outline(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(outlined, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, n: int, share: int = 2000) -> DataFrame:
-    """Of pairs (a, b), those (u, v) whose full sets are similar.
+def overlaps(pairs: DataFrame, docs: DataFrame, k: int, n: int, share: int = 2000) -> DataFrame:
+    """Of pairs (a, b): a, b, and the sizes of both full sets and of what they share (`both`).
 
     b's texts come to a's, in order, so that a task holds one set of a at a time; an a of more
     than `share` partners is dealt over several tasks.
@@ -101,26 +102,24 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, n: int, sha
     leaders = many.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
     need = leaders.unionByName(dealt.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("kind")))
     rows = docs.join(need, "doc_id").repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "kind", "doc_id")
+    names = ["a", "b", "a_size", "b_size", "both"]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, mine = None, np.zeros(0, U64)
         for batch in batches:
             for part in tx.slabs(batch, "text"):
                 g, offs = sets(part, k)
-                u, v = [], []
+                out = []
                 for i, (a, kind, b) in enumerate(zip(part.column("a").to_pylist(), part.column("kind").to_pylist(), part.column("doc_id").to_pylist(), strict=True)):
                     x = g[offs[i] : offs[i + 1]]
                     if kind == 0:
                         of, mine = a, x
                     elif of == a and len(x) and len(mine):
                         at = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
-                        both = int((mine[at] == x).sum())
-                        if 100 * both >= percent * (len(x) + len(mine) - both):
-                            u.append(a)
-                            v.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                        out.append((a, b, len(mine), len(x), int((mine[at] == x).sum())))
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(5)], names)
 
-    return rows.mapInArrow(compared, "u long, v long")
+    return rows.mapInArrow(compared, ", ".join(f"{c} long" for c in names))
 
 
 def own_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -137,7 +136,7 @@ def own_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return once.groupBy("doc_id").agg(F.count("*").alias("own"))
 
 
-def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, leaders: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reached by links), kept."""
     bounded_batches(docs.sparkSession)
     docs = texts(docs)
@@ -145,36 +144,40 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows:
     seen = stage(_outline(docs, k, bands, rows), "signatures")
     classes = seen.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")).filter("members > 1")
     later = stage(seen.filter("n_shingles > 0").select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "classes")
-    alone = seen.filter("n_shingles > 0").join(later, "doc_id", "left_anti").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band")).distinct()
+    alone = seen.filter("n_shingles > 0").join(later, "doc_id", "left_anti").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     buckets = alone.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    met = stage(alone.join(buckets, "band"), "buckets")
+    met = stage(alone.join(buckets, "band").drop("members"), "buckets")
 
     def reaches(both, size_a, size_b):
         return both * 100 >= (size_a + size_b - both) * percent
 
     # what stands in no other of these documents can't be shared, which bounds a document's similarity with any
-    own = stage(own_shingles(docs, met.select("doc_id").distinct(), k), "own")
-    at = met.select("band", "doc_id", "n").join(own, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    own = own_shingles(docs, met.select("doc_id").distinct(), k)
+    at = met.join(own, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     at = stage(at.filter(reaches(F.col("common"), F.col("n"), F.col("common"))), "open")
-    worth = F.struct((F.col("common") / F.col("n")).alias("share"), F.xxhash64("doc_id").alias("draw"), "doc_id", "n", "common")
-    pairs = at.join(at.groupBy("band").agg(F.max(worth).alias("l")), "band").filter(F.col("doc_id") != F.col("l.doc_id"))
-    pairs = pairs.filter(reaches(F.least("common", "l.common"), F.col("n"), F.col("l.n"))).groupBy(F.col("doc_id").alias("b"), F.col("l.doc_id").alias("a")).agg(F.max("l.share").alias("share"))
-    first = Window.partitionBy("b").orderBy(F.col("share").desc(), F.xxhash64("a", "b"), "a")
-    tried = stage(pairs.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders).select("a", "b"), "tried")
-    part = components(stage(confirm(tried, docs, k, percent, n), "links"))
-    # then all pairs of a bucket of different components that can reach the threshold
+    worth = F.struct((F.col("common") / F.col("n")).alias("share"), F.xxhash64("doc_id").alias("draw"), "doc_id")
+    at = stage(at.join(at.groupBy("band").agg(F.max(worth)["doc_id"].alias("lead")), "band").filter("doc_id <> lead"), "led")
+    star = at.groupBy(F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("times")).select("a", "b")
+    star = stage(overlaps(stage(star, "star"), docs, k, n), "compared")
+    links = star.filter(reaches(F.col("both"), F.col("a_size"), F.col("b_size"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    part = components(links)
+    # Then all pairs of a bucket, of different components, that can reach the threshold.  They share at most
+    # what both share with the leader and, of the rest, what isn't one's own.
     named = at.join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     several = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band")
-    mixed = stage(named.join(several, "band"), "mixed")
-    left, right = (mixed.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "common", "c")], F.col("doc_id").alias(x)) for x in "ab")
-    rest = left.join(right, "band").filter("a < b AND a_c <> b_c").filter(reaches(F.least("a_common", "b_common"), F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
-    more = stage(confirm(stage(rest, "rest"), docs, k, percent, n), "more")
+    named = named.join(several, "band").join(star.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), "both"), ["lead", "doc_id"])
+    mixed = stage(named.select("band", "doc_id", "n", "c", "both", (F.col("common") - F.col("both")).alias("rest")), "mixed")
+    left, right = (mixed.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "both", "rest", "c")], F.col("doc_id").alias(x)) for x in "ab")
+    most = F.least("a_both", "b_both") + F.least("a_rest", "b_rest")
+    rest = left.join(right, "band").filter("a < b AND a_c <> b_c").filter(reaches(most, F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
+    more = overlaps(stage(rest, "rest"), docs, k, n).filter(reaches(F.col("both"), F.col("a_size"), F.col("b_size"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = stage(more, "more")
     if not more.isEmpty():
         part = components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     rep = seen.select("doc_id", "n_shingles").join(later, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     named = rep.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return named.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep(docs: DataFrame, **how) -> DataFrame:
@@ -182,5 +185,7 @@ def keep(docs: DataFrame, **how) -> DataFrame:
 
     The ids of the others go to the rows in a join by doc_id.
     """
-    gone = dedup(docs, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = stage(dedup(docs, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    twice = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = docs if twice.isEmpty() else docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    return rows.join(gone, rows["doc_id"] == F.col("_gone"), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extraction, language_model, licences, mixing, near, pii, quality, substring, suffixes
+from . import decontaminate, extraction, language_model, licences, mixing, near, pii, quality, sql, substring, suffixes
 from .tables import read
 
 
@@ -55,4 +55,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_decontamination, op4_minhash_dedup, op5_html_extraction, op6_license_scan, op7_pii_surrogates, op8_source_mix, op9_lm_scores, op10_quality_rules)
 }
 #: Where SQL can't express an operator or takes too long on whole tables, tests hold it against brute force.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING, "op4_minhash_dedup": sql.NEAR}
