@@ -493,7 +493,7 @@ def truncate_and_count(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(groups.truncate(t, 300)).alias("digest"), groups.hint_count(t, "the").alias("hints"))
 
 
-@query("""WITH t AS (SELECT conv_id, role, len(regexp_split_to_array(trim(text), '\s+')) AS n FROM conversations) SELECT conv_id, cast(sum(n) AS BIGINT) AS tokens, cast(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS BIGINT) AS trained FROM t GROUP BY conv_id""")
+@query(r"""WITH t AS (SELECT conv_id, role, len(regexp_split_to_array(trim(text), '\s+')) AS n FROM conversations) SELECT conv_id, cast(sum(n) AS BIGINT) AS tokens, cast(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS BIGINT) AS trained FROM t GROUP BY conv_id""")
 def loss_masks(spark, d):
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("ts"))
     m = turns.select("conv_id", groups.messages_with_masks(F.col("ts")).alias("m"))
