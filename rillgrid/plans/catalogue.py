@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillgrid.functions import answers, groups, maths
-from rillgrid.operators import advantages, joins, metrics, partitioning, retrieval, sampling, sequences
+from rillgrid.operators import advantages, joins, losses, metrics, partitioning, retrieval, sampling, sequences
 from rillgrid.operators.batch import Batch
 from rillgrid.sources import readers
 
@@ -524,3 +524,67 @@ def gather_responses(spark, d):
 @query("SELECT o_orderkey, cast((row_number() OVER (ORDER BY o_orderkey) - 1) AS BIGINT) AS index FROM orders")
 def indexed_rows(spark, d):
     return readers.indexed(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+def _masked(spark, d) -> DataFrame:
+    return _tokens(spark, d).withColumn("m", (F.col("l_returnflag") != "R").cast("int"))
+
+
+_MASKED = "SELECT *, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS m FROM lineitem"
+
+
+@query(f"""WITH t AS ({_MASKED}), x AS (SELECT m, power(l_discount - 0.05, 2) AS p, power(least(greatest(l_discount, l_tax - 0.02), l_tax + 0.02) - 0.05, 2) AS c FROM t)
+SELECT round(0.5 * sum(greatest(p, c) * m) / (sum(m) + 1e-8), 9) AS loss, round(sum(CASE WHEN c > p THEN m ELSE 0 END) / (sum(m) + 1e-8), 6) AS clip_fraction FROM x""")
+def value_loss(spark, d):
+    out = losses.value_loss(_masked(spark, d).withColumn("r", F.lit(0.05)), "l_discount", "r", "l_tax", "m", 0.02)
+    return out.select(F.round("loss", 9).alias("loss"), r6("clip_fraction").alias("clip_fraction"))
+
+
+@query(f"""WITH t AS ({_MASKED}), p AS (SELECT l_orderkey, sum((l_tax - l_discount) * m) AS d, max(l_quantity) / 50 AS r FROM t GROUP BY l_orderkey) SELECT round(avg(power(d - r, 2)), 6) AS loss FROM p""")
+def sppo_loss(spark, d):
+    t = _masked(spark, d).withColumn("r", F.col("l_quantity") / 50)
+    return losses.sppo_loss(t, ["l_orderkey"], "l_discount", "l_tax", "r", "m").select(r6("loss").alias("loss"))
+
+
+@query("""WITH t AS (SELECT (l_discount - l_tax) - (l_quantity / 1000 - 0.025) AS d FROM lineitem)
+SELECT round(avg(ln(1 + exp(-0.5 * d)) * 0.9 + ln(1 + exp(0.5 * d)) * 0.1), 6) AS loss, round(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(0.5 * d), 6) + 0.0 AS margin FROM t""")
+def preference_loss(spark, d):
+    t = _tokens(spark, d).withColumn("cr", F.col("l_quantity") / 1000).withColumn("rr", F.lit(0.025))
+    out = losses.preference_loss(t, "l_discount", "l_tax", "cr", "rr", 0.5, 0.1)
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@query(f"""WITH t AS ({_MASKED}), p AS (SELECT l_orderkey, sum(l_discount * m) AS z, max(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END) AS y FROM t GROUP BY l_orderkey)
+SELECT round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))), 6) AS loss FROM p""")
+def reward_cross_entropy(spark, d):
+    t = table(spark, d, "lineitem").withColumn("m", (F.col("l_returnflag") != "R").cast("int")).withColumn("y", (F.col("l_linestatus") == "O").cast("int"))
+    return losses.cross_entropy_reward_loss(t, ["l_orderkey"], "l_discount", "y", "m", 1.0).select(r6("loss").alias("loss"))
+
+
+@query(f"""WITH t AS ({_MASKED}), p AS (SELECT l_orderkey, sum((l_discount - l_tax) * m) / (sum(m) + 1e-8) AS k FROM t GROUP BY l_orderkey) SELECT round(avg(k), 6) + 0.0 AS kl FROM p""")
+def batch_kl(spark, d):
+    kl = sequences.kl(F.col("l_discount"), F.col("l_tax"), "kl")
+    return losses.kl_rewards(_masked(spark, d), ["l_orderkey"], "l_quantity", kl, "m", 0.1)[1].select(r6("kl").alias("kl"))
+
+
+@query(f"""WITH t AS ({_MASKED}), a AS (SELECT sum(l_quantity * m) / (sum(m) + 1e-8) AS x, sum(l_discount * m) / (sum(m) + 1e-8) AS y FROM t)
+SELECT l_orderkey, {_ORDER}, round((l_quantity - x) * (l_discount - y), 6) + 0.0 AS covariance FROM t, a""")
+def token_covariance(spark, d):
+    return losses.covariance(_masked(spark, d), "l_quantity", "l_discount", "m").select("l_orderkey", *_TOK, r6("covariance").alias("covariance"))
+
+
+@query("""WITH r AS (SELECT user_id, cast(value > 20 AS INT) AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+SELECT user_id, round(CASE WHEN min(ok) = 1 THEN 1.0 ELSE avg(ok) FILTER (WHERE k <= 10) END, 6) AS score FROM r GROUP BY user_id""")
+def test_pass_rate(spark, d):
+    return losses.pass_rate(table(spark, d, "events"), ["user_id"], "event_id", F.col("value") > 20).withColumn("score", r6("score"))
+
+
+@query("""WITH s AS (SELECT source, sum(n_chars) AS s FROM documents GROUP BY source) SELECT cast(min(s) AS BIGINT) AS least, cast(max(s) AS BIGINT) AS most, round(avg(s), 6) AS mean, cast(max(s) - min(s) AS BIGINT) AS difference FROM s""")
+def length_balance(spark, d):
+    return losses.length_balance(table(spark, d, "documents"), "source", "n_chars").withColumn("mean", r6("mean"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY value DESC, event_id) AS k FROM events) SELECT round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, max(event_id) FILTER (WHERE k = 1) AS slowest_event_id, max(user_id) FILTER (WHERE k = 1) AS slowest_user_id FROM r""")
+def slowest_event(spark, d):
+    out = losses.slowest(table(spark, d, "events"), "value", "event_id", ["event_id", "user_id"])
+    return out.withColumns({c: r6(c) for c in ("min", "max", "mean")})
