@@ -199,3 +199,24 @@ def test_readers_and_streams(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("turns").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("turns").collect()) == [(1, 2, 4, "answer"), (2, 3, 3, "turns")]
+
+
+def test_prompts(spark):
+    from rillgrid.functions import prompts
+
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert value(prompts.render("use {n} for {t}{x}", n=prompts.list_text(F.array(F.lit(1), F.lit(2))), t=F.lit(3), x=F.lit(None))) == "use [1, 2] for 3"
+    assert value(prompts.groups_text(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c"))))) == "{[A, B], [C]}"
+    assert value(prompts.placeholder_answer(F.lit(2), F.lit(2))) == "{[word, word], [word, word]}"
+    assert [tuple(m) for m in value(prompts.chat(system=F.lit(None).cast("string"), user=F.lit("u")))] == [("user", "u")]
+    assert [tuple(s) for s in value(prompts.segments(F.lit("a<image>b<video>")))] == [("text", "a"), ("image", None), ("text", "b"), ("video", None)]
+    assert value(F.struct(*prompts.split_completion(F.lit("q\n\nAssistant: <think>"), F.lit("x")))) == ("q\n\nAssistant: ", "<think>x")
+    assert value(prompts.passages(F.array(F.lit("T\nbody"), F.lit("U")))) == "Doc 1 (Title: T)\nbody\n\nDoc 2 (Title: U)\n"
+    assert [value(prompts.hint(F.array(F.lit("a"), F.lit("b")), F.lit(k))) for k in (0, 1)] == ["a", "No more hints."]
+    rows = spark.createDataFrame([(i, "r", "x", "y", "z") for i in range(30)], "k long, r string, a string, b string, c string")
+    got = prompts.shuffled_choices(rows, "r", ["a", "b", "c"], 1, "k").collect()
+    assert all(f"{r.gold}) r" in r.choices for r in got) and {r.gold for r in got} == set("ABCD")
+    made = rows.select(*prompts.record("s", "math", "train", prompts.chat(user=F.col("r")), F.col("a"), F.col("k"), answer=F.col("b"))).first()
+    assert (made.data_source, made.reward_model.ground_truth, made.extra_info.answer, made.prompt[0].content) == ("s", "x", "y", "r")
+    assert prompts.flattened(one.select(F.struct(F.lit(1).alias("a"), F.struct(F.lit(2).alias("c")).alias("b")).alias("s")), "s").columns == ["a", "b/c"]
