@@ -122,8 +122,8 @@ def overlaps(pairs: DataFrame, docs: DataFrame, k: int, n: int, share: int = 200
     return rows.mapInArrow(compared, ", ".join(f"{c} long" for c in names))
 
 
-def own_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, own): how many of a document's shingles stand in no other of the documents `ids`."""
+def own_shingles(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, own): how many of a document's shingles stand in no other of the documents."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +131,7 @@ def own_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 g, offs = sets(part, k)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.repeat(part.column("doc_id").to_numpy(), np.diff(offs)))], ["shingle", "doc_id"])
 
-    rows = docs.join(ids, "doc_id").mapInArrow(listed, "shingle long, doc_id long")
+    rows = docs.mapInArrow(listed, "shingle long, doc_id long")
     once = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id = last")
     return once.groupBy("doc_id").agg(F.count("*").alias("own"))
 
@@ -140,7 +140,6 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reached by links), kept."""
     bounded_batches(docs.sparkSession)
     docs = texts(docs)
-    n = partitions(docs, 4)
     seen = stage(_outline(docs, k, bands, rows), "signatures")
     classes = seen.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")).filter("members > 1")
     later = stage(seen.filter("n_shingles > 0").select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "classes")
@@ -152,7 +151,10 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows:
         return both * 100 >= (size_a + size_b - both) * percent
 
     # what stands in no other of these documents can't be shared, which bounds a document's similarity with any
-    own = own_shingles(docs, met.select("doc_id").distinct(), k)
+    # the texts of these documents are dealt once, and read again from here
+    docs = stage(docs.join(met.select("doc_id").distinct(), "doc_id"), "candidates")
+    n = partitions(docs, 4)
+    own = own_shingles(docs, k)
     at = met.join(own, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     at = stage(at.filter(reaches(F.col("common"), F.col("n"), F.col("common"))), "open")
     worth = F.struct((F.col("common") / F.col("n")).alias("share"), F.xxhash64("doc_id").alias("draw"), "doc_id")
