@@ -91,35 +91,60 @@ def _outline(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(outlined, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame, k: int, n: int, share: int = 2000) -> DataFrame:
-    """Of pairs (a, b): a, b, and the sizes of both full sets and of what they share (`both`).
+def _met(pairs: DataFrame, docs: DataFrame, n: int, share: int = 2000) -> DataFrame:
+    """Texts for pairs (a, b): of each a (kind 0) and then of its b (kind 1), in order.
 
-    b's texts come to a's, in order, so that a task holds one set of a at a time; an a of more
-    than `share` partners is dealt over several tasks.
+    So a task holds one set of a at a time; an a of more than `share` partners is dealt over
+    several tasks.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("salts"))
     dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     leaders = many.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
     need = leaders.unionByName(dealt.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("kind")))
-    rows = docs.join(need, "doc_id").repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "kind", "doc_id")
+    return docs.join(need, "doc_id").repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "kind", "doc_id")
+
+
+def _compared(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """From such texts: a, b, both full sets, and which of b's shingles a has."""
+    of, mine = None, np.zeros(0, U64)
+    for batch in batches:
+        for part in tx.slabs(batch, "text"):
+            g, offs = sets(part, k)
+            out = []
+            for i, (a, kind, b) in enumerate(zip(part.column("a").to_pylist(), part.column("kind").to_pylist(), part.column("doc_id").to_pylist(), strict=True)):
+                x = g[offs[i] : offs[i + 1]]
+                if kind == 0:
+                    of, mine = a, x
+                elif of == a and len(x) and len(mine):
+                    at = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
+                    out.append((a, b, mine, x, mine[at] == x))
+            yield out
+
+
+def overlaps(pairs: DataFrame, docs: DataFrame, k: int, n: int) -> DataFrame:
+    """Of pairs (a, b): a, b, and the sizes of both full sets and of what they share (`both`)."""
     names = ["a", "b", "a_size", "b_size", "both"]
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, mine = None, np.zeros(0, U64)
-        for batch in batches:
-            for part in tx.slabs(batch, "text"):
-                g, offs = sets(part, k)
-                out = []
-                for i, (a, kind, b) in enumerate(zip(part.column("a").to_pylist(), part.column("kind").to_pylist(), part.column("doc_id").to_pylist(), strict=True)):
-                    x = g[offs[i] : offs[i + 1]]
-                    if kind == 0:
-                        of, mine = a, x
-                    elif of == a and len(x) and len(mine):
-                        at = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
-                        out.append((a, b, len(mine), len(x), int((mine[at] == x).sum())))
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(5)], names)
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _compared(batches, k):
+            rows = [(a, b, len(mine), len(x), int(same.sum())) for a, b, mine, x, same in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], names)
+
+    return _met(pairs, docs, n).mapInArrow(sized, ", ".join(f"{c} long" for c in names))
+
+
+def own_beside(pairs: DataFrame, docs: DataFrame, k: int, n: int) -> DataFrame:
+    """(a, b, own): how many of b's shingles stand neither in a nor in any other partner of a."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _compared(batches, k):
+            rest = [x[~same] for _, _, _, x, same in found]
+            ids = [np.repeat(np.array([r[j] for r in found], np.int64), [len(x) for x in rest]) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array((np.concatenate(rest) if rest else np.zeros(0, U64)).view(np.int64))], ["a", "b", "shingle"])
 
-    return rows.mapInArrow(compared, ", ".join(f"{c} long" for c in names))
+    rows = _met(pairs, docs, n).mapInArrow(listed, "a long, b long, shingle long")
+    once = rows.groupBy("a", "shingle").agg(F.min("b").alias("b"), F.max("b").alias("last")).filter("b = last")
+    return once.groupBy("a", "b").agg(F.count("*").alias("own"))
 
 
 def own_shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -164,11 +189,14 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows:
     links = star.filter(reaches(F.col("both"), F.col("a_size"), F.col("b_size"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
     part = components(links)
     # Then all pairs of a bucket, of different components, that can reach the threshold.  They share at most
-    # what both share with the leader and, of the rest, what isn't one's own.
+    # what both share with the leader and, of the rest, what isn't one's own among the leader's partners.
     named = at.join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     several = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band")
     named = named.join(several, "band").join(star.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), "both"), ["lead", "doc_id"])
-    mixed = stage(named.select("band", "doc_id", "n", "c", "both", (F.col("common") - F.col("both")).alias("rest")), "mixed")
+    named = stage(named.select("band", "lead", "doc_id", "n", "c", "both"), "several")
+    own = own_beside(named.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), docs, k, n)
+    beside = named.join(own.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), "own"), ["lead", "doc_id"], "left")
+    mixed = stage(beside.select("band", "doc_id", "n", "c", "both", (F.col("n") - F.col("both") - F.coalesce("own", F.lit(0))).alias("rest")), "mixed")
     left, right = (mixed.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "both", "rest", "c")], F.col("doc_id").alias(x)) for x in "ab")
     most = F.least("a_both", "b_both") + F.least("a_rest", "b_rest")
     rest = left.join(right, "band").filter("a < b AND a_c <> b_c").filter(reaches(most, F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
