@@ -49,7 +49,7 @@ PATTERNS = {
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![.-])\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3})(?![\d-])|\d{13,16}(?![0-9A-Za-z])",
-    "secret": r"(?=[0-9a-f]{32})(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])|(?:token|secret|password|api_key|apikey) ?[=:] ?\"[!#-~]{8,200}(?=\")",
+    "secret": r"(?=[0-9A-Fa-f]{32})(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![0-9A-Za-z])|(?i:token|secret|password|api_key|apikey) ?[=:] ?\"[!#-~]{8,}+(?=\")",
     "name": rf"(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{L}})",
 }
 ANY = rf"(?<![\p{{L}}\d])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
@@ -168,7 +168,8 @@ def _classes(e: Column, digest: Column) -> Column:
             x = lambda n, first: let(F.conv(stream.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int"), lambda v: F.chr(first + v % n))
             return F.when(c.between("0", "9"), x(10, 48)).when(c.between("a", "z"), x(26, 97)).when(c.between("A", "Z"), x(26, 65)).otherwise(c)
 
-        return F.when(e.rlike(r"^[0-9a-f]+$"), stream.substr(F.lit(1), F.length(e))).otherwise(F.array_join(F.transform(F.split(e, ""), letter), ""))
+        hexadecimal = stream.substr(F.lit(1), F.length(e))
+        return F.when(e.rlike(r"^[0-9a-f]+$"), hexadecimal).when(e.rlike(r"^[0-9A-F]+$"), F.upper(hexadecimal)).otherwise(F.array_join(F.transform(F.split(e, ""), letter), ""))
 
     stream = lambda d, e: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(e) / 32).cast("int")), lambda i: F.sha2(F.concat(d, i.cast("string")), 256)), "")
     return let(e, lambda x: let(digest, lambda d: let(stream(d, x), lambda s: of(s, x))))

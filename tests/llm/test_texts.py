@@ -141,6 +141,21 @@ def test_pii(spark):
     assert pii.surrogates(frame(spark, [])).count() == 0
 
 
+def test_pii_long_and_upper_case_secrets(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcXYZ019._-") for _ in range(1000))
+    upper, mixed = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "9233a8ecf7C5B09FE5949719B6B82BC4"
+    secrets = [f'token = "{long}"', f'TOKEN = "{upper}"', f'Api_Key: "{upper}"', upper, mixed, 'PASSWORD="HUNTER2HUNTER2"']
+    got = [r for r in pii.surrogates(texts(spark, *[f"a {e} b" for e in secrets]), "k").orderBy("doc_id").collect()]
+    for r, e in zip(got, secrets, strict=True):
+        value = e.split('"')[1] if '"' in e else e
+        before, after = f"a {e} b".split(value)
+        new = r.text[len(before) : len(r.text) - len(after)]
+        assert (r.n_entities, r.n_secret) == (1, 1) and r.text == before + new + after and new != value
+        assert len(new) == len(value) and new.isupper() == value.isupper()
+    assert re.fullmatch(r"[0-9A-F]{40}", got[3].text[2:-2])
+
+
 def test_permutations_have_no_collisions(spark):
     n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = [r[0] for r in n.select(pii._digits("k", "t", F.col("d"))).collect()]
