@@ -1,7 +1,9 @@
 """Quality rules: counts per document, and its distance from a reference of its language.
 
 A document's histogram of character classes and one of common words are compared with those of
-its language, summed over the whole corpus, by Jensen-Shannon distance (base 2, 0 to 1).
+its language by Jensen-Shannon distance (base 2, 0 to 1).  A language's are the mean over distinct
+contents of the corpus that pass the base rules and lie near the medians, so that neither copies
+nor a minority of junk move them.
 Documents under `min_words` or `min_chars` are too short for a histogram and are judged by the
 counts alone, and so are languages with fewer than `min_reference` words.
 
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .tables import bounded_batches
+from .tables import bounded_batches, stage
 
 # Frequent function words of each language.
 COMMON = {
@@ -123,42 +125,115 @@ def _language(df: DataFrame):
     return F.when(lang.isin(*COMMON), lang).otherwise(F.lit("")).alias("lang")
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Of each known language, and of "" for all others: histograms summed over the whole corpus.
+def _near(p: np.ndarray, q: np.ndarray, most: float) -> np.ndarray:
+    return distance(p, np.broadcast_to(q, p.shape)) <= most
 
-    Each task sums its own rows, and only five rows of sums reach the driver.
+
+def _shares(p: np.ndarray, unit: int) -> np.ndarray:
+    """Rows of counts as shares of their sums, in whole units, so that sums don't depend on their order."""
+    return np.rint(p / np.maximum(p.sum(1, keepdims=True), 1) * unit).astype(np.int64)
+
+
+#: Steps of the square root of a share in the search for medians, and units of a share in means.
+STEPS, UNIT = 1 << 10, 1 << 30
+
+
+def references(docs: DataFrame, least_words: int, most_repeats: int, min_words: int, min_chars: int, most_chars: float, most_common: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each known language, and of "" for all others: mean shares, times the words they come from.
+
+    They come from distinct contents, each counted once however often it's repeated, that pass the
+    base rules and are long enough for a histogram.  Each bin's median over these is what most
+    texts look like, whatever a minority of junk does to a sum; the reference is the mean of those
+    within the limits of the medians.
+
+    Histograms are shuffled once, a row for each distinct content of a language; of each language
+    and bin at most STEPS counts reach the driver.
     """
     width = len(_vocabulary()[0]) + 1
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.slabs(batch, "text"):
                 buf, offs = tx.buffers(part.column("text"))
-                chars, common = histograms(buf, offs, *tx.words(buf, offs))
-                langs = np.array(part.column("lang").to_pylist())
-                for lang in set(langs):
-                    of = langs == lang
-                    total[lang] = total.get(lang, 0) + np.concatenate([chars[of].sum(0), common[of].sum(0)])
-        at = [(lang, i, int(v)) for lang, t in total.items() for i, v in enumerate(t) if v]
-        yield pa.RecordBatch.from_arrays([pa.array([a[0] for a in at], pa.string()), pa.array([a[1] for a in at], pa.int32()), pa.array([a[2] for a in at], pa.int64())], ["lang", "bin", "n"])
+                found = tx.words(buf, offs)
+                c = counts(buf, offs, *found)
+                at = np.flatnonzero(~_fails(c, least_words, most_repeats) & (c["n_words"] >= min_words) & (c["word_chars"] >= min_chars))
+                bins = np.concatenate(histograms(buf, offs, *found), 1)[at].astype(np.int32)
+                content = [tx.hash_spans(buf, offs[:-1], offs[1:], None, k)[at].view(np.int64) for k in (1, 2)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * bins.shape[1], pa.int32()), pa.array(bins.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(at)), *map(pa.array, content), lists], ["lang", "c1", "c2", "bins"])
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist())
+            bins = batch.column("bins").flatten().to_numpy().reshape(batch.num_rows, N_CLASSES + width)
+            for lang in set(langs.tolist()):
+                of = bins[langs == lang]
+                yield lang, of[:, :N_CLASSES], of[:, N_CLASSES:]
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), _language(docs)).mapInArrow(summed, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
-    out: dict[str, np.ndarray] = {}
-    for lang, i, n in rows:
-        out.setdefault(lang, np.zeros(N_CLASSES + width))[i] = n
-    return {k: (v[:N_CLASSES], v[N_CLASSES:]) for k, v in out.items()}
+    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for lang, chars, common in rows_of(batches):
+            share = np.concatenate([_shares(x, UNIT) for x in (chars, common)], 1) / UNIT
+            step = np.minimum((np.sqrt(share) * STEPS).astype(np.int64), STEPS - 1) + np.arange(N_CLASSES + width) * STEPS
+            total[lang] = total.get(lang, 0) + np.bincount(step.ravel(), minlength=(N_CLASSES + width) * STEPS)
+        yield from sums(total)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for lang, chars, common in rows_of(batches):
+            near = _near(chars, middle[lang][:N_CLASSES], most_chars) & _near(common, middle[lang][N_CLASSES:], most_common)
+            chars, common = chars[near], common[near]
+            total[lang] = total.get(lang, 0) + np.concatenate([_shares(chars, UNIT).sum(0), _shares(common, UNIT).sum(0), [common.sum()]])
+        yield from sums(total)
+
+    def sums(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, t in total.items():
+            at = np.flatnonzero(t)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(t[at])], ["lang", "bin", "n"])
+
+    def gathered(function, size: int) -> dict[str, np.ndarray]:
+        out: dict[str, np.ndarray] = {}
+        for lang, i, n in distinct.mapInArrow(function, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
+            out.setdefault(lang, np.zeros(size))[i] = n
+        return out
+
+    rows = docs.select(F.col("text").cast("string").alias("text"), _language(docs)).mapInArrow(listed, "lang string, c1 long, c2 long, bins array<int>")
+    distinct = stage(rows.groupBy("lang", "c1", "c2").agg(F.first("bins").alias("bins")).select("lang", "bins"), "histograms")
+    steps = gathered(stepped, (N_CLASSES + width) * STEPS)
+    middle = {}
+    for lang, n in steps.items():
+        below = n.reshape(-1, STEPS).cumsum(1)
+        step = (2 * below < below[:, -1:]).sum(1)
+        middle[lang] = np.where(step > 0, ((step + 0.5) / STEPS) ** 2, 0)
+    out = {}
+    for lang, x in gathered(summed, N_CLASSES + width + 1).items():
+        chars, common = x[:N_CLASSES], x[N_CLASSES:-1]
+        out[lang] = (chars / chars.sum(), common / common.sum() * x[-1])
+    return out
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _judge(known: dict[str, tuple[np.ndarray, np.ndarray]], least_words: int = 50, most_repeats: int = 50, min_words: int = 50, min_chars: int = 200, min_reference: int = 2000, most_chars: float = 0.175, most_common: float = 0.5):
+#: What _judge and references() take where a caller gives nothing else.
+LIMITS = {"least_words": 50, "most_repeats": 50, "min_words": 50, "min_chars": 200, "min_reference": 2000, "most_chars": 0.175, "most_common": 0.5}
+
+
+def _fails(c: dict[str, np.ndarray], least_words: int, most_repeats: int) -> np.ndarray:
+    return (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > most_repeats * c["n_words"])
+
+
+def _judge(docs: DataFrame, **limits):
     """From a batch's texts and languages to counts, distances and verdicts.
 
     base_failed: under least_words words, or more than most_repeats percent of the words in
     repeated 3-word windows.  kept: not base_failed, and neither distance above its limit.
     """
+    least_words, most_repeats, min_words, min_chars, min_reference, most_chars, most_common = {k: limits.pop(k, v) for k, v in LIMITS.items()}.values()
+    if limits:
+        raise TypeError(f"unknown limits: {', '.join(limits)}")
+    known = references(docs, least_words, most_repeats, min_words, min_chars, most_chars, most_common)
     zero = (np.zeros(N_CLASSES), np.zeros(len(_vocabulary()[0]) + 1))
 
     def verdict(texts: pa.Array, langs: list[str]) -> dict[str, np.ndarray]:
@@ -169,7 +244,7 @@ def _judge(known: dict[str, tuple[np.ndarray, np.ndarray]], least_words: int = 5
         refs = [known.get(x, zero) for x in langs]
         c["char_distance"] = distance(chars, np.array([r[0] for r in refs]))
         c["word_distance"] = distance(common, np.array([r[1] for r in refs]))
-        c["base_failed"] = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > most_repeats * c["n_words"])
+        c["base_failed"] = _fails(c, least_words, most_repeats)
         enough = (c["n_words"] >= min_words) & (c["word_chars"] >= min_chars) & np.array([r[1].sum() >= min_reference for r in refs], bool)
         c["kept"] = ~c["base_failed"] & ~(enough & ((c["char_distance"] > most_chars) | (c["word_distance"] > most_common)))
         return c
@@ -180,7 +255,7 @@ def _judge(known: dict[str, tuple[np.ndarray, np.ndarray]], least_words: int = 5
 def judge(docs: DataFrame, **limits) -> DataFrame:
     """Each document's counts, base_failed, kept and both distances; limits: those of _judge."""
     bounded_batches(docs.sparkSession)
-    verdict = _judge(references(docs), **limits)
+    verdict = _judge(docs, **limits)
     names = [*NAMES, "base_failed", "kept", "char_distance", "word_distance"]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +271,7 @@ def judge(docs: DataFrame, **limits) -> DataFrame:
 def keep(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs that judge() keeps, all columns, in one more scan and no shuffle."""
     bounded_batches(docs.sparkSession)
-    verdict = _judge(references(docs), **limits)
+    verdict = _judge(docs, **limits)
     lang = "_lang"
     while lang in docs.columns:
         lang += "_"

@@ -50,6 +50,18 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert kept.columns == docs.columns and kept.count() == 40
 
 
+@pytest.mark.parametrize("junk", [lambda w: "### ".join(x + "%%%" for x in w), lambda w: "!! ".join(x.upper() for x in w), " | ".join])
+def test_quality_references_withstand_copies(spark, junk):
+    """One junk text copied to a third of the rows, and different ones in a quarter of the others, change no verdict."""
+    rng = random.Random(6)
+    function = "the of and to in a is that it for on was be with as by".split()
+    words = lambda: [rng.choice(function) if rng.random() < 0.5 else "".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(120)]
+    prose = [" ".join(words()).capitalize() + "." for _ in range(60)]
+    docs = texts(spark, *prose, *[junk(words()) for _ in range(20)], *[junk(words())] * 40)
+    assert [r.kept for r in quality.judge(docs).orderBy("doc_id").collect()] == [True] * 60 + [False] * 60
+    assert quality.keep(docs).count() == 60
+
+
 def test_distance():
     p, q = np.array([[1.0, 3.0], [0, 0], [1, 0]]), np.array([[1.0, 3.0], [1, 1], [0, 1]])
     assert quality.distance(p, q) == pytest.approx([0, 0, 1])
