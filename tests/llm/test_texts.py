@@ -268,6 +268,12 @@ def test_model_is_normalised():
     assert np.exp(language_model.log_probabilities(p, every, before)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_model_has_all_dimensions():
+    p = language_model.start()
+    assert p["R"].shape == p["Q"].shape == (language_model.CLASSES, 24) and p["C"].shape == (language_model.ORDER, 24)
+    assert {k: v.shape for k, v in language_model._unpack(language_model._pack(p)).items()} == {k: v.shape for k, v in p.items()}
+
+
 def test_long_text_is_whole(spark):
     t = "word " * 400_000 + "end"
     docs = texts(spark, t)
