@@ -64,6 +64,21 @@ def least(key: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def leftmost(g: np.ndarray, width: int) -> np.ndarray:
+    """Where the minimum, the leftmost of equals by the mask, of each `width` neighbours stands.
+
+    A place has only the bits that the mask leaves, so g is taken in overlapping blocks of no more than these hold.
+    """
+    block = int(~_MASK) + 1
+    if width > block:
+        raise ValueError(f"windows of over {block} grams")
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(g) - width + 1, block - width + 1):
+        part = g[at : at + block]
+        out.append((least((part & _MASK) | np.arange(len(part), dtype=U64), width) & ~_MASK).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
 def anchors(h: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one key: document, first window, the one after the last, and the key.
 
@@ -74,7 +89,7 @@ def anchors(h: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> tuple[
         return none, none, none, np.zeros(0, U64)
     half = (window - gram) // 2
     g = tx.rolling(h, gram, 5)
-    place = (least((g & _MASK) | np.arange(len(g), dtype=U64), window - gram + 1) & ~_MASK).astype(np.int64)
+    place = leftmost(g, window - gram + 1)
     own = tx.owners(firsts)
     at = np.flatnonzero(own[: len(place)] == own[window - 1 :][: len(place)])
     if not len(at):

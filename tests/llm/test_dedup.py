@@ -1,6 +1,7 @@
+import numpy as np
 import pytest
 
-from rillgrid.llm import near, substring, suffixes
+from rillgrid.llm import near, substring, suffixes, windows
 
 from . import data
 
@@ -23,6 +24,18 @@ def test_suffixes(spark, window, gram, hot):
     assert got == data.cut_bytes(rows, window)
 
 
+def test_anchors_of_texts_beyond_the_masks_places(monkeypatch):
+    """With places of 5 bits, texts of hundreds of units get the anchors that they get with 24."""
+    h = windows.tx.mix(np.random.default_rng(3).integers(0, 50, 700), 4)
+    h[500:600] = h[20:120]
+    firsts = np.array([0, 3, 400, 400, 700])
+    want = windows.anchors(h, firsts, 20, 4)
+    monkeypatch.setattr(windows, "_MASK", ~np.uint64(31))
+    for a, b in zip(want, windows.anchors(h, firsts, 20, 4), strict=True):
+        assert a.tolist() == b.tolist()
+    assert windows.leftmost(np.arange(100, dtype=np.uint64)[::-1] << np.uint64(30), 32).tolist() == list(range(31, 100))
+
+
 def test_suffixes_of_periodic_and_nul_bytes(spark):
     rows = [(1, "ab" * 50 + "\0" * 40, *[None] * 9), (2, "\0" * 40 + "b" + "ab" * 30, *[None] * 9), (3, "xyz", *[None] * 9)]
     got = {r[0]: tuple(r[1:]) for r in suffixes.dedup(frame(spark, rows), 20, 4, 3).collect()}
