@@ -9,10 +9,16 @@ but 1.3e-7.  Documents of equal sets are one class and only its smallest doc_id
 Buckets aren't expanded into pairs.  Each document's shingles that no other document in a bucket
 has are counted: they bound its similarity with any.  A bucket's leader is the document with the
 smallest share of its own, a group's least changed one; all others are compared with it, and the
-components of these links mostly settle the bucket.  At last come pairs of one bucket and
-different components: they share at most what both share with the leader and what of the rest is
-neither's own, and are compared if that can reach the threshold.  So no link between components is
-lost, and a pair within one would add nothing.
+components of these links mostly settle the bucket.
+
+At last come pairs of one leader and different components.  A document is described by its changes:
+the leader's shingles that it lacks and its own that the leader lacks.  Two documents share
+exactly both_a + both_b - size of the leader + the changes they have in common, so a pair needs so
+many common changes; none at all suffices only if both link with the leader, which puts them in
+one component.  Changes are ordered by rarity, those that all stand in one component left out; a
+document is indexed by as many of its first ones as a pair must meet in, and pairs meet by
+(leader, change) if what is left after it can still reach the need.  They are confirmed on full
+sets.  So no link between components is lost, and a pair within one would add nothing.
 
 Cases: a null or empty text, or one of white space, has an empty set and links with nothing; a
 text of fewer words than a shingle has one shingle, the whole; rows that share a doc_id count as
@@ -133,18 +139,40 @@ def overlaps(pairs: DataFrame, docs: DataFrame, k: int, n: int) -> DataFrame:
     return _met(pairs, docs, n).mapInArrow(sized, ", ".join(f"{c} long" for c in names))
 
 
-def own_beside(pairs: DataFrame, docs: DataFrame, k: int, n: int) -> DataFrame:
-    """(a, b, own): how many of b's shingles stand neither in a nor in any other partner of a."""
+def changes(pairs: DataFrame, docs: DataFrame, k: int, n: int) -> DataFrame:
+    """(a, b, shingle): the shingles that just one of a and b has."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _compared(batches, k):
-            rest = [x[~same] for _, _, _, x, same in found]
+            rest = [np.concatenate([x[~same], np.setdiff1d(mine, x, assume_unique=True)]) for _, _, mine, x, same in found]
             ids = [np.repeat(np.array([r[j] for r in found], np.int64), [len(x) for x in rest]) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array((np.concatenate(rest) if rest else np.zeros(0, U64)).view(np.int64))], ["a", "b", "shingle"])
 
-    rows = _met(pairs, docs, n).mapInArrow(listed, "a long, b long, shingle long")
-    once = rows.groupBy("a", "shingle").agg(F.min("b").alias("b"), F.max("b").alias("last")).filter("b = last")
-    return once.groupBy("a", "b").agg(F.count("*").alias("own"))
+    return _met(pairs, docs, n).mapInArrow(listed, "a long, b long, shingle long")
+
+
+def unsettled(star: DataFrame, part: DataFrame, docs: DataFrame, k: int, percent: int, n: int) -> DataFrame:
+    """Pairs (a, b) of one leader and different components that may link, from each leader's comparisons.
+
+    star: a (the leader), b, a_size, b_size, both.  part: node, component.  With all sides scaled by
+    100 + percent, a pair needs gap_a + gap_b + (100 + percent) * a_size common changes.
+    """
+    scale = 100 + percent
+    named = star.join(part.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("c", F.coalesce("component", "b"))
+    named = named.join(part.select(F.col("node").alias("a"), F.col("component").alias("lead_component")), "a", "left").withColumn("out", ~F.col("c").eqNullSafe(F.coalesce("lead_component", "a")))
+    named = named.select("a", "b", "c", "out", (F.lit(scale) * F.col("a_size")).alias("whole"), (F.lit(percent) * F.col("b_size") - F.lit(scale) * F.col("both")).alias("gap"))
+    best = named.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("gap").alias("any_gap"), F.min(F.when(F.col("out"), F.col("gap"))).alias("out_gap")).filter("low <> high")
+    least = F.greatest(F.ceil((F.col("gap") + F.when(F.col("out"), F.col("any_gap")).otherwise(F.col("out_gap")) + F.col("whole")) / scale), F.lit(1))
+    named = stage(named.join(best, "a").select("a", "b", "c", "out", "whole", "gap", least.cast("int").alias("least")), "several")
+    found = stage(changes(named.select("a", "b"), docs, k, n).join(named, ["a", "b"]), "changes")
+    shared = found.groupBy("a", "shingle").agg(F.count("*").alias("times"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("a", "shingle", "times")
+    mine = Window.partitionBy("a", "b")
+    placed = found.join(shared, ["a", "shingle"]).withColumn("at", F.row_number().over(mine.orderBy("times", "shingle"))).withColumn("left", F.count("*").over(mine) - F.col("at"))
+    placed = stage(placed.filter(F.col("left") + 1 >= F.col("least")).select("a", "b", "c", "out", "shingle", "whole", "gap", "left"), "placed")
+    one, two = (placed.select("a", "shingle", "whole", *[F.col(c).alias(f"{x}_{c}") for c in ("b", "c", "out", "gap", "left")]) for x in "xy")
+    need = F.col("x_gap") + F.col("y_gap") + F.col("whole")
+    met = one.filter("x_out").join(two.drop("whole"), ["a", "shingle"]).filter("x_c <> y_c AND (NOT y_out OR x_b < y_b)").filter(F.lit(scale) * (1 + F.least("x_left", "y_left")) >= need)
+    return met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
 
 
 def own_shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -178,7 +206,7 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows:
     # what stands in no other of these documents can't be shared, which bounds a document's similarity with any
     # the texts of these documents are dealt once, and read again from here
     docs = stage(docs.join(met.select("doc_id").distinct(), "doc_id"), "candidates")
-    n = partitions(docs, 4)
+    n = partitions(docs, 16)
     own = own_shingles(docs, k)
     at = met.join(own, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     at = stage(at.filter(reaches(F.col("common"), F.col("n"), F.col("common"))), "open")
@@ -188,18 +216,7 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows:
     star = stage(overlaps(stage(star, "star"), docs, k, n), "compared")
     links = star.filter(reaches(F.col("both"), F.col("a_size"), F.col("b_size"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
     part = components(links)
-    # Then all pairs of a bucket, of different components, that can reach the threshold.  They share at most
-    # what both share with the leader and, of the rest, what isn't one's own among the leader's partners.
-    named = at.join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    several = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band")
-    named = named.join(several, "band").join(star.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), "both"), ["lead", "doc_id"])
-    named = stage(named.select("band", "lead", "doc_id", "n", "c", "both"), "several")
-    own = own_beside(named.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), docs, k, n)
-    beside = named.join(own.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), "own"), ["lead", "doc_id"], "left")
-    mixed = stage(beside.select("band", "doc_id", "n", "c", "both", (F.col("n") - F.col("both") - F.coalesce("own", F.lit(0))).alias("rest")), "mixed")
-    left, right = (mixed.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "both", "rest", "c")], F.col("doc_id").alias(x)) for x in "ab")
-    most = F.least("a_both", "b_both") + F.least("a_rest", "b_rest")
-    rest = left.join(right, "band").filter("a < b AND a_c <> b_c").filter(reaches(most, F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
+    rest = unsettled(star, part, docs, k, percent, n)
     more = overlaps(stage(rest, "rest"), docs, k, n).filter(reaches(F.col("both"), F.col("a_size"), F.col("b_size"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
     more = stage(more, "more")
     if not more.isEmpty():

@@ -210,7 +210,7 @@ def _finish(window: int, with_text: bool):
     return finish
 
 
-def dedup(docs: DataFrame, window: int = 50, gram: int = 8, hot: int = 20_000, shard_mb: float = 2.0, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 50, gram: int = 8, hot: int = 2_000, shard_mb: float = 2.0, with_text: bool = False) -> DataFrame:
     """Removes the words of windows that a document with a smaller doc_id has too.
 
     One row per document: doc_id, n_words, n_removed, kept_sha256, and `kept` if with_text.

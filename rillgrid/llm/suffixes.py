@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,6 @@ from pyspark.sql import DataFrame
 
 from . import text as tx
 from .substring import removed_units
-from .tables import partitions
 from .windows import Units, find, report, runs, spread, unsettled
 
 BYTES = Units(False)
@@ -144,20 +144,33 @@ def shard(window: int):
     return searched
 
 
-def merge(rows: DataFrame) -> DataFrame:
-    """Windows of different shards of a hot anchor that are equal: by binary search among the sorted fingerprints."""
+def merge(rows: DataFrame, limit: int = 1 << 17) -> DataFrame:
+    """Windows of different shards of a hot anchor that are equal.
+
+    The shards' windows are merged into one order, by fingerprint; of each part of it, of about
+    `limit` rows and cut where the fingerprint changes, a window is looked up by binary search.
+    """
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [b for b in batches if b.num_rows]
-        if kept:
-            t = pa.Table.from_batches(kept)
+        waiting = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                waiting.append(batch)
+                if sum(b.num_rows for b in waiting) < limit:
+                    continue
+            if not waiting:
+                continue
+            t = pa.Table.from_batches(waiting)
             f = np.stack([t.column(c).to_numpy() for c in ("f1", "f2")], 1)
-            f = np.ascontiguousarray(f).view([("f1", np.int64), ("f2", np.int64)]).ravel()
-            line = np.sort(f)
-            found = np.searchsorted(line, f, "right") - np.searchsorted(line, f, "left") > 1
-            yield from t.select(["doc_id", "first", "last"]).filter(pa.array(found)).to_batches()
+            line = np.ascontiguousarray(f).view([("f1", np.int64), ("f2", np.int64)]).ravel()
+            # the last fingerprint may go on in the next batch
+            whole = len(line) if batch is None else int(np.searchsorted(line, line[-1], "left"))
+            line, rest = line[:whole], t.slice(whole)
+            found = np.searchsorted(line, line, "right") - np.searchsorted(line, line, "left") > 1
+            yield from t.slice(0, whole).select(["doc_id", "first", "last"]).filter(pa.array(found)).to_batches()
+            waiting = rest.to_batches()
 
-    return rows.repartition(partitions(rows, 16), "f1", "f2").mapInArrow(looked_up, "doc_id long, first int, last int")
+    return rows.repartition("f1", "f2").sortWithinPartitions("f1", "f2").mapInArrow(looked_up, "doc_id long, first int, last int")
 
 
 def _finish(window: int, with_text: bool):
@@ -182,7 +195,7 @@ def _finish(window: int, with_text: bool):
     return finish
 
 
-def dedup(docs: DataFrame, window: int = 400, gram: int = 32, hot: int = 4_000, shard_mb: float = 0.5, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 400, gram: int = 32, hot: int = 1_000, shard_mb: float = 0.5, with_text: bool = False) -> DataFrame:
     """Removes every byte of a `window`-byte string that starts anywhere else too.
 
     One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and `kept` if with_text.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset, as in tests, a temporary one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session, whose tasks run in the driver, gets a temporary one; on a
+    cluster that is an error, as each executor would write to a disk of its own.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='rillgrid-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -37,23 +44,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """What the optimiser takes as the size of df's input, in bytes; for tables in files, that of the files."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # a plan without statistics
-        return 1 << 20
-    return min(size, 1 << 50)
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """The bytes of a text column, summed over all rows: files are compressed and say too little."""
+    return int(df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0)
 
 
-def partitions(df: DataFrame, mb: float) -> int:
-    """So many partitions that each gets about mb megabytes of df's input, and at least the session's."""
+def partitions(df: DataFrame, mb: float, size: int | None = None) -> int:
+    """So many partitions that each gets about mb megabytes of df's text (or of `size` bytes), and at least the session's."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-input_bytes(df) // int(mb * 1e6)))
+    return max(least, -(-(text_bytes(df) if size is None else size) // int(mb * 1e6)))
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of text in one Arrow batch; the default of 10,000 holds too much with long documents."""
+    """Rows of text in one Arrow batch; the default of 10,000 holds too much with long documents.
+
+    Plans read it when they run, which is after the operator returned, so it stays set in the session.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

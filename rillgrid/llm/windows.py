@@ -13,6 +13,8 @@ meet, though no task sees all documents:
 3. A key that stands once (or in one document, if only other documents count) rules out its
    windows.  Of the others, a segment is cut for each run of windows with one key, and dealt to
    shards by the key.
+   A task sorts its segments by key and takes `shard_mb` of them at a time, so that a shard is a
+   range of keys of bounded size, whatever the corpus.
 4. Keys of more than `hot` segments are dealt over several shards.  There a window without a
    partner may have one in another shard of the key; it's passed on by fingerprint.
 
@@ -217,15 +219,41 @@ def runs(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return owner[a], at[a], at[np.append(a[1:], len(at)) - 1] + 1
 
 
-def whole_partition(batches: Iterator[pa.RecordBatch], shard: Callable[[dict], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Hands all segments of a partition to `shard` as arrays; the partitioning bounds their bytes."""
-    kept = [b for b in batches if b.num_rows]
-    if kept:
-        table = pa.Table.from_batches(kept).combine_chunks()
-        buf, offs = tx.buffers(table.column("seg").combine_chunks())
-        places = table.column("firsts").combine_chunks()
-        times = places.value_lengths().to_numpy().astype(np.int64)
-        yield from shard({"buf": buf, "offs": offs, "doc_id": table.column("doc_id").to_numpy(), "firsts": places.flatten().to_numpy().astype(np.int64), "times": times, "cut": np.cumsum(times) - times, "salted": table.column("salted").to_numpy(zero_copy_only=False)})
+def slabs_of_keys(batches: Iterator[pa.RecordBatch], shard: Callable[[dict], Iterator[pa.RecordBatch]], limit: int) -> Iterator[pa.RecordBatch]:
+    """Hands a partition's segments, sorted by their shard key, to `shard` as arrays, `limit` bytes at a time.
+
+    A slab ends where the key changes, so what has to meet does; memory follows `limit` and the
+    largest key, which holds about `hot` segments at most, and not the partition.
+    """
+    waiting, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.column("seg").nbytes
+        if size >= 2 * limit:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            key = table.column("shard").to_numpy()
+            _, offs = tx.buffers(table.column("seg"))
+            ends = np.flatnonzero(key[1:] != key[:-1]) + 1
+            at = 0
+            while True:
+                to = ends[np.searchsorted(ends, np.searchsorted(offs, offs[at] + limit)) :]
+                if not len(to):
+                    break
+                yield from shard(_arrays(table.slice(at, int(to[0]) - at)))
+                at = int(to[0])
+            rest = table.slice(at)
+            waiting, size = rest.to_batches(), int(offs[-1] - offs[at])
+    if waiting:
+        yield from shard(_arrays(pa.Table.from_batches(waiting)))
+
+
+def _arrays(table: pa.Table) -> dict:
+    table = table.combine_chunks()
+    buf, offs = tx.buffers(table.column("seg"))
+    places = table.column("firsts").combine_chunks()
+    times = places.value_lengths().to_numpy().astype(np.int64)
+    return {"buf": buf, "offs": offs, "doc_id": table.column("doc_id").to_numpy(), "firsts": places.flatten().to_numpy().astype(np.int64), "times": times, "cut": np.cumsum(times) - times, "salted": table.column("salted").to_numpy()}
 
 
 def find(docs: DataFrame, units: Units, window: int, gram: int, across: bool, shard: Callable[[dict], Iterator[pa.RecordBatch]], merge: Callable[[DataFrame], DataFrame], finish: Callable, result: str, hot: int, shard_mb: float) -> DataFrame:
@@ -238,9 +266,10 @@ def find(docs: DataFrame, units: Units, window: int, gram: int, across: bool, sh
     """
     bounded_batches(docs.sparkSession)
     docs = texts(docs)
-    n = partitions(docs, shard_mb)
+    n = partitions(docs, 32)
     seen = stage(outline(docs, units, window, gram), "outline")
-    classes = seen.groupBy("c1", "c2").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("members")).filter("members > 1")
+    # a text shorter than a window loses nothing, however often it stands
+    classes = seen.filter(F.col("n_units") >= window).groupBy("c1", "c2").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("members")).filter("members > 1")
     marked = seen.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"])
     marked = stage(marked.select("doc_id", (F.col("doc_id") != F.col("smallest")).alias("later")), "classes")
     first = seen.join(marked.filter("later").select("doc_id"), "doc_id", "left_anti")
@@ -251,7 +280,9 @@ def find(docs: DataFrame, units: Units, window: int, gram: int, across: bool, sh
     # one dealing of the texts by doc_id serves both joins
     dealt = docs.repartition(n, "doc_id")
     segments = dealt.join(look.hint("shuffle_hash"), "doc_id").mapInArrow(_segments(units, window, gram, hot), "shard long, doc_id long, firsts array<int>, seg binary, salted boolean")
-    reports = stage(segments.repartition(n, "shard").mapInArrow(lambda b: whole_partition(b, shard), REPORT), "reports")
+    limit = int(shard_mb * 1e6)
+    sorted_ = segments.repartition(n, "shard").sortWithinPartitions("shard")
+    reports = stage(sorted_.mapInArrow(lambda b: slabs_of_keys(b, shard, limit), REPORT), "reports")
     found = reports.filter("f1 is null").select("doc_id", "first", "last").unionByName(merge(reports.filter("f1 is not null")))
     found = found.groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     twins = marked.filter("later") if across else marked
