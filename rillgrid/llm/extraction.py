@@ -1,17 +1,23 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page's tokens are its structural elements, named by their path of tags and classes.  Tokens of
-one host that occur equally often in each page, their occurrence vectors being equal, make up an
-equivalence class; vectors are compared by sums of hashes of their pages, so that a host of any
-number of pages is summed before it's shuffled.  A class is valid if its tokens stand once in
-each of its pages; valid classes nest by their tokens' paths, and the one of all the host's pages
-is the template.  The template's element that holds the article, or else most text outside
-boilerplate, is the host's content slot.
-
-Only hosts whose slot isn't what a page alone would give (its article, or else its main) are
-carried to the pages, by a join that Spark broadcasts if the table is small by its files' size.
-From the slot's element goes what is boilerplate by tag or class: menus, footers, asides, forms,
-scripts, styles, adverts, notices and comments.
+A page's tokens are its structural elements, named by their path of tags and classes, and its
+blocks of text, named by path and wording.  Tokens of one host that occur equally often in each
+page, their occurrence vectors being equal, make up an equivalence class; pages of equal html
+count once, and vectors are compared by sums of hashes of their pages, so that a host of any
+number of pages is summed before it's shuffled.  Only tokens of at least half of a host's pages
+go on, of which there are no more than twice as many as on its average page.
+
+A class is valid if its elements stand once in each of its pages and if all its tokens that lie in
+none of its own elements lie within one and the same element of the classes around it, which are
+those of more pages.  The valid classes, nested, are the host's template.  Its slots are its
+elements; what its blocks of text cover is no content.  The content slot is the article, or else
+main, or else the innermost element with most of the text that the template leaves.  What remains
+of a page's slot, less the template's text, is its text.
+
+Within a slot, elements go by kind too: menus, footers, asides, forms, scripts and styles by tag,
+adverts, notices and comments by class.  Text is taken as the template's only where all pages of a host
+have it, `pages` of them at least, and where it's less than half of the slot's: pages that are
+copies of one another but for their ids share their article too.
 
 Cases: a null or empty page gives an empty text; a page without a host or of a host with one page is its own
 template; a page that lacks its host's slot falls back on its own; unclosed elements end with
@@ -26,7 +32,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -38,18 +45,37 @@ DROPPED = frozenset("aside button canvas footer form head iframe nav noscript ob
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 STRUCTURE = frozenset("html body div section article main header footer nav aside form ul ol table h1".split())
 BOILERPLATE = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices popup promo promotion related reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+PART = frozenset("area bar block box button buttons container content form inner items link links list outer panel posts section site stories text top bottom left right wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+STYLED = re.compile(r"display\s*:\s*none", re.I)
 
 
-def _marks(rest: str) -> list[str]:
-    """Words of an element's class, id and role."""
-    return [w for m in NAMES.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w] if rest else []
+def attributes(rest: str) -> dict[str, str]:
+    """An element's attributes by name in lower case, the first of a name."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(rest):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _names(found: dict[str, str], tag: str) -> list[str]:
+    """The names in an element's class and role, and its id, unless that is a heading's anchor."""
+    return f"{found.get('class', '')} {found.get('role', '')} {'' if tag in HEADINGS else found.get('id', '')}".lower().split()
+
+
+def _marked(names: list[str], inside: bool) -> bool:
+    """Whether a name says boilerplate: one of its words does, and within an article nothing else in it speaks of content."""
+    for name in names:
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not BOILERPLATE.isdisjoint(words) and (not inside or all(w in BOILERPLATE or w in PART for w in words)):
+            return True
+    return False
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -79,11 +105,12 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool]]:
                     tag, path, dropped = stack.pop()
                     yield "close", tag, path, dropped
                 _, path, dropped = stack[-1]
-            marks = _marks(rest) if value not in ("a", "b", "i", "p", "li", "span", "em", "strong") or rest else []
+            found = attributes(rest) if rest else {}
+            names = _names(found, value) if found else []
             if value in STRUCTURE:
-                path = f"{path}/{value}" + (f".{'.'.join(marks)}" if marks else "")
+                path = f"{path}/{value}" + (f".{'.'.join(names).replace('/', '')}" if names else "")
             inside = any(t in ("article", "main") for t, _, _ in stack)
-            gone = dropped or value in DROPPED or (value == "header" and not inside) or (value not in ("html", "body", "article", "main") or inside) and (not BOILERPLATE.isdisjoint(marks) or bool(rest) and bool(HIDDEN.search(rest)))
+            gone = dropped or value in DROPPED or (value == "header" and not inside) or bool(found) and (value not in ("html", "body", "article", "main") or inside) and (_marked(names, inside) or "hidden" in found or bool(STYLED.search(found.get("style", ""))))
             yield "open", value, path, gone
             if value in VOID or rest.endswith("/"):
                 yield "close", value, path, gone
@@ -104,57 +131,121 @@ def _tag(path: str) -> str:
     return path.rpartition("/")[2].partition(".")[0]
 
 
-def structure(page: str) -> dict[str, tuple[int, int]]:
-    """Each token's occurrences in the page and the characters of kept text within."""
-    out: dict[str, list[int]] = {}
+def wording(path: str, words: list[str]) -> int:
+    """The token of a block of text."""
+    return xxhash.xxh64_intdigest(f"{path}|{' '.join(words)}") - (1 << 63)
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, str, bool, list[str]]]:
+    """As walk, but kept text comes by block, as words, and other text not at all."""
+    parts: list[str] = []
+    around = ""
     for kind, value, path, dropped in walk(page):
+        if kind == "text":
+            if not dropped:
+                parts.append(value)
+                around = path
+            continue
+        if value in BLOCKS or value in STRUCTURE:
+            if parts and (words := references.unescape("".join(parts)).split()):
+                yield "text", "", around, False, words
+            parts = []
+        yield kind, value, path, dropped, []
+    if parts and (words := references.unescape("".join(parts)).split()):
+        yield "text", "", around, False, words
+
+
+def tokens(page: str) -> dict[int, list]:
+    """Each token of the page: its path, whether it is text, its occurrences, and the characters of text within."""
+    out: dict[int, list] = {}
+    paths: dict[str, int] = {}
+    for kind, value, path, dropped, words in pieces(page):
         if kind == "open" and value in STRUCTURE and not dropped:
-            out.setdefault(path, [0, 0])[0] += 1
-        elif kind == "text" and not dropped and value.strip():
+            at = paths.setdefault(path, wording(path, []))
+            out.setdefault(at, [path, False, 0, 0])[2] += 1
+        elif kind == "text":
+            n = len(words) - 1 + sum(map(len, words))
+            token = out.setdefault(wording(path, words), [path, True, 0, 0])
+            token[2] += 1
+            token[3] += n
             while path:
-                if path in out:
-                    out[path][1] += len(value)
+                if path in paths:
+                    out[paths[path]][3] += n
                 path = path.rpartition("/")[0]
-    return {k: (v[0], v[1]) for k, v in out.items()}
+    return out
 
 
-def choose(tokens: dict[str, tuple[int, int]]) -> str:
-    """The content slot among a template's tokens: the article, else main, else the innermost with most of the text."""
+def choose(elements: dict[str, int]) -> str:
+    """The content slot among elements and their characters of text: the article, else main, else the innermost with most of the text."""
     for tag in ("article", "main"):
-        if found := [k for k in tokens if _tag(k) == tag]:
-            return max(found, key=lambda k: (tokens[k][1], -len(k), k))
-    full = max((v[1] for v in tokens.values()), default=0)
-    best = [k for k, v in tokens.items() if 2 * v[1] > full]
-    return max(best, key=lambda k: (k.count("/"), tokens[k][1], k), default="")
-
-
-def extract(page: str, slot: str | None = None) -> str:
-    """The text of the page's slot; without one, of its articles, else its main, else what it would choose."""
-    if slot is None or slot not in structure(page):
-        lower = page.lower()
-        slot = "" if "<article" in lower or "<main" in lower else choose(structure(page))
-    names = ("article",) if slot or "<article" in page.lower() else ("main",)
-    parts, depth, found = [], 0, False
-    open_: list[bool] = []
-    for kind, value, path, dropped in walk(page):
-        if kind == "text":
-            if depth and not dropped:
-                parts.append(value)
+        if found := [k for k in elements if _tag(k) == tag]:
+            return max(found, key=lambda k: (elements[k], -len(k), k))
+    full = max(elements.values(), default=0)
+    return max((k for k, v in elements.items() if 2 * v > full), key=lambda k: (k.count("/"), elements[k], k), default="")
+
+
+def within(path: str, slot: str) -> bool:
+    return path == slot or path.startswith(slot + "/")
+
+
+def template(classes: list[dict], host_pages: int, pages: int) -> tuple[str, list[int]]:
+    """The content slot and the text tokens in it, of a host's equivalence classes.
+
+    Each class has its tokens (token, path, text, n, chars) and the number of its pages.
+    """
+    valid: list[dict] = []
+    elements: dict[str, int] = {}
+    for c in sorted(classes, key=lambda c: (-c["pages"], -len(c["tokens"]), c["tokens"][0]["token"])):
+        own = {t["path"] for t in c["tokens"] if not t["text"]}
+        if not c["tokens"] or any(t["n"] != c["pages"] for t in c["tokens"] if not t["text"]):
+            continue
+        # the paths around the class's tokens that it does not hold itself must be those of one element of a class outside it
+        around = set()
+        for t in c["tokens"]:
+            up = t["path"] if t["text"] else t["path"].rpartition("/")[0]
+            while up and up not in own and up not in elements:
+                up = up.rpartition("/")[0]
+            if up not in own:
+                around.add(up)
+        if len(around) > 1 and valid:
             continue
-        if value in BLOCKS and depth:
-            parts.append(" ")
-        if kind == "open":
-            root = (path == slot and value == _tag(slot)) if slot else value in names and not dropped
+        valid.append(c)
+        elements |= {t["path"]: t["chars"] for t in c["tokens"] if not t["text"]}
+    text = [t for c in valid for t in c["tokens"] if t["text"] and c["pages"] == host_pages >= pages]
+    if 2 * sum(t["chars"] for t in text) >= max(elements.values(), default=0):
+        text = []
+    left = {k: v - sum(t["chars"] for t in text if within(t["path"], k)) for k, v in elements.items()}
+    slot = choose(left)
+    inner = [t for t in text if within(t["path"], slot)]
+    if 2 * (elements.get(slot, 0) - left.get(slot, 0)) >= elements.get(slot, 0):
+        inner = []
+    return slot, sorted(t["token"] for t in inner)
+
+
+def extract(page: str, slot: str | None = None, covered: frozenset[int] = frozenset()) -> str:
+    """The text of the page's slot, less the blocks that the template covers; without a slot, that of its articles, else its main, else what it would choose."""
+    events = list(pieces(page))
+    opened = {p for k, v, p, d, _ in events if k == "open" and v in STRUCTURE}
+    if slot not in opened:
+        slot, covered = None, frozenset()
+        kinds = {v for k, v, _, d, _ in events if k == "open" and not d}
+        names = ("article",) if "article" in kinds else ("main",)
+        if not kinds & {"article", "main"}:
+            slot = choose({p: n for p, text, _, n in tokens(page).values() if not text})
+    parts: list[str] = []
+    depth, open_ = 0, []
+    for kind, value, path, dropped, words in events:
+        if kind == "text":
+            if depth or slot == "":
+                if not (covered and wording(path, words) in covered):
+                    parts.extend(words)
+        elif kind == "open":
+            root = (path == slot and value == _tag(slot)) if slot is not None else value in names and not dropped
             open_.append(root)
             depth += root
-            if root:
-                parts.append(" ")
-                found = True
-        elif open_:
+        else:
             depth -= open_.pop()
-    if not found and not slot:
-        return extract(page, choose(structure(page))) if structure(page) else " ".join(references.unescape("".join(v for k, v, _, d in walk(page) if k == "text" and not d)).split())
-    return " ".join(references.unescape("".join(parts)).split())
+    return " ".join(parts)
 
 
 def host(url):
@@ -162,37 +253,54 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, classes (of a host's valid equivalence classes: tokens and pages, largest first) and slot."""
+def templates(pages: DataFrame, least: int = 4) -> DataFrame:
+    """host, slot and covered (tokens of template text in the slot) of hosts with several pages of different html.
+
+    least: different pages that a host must have for its common text to be the template's.
+    """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.slabs(batch, "html"):
-                rows = [(h, k, p, *v) for h, k, p in zip(part.column("host").to_pylist(), part.column("key").to_pylist(), part.column("html").to_pylist(), strict=True) if p for k, p, v in [(k, t, c) for t, c in structure(p).items()]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["host", "key", "token", "n", "chars"])
+                rows = [(h, k, t, *v) for h, k, p in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), part.column("html").to_pylist(), strict=True) for t, v in tokens(p).items()]
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["host", "page", "token", "path", "text", "n", "chars"])
+
+    some = pages.filter("host <> '' AND html <> ''").select("host", F.xxhash64("html").alias("page"), "html")
+    found = some.mapInArrow(listed, "host string, page long, token long, path string, text boolean, n long, chars long")
+    # pages of equal html are one
+    once = found.groupBy("host", "page", "token").agg(*[F.min(c).alias(c) for c in ("path", "text", "n", "chars")])
+    weigh = lambda seed: F.sum(F.pmod(F.xxhash64("page", F.lit(seed)), F.lit(1 << 30)) * F.col("n"))
+    vectors = once.groupBy("host", "token").agg(F.min("path").alias("path"), F.min("text").alias("text"), weigh(1).alias("v1"), weigh(2).alias("v2"), F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars")).filter("pages > 1")
+    vectors = stage(vectors, "vectors")
+    hosts = vectors.groupBy("host").agg(F.max("pages").alias("host_pages"))
+    common = vectors.join(hosts, "host").filter("2 * pages >= host_pages")
+    classes = common.groupBy("host", "host_pages", "v1", "v2", "pages").agg(F.sort_array(F.collect_list(F.struct("token", "path", "text", "n", "chars"))).alias("tokens"))
+    whole = classes.groupBy("host", "host_pages").agg(F.collect_list(F.struct("pages", "tokens")).alias("classes"))
+
+    def nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["host"], *template(r["classes"], r["host_pages"], least)) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["host", "slot", "covered"])
 
-    tokens = pages.select("host", F.xxhash64("page_id").alias("key"), "html").mapInArrow(listed, "host string, key long, token string, n long, chars long")
-    weigh = lambda seed: F.sum(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) * F.col("n"))
-    vectors = tokens.groupBy("host", "token").agg(weigh(1).alias("v1"), weigh(2).alias("v2"), F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
-    # valid: once in each of its pages.  The class of most pages is the template, as its tokens' paths hold all others.
-    classes = vectors.filter("n = pages").groupBy("host", "v1", "v2", "pages").agg(F.sort_array(F.collect_list(F.struct("token", "chars"))).alias("tokens"))
-    top = Window.partitionBy("host").orderBy(F.col("pages").desc(), F.size("tokens").desc(), "v1", "v2")
-    best = classes.withColumn("r", F.row_number().over(top)).filter("r = 1")
-    slot = F.udf(lambda tokens: choose({t["token"]: (1, t["chars"]) for t in tokens}), "string")
-    return best.select("host", "pages", F.transform("tokens", lambda t: t["token"]).alias("template"), slot("tokens").alias("slot"))
+    return whole.mapInArrow(nested, "host string, slot string, covered array<long>").filter("slot <> ''")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text and n_chars, its code points."""
+    """One row per page: page_id, url, text and n_chars, its code points.
+
+    The templates are staged; Spark broadcasts them if their files are small, and else deals the pages by host.
+    """
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host(F.col("url")))
-    # what a page alone gives needs no entry
-    found = stage(templates(rows).filter((F.col("host") != "") & (F.col("pages") > 1) & ~F.col("slot").rlike(r"/(article|main)[^/]*$")).select("host", "slot"), "templates")
+    found = stage(templates(rows), "templates")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sets: dict[tuple, frozenset[int]] = {}
             for part in tx.slabs(batch, "html"):
-                texts = [extract(p, s) if p else "" for p, s in zip(part.column("html").to_pylist(), part.column("slot").to_pylist(), strict=True)]
+                columns = [part.column(c).to_pylist() for c in ("html", "slot", "covered")]
+                texts = [extract(p, s, sets.setdefault(tuple(c or ()), frozenset(c or ()))) if p else "" for p, s, c in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "slot").mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
+    return rows.join(found, "host", "left").select("page_id", "url", "html", "slot", "covered").mapInArrow(extracted, "page_id long, url string, text string, n_chars long")

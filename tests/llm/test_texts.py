@@ -121,8 +121,56 @@ def test_extraction(spark):
     assert got[3] == (4, None, "", 0) and got[4][2:] == ("", 0)
     assert got[5] == got[6] == (6, "x", "no markup & none", 16)
     assert extraction.main_text(pages.limit(0)).count() == 0
-    slots = {r.host: (r.pages, r.slot) for r in extraction.templates(pages.select("page_id", "html", extraction.host(F.col("url")).alias("host"))).collect()}
-    assert slots["b.example.com"] == (2, "/html/body/div.story")
+    slots = {r.host: (r.slot, r.covered) for r in extraction.templates(pages.select("html", extraction.host(F.col("url")).alias("host"))).collect()}
+    assert slots == {"b.example.com": ("/html/body/div.story", [])}
+
+
+def test_extraction_reads_attributes():
+    """Words within values, ids and data attributes say nothing; names of boilerplate do."""
+    kept = ['<div title="the hidden cost">KEEP</div>', '<p data-id="related-12">KEEP</p>', '<h2 id="social-policy">KEEP</h2>', '<h2 id="comments">KEEP</h2>', '<p class="ad-hoc">KEEP</p>', "<div style='color:red'>KEEP</div>"]
+    for x in kept:
+        assert extraction.extract(f"<body><article>a {x} b</article></body>") == "a KEEP b"
+    for x in ['<div class="ad">no</div>', '<ul class="share-buttons x"><li>no</ul>', "<p hidden>no</p>", "<div style='display: none'>no</div>", '<div id="comments">no</div>', "<aside>no</aside>", "<div role=navigation>no</div>"]:
+        assert extraction.extract(f"<body><article>a {x} b</article></body>") == "a b"
+
+
+def story(i, notice="Read our house rules", rng=None):
+    words = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(90)) for _ in range(40))
+    return f"<html><body><div class='top'><p>Our site</p></div><div class='story'><p class='rules'>{notice}</p><p>{words}</p><div class='by'><p>{words[:60]}</p></div></div><div class='end'><p>page {i}</p></div></body></html>", f"{words} {' '.join(words[:60].split())}"
+
+
+def test_extraction_by_classes(spark):
+    """Template text in the slot goes on a host of several pages, stays on one of few, and copies keep their article."""
+    rng = random.Random(4)
+    rows = [(i, f"http://a.org/{i}", *story(i, rng=rng)) for i in range(6)]
+    few = [(10 + i, f"http://b.org/{i}", *story(i, rng=rng)) for i in range(2)]
+    page, text = story(0, rng=rng)
+    copies = [(20 + i, f"http://c.org/{i}", page.replace("page 0", f"page {i}"), f"Read our house rules {text}") for i in range(6)]
+    rows += [(30, "http://a.org/copy", rows[0][2], rows[0][3])]
+    want = {i: t for i, _, _, t in rows} | {i: f"Read our house rules {t}" for i, _, _, t in few} | {i: t for i, _, _, t in copies}
+    pages = spark.createDataFrame([r[:3] for r in rows + few + copies], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extraction.main_text(pages).collect()} == want
+    found = {r.host: (r.slot, len(r.covered)) for r in extraction.templates(pages.select("html", extraction.host(F.col("url")).alias("host"))).collect()}
+    assert found == {"a.org": ("/html/body/div.story", 1), "b.org": ("/html/body/div.story", 0), "c.org": ("/html/body/div.story", 0)}
+
+
+def test_occurrence_vectors_against_brute_force(spark):
+    """Slots and covered text from vectors spelt out for each host, in place of sums of hashes."""
+    rng = random.Random(8)
+    rows = [(f"h{i % 3}", story(i % 7, notice=rng.choice(["one", "two"]) if i % 3 == 1 else "same", rng=rng)[0]) for i in range(24)]
+    pages = spark.createDataFrame(rows, "host string, html string")
+    got = {r.host: (r.slot, r.covered) for r in extraction.templates(pages).collect()}
+    want = {}
+    for h in {r[0] for r in rows}:
+        seen = [extraction.tokens(p) for p in sorted({r[1] for r in rows if r[0] == h})]
+        classes = {}
+        for t in {t for s in seen for t in s}:
+            vector = tuple(s[t][2] if t in s else 0 for s in seen)
+            there = [s[t] for s in seen if t in s]
+            if 2 * len(there) >= len(seen) and len(there) > 1:
+                classes.setdefault(vector, []).append({"token": t, "path": there[0][0], "text": there[0][1], "n": sum(vector), "chars": sum(x[3] for x in there)})
+        want[h] = extraction.template([{"pages": sum(map(bool, v)), "tokens": sorted(c, key=lambda t: t["token"])} for v, c in classes.items()], len(seen), 4)
+    assert got == want
 
 
 def test_pii(spark):
