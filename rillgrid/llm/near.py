@@ -211,7 +211,7 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows:
     at = met.join(own, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     at = stage(at.filter(reaches(F.col("common"), F.col("n"), F.col("common"))), "open")
     worth = F.struct((F.col("common") / F.col("n")).alias("share"), F.xxhash64("doc_id").alias("draw"), "doc_id")
-    at = stage(at.join(at.groupBy("band").agg(F.max(worth)["doc_id"].alias("lead")), "band").filter("doc_id <> lead"), "led")
+    at = at.join(at.groupBy("band").agg(F.max(worth)["doc_id"].alias("lead")), "band").filter("doc_id <> lead")
     star = at.groupBy(F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("times")).select("a", "b")
     star = stage(overlaps(stage(star, "star"), docs, k, n), "compared")
     links = star.filter(reaches(F.col("both"), F.col("a_size"), F.col("b_size"))).select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -50,18 +50,19 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 
 def partitions(df: DataFrame, mb: float, size: int | None = None) -> int:
-    """So many partitions that each gets about mb megabytes of df's text (or of `size` bytes), and at least the session's."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-(text_bytes(df) if size is None else size) // int(mb * 1e6)))
+    """So many partitions that each gets about mb megabytes of df's text (or of `size` bytes), and at least one for each core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-(text_bytes(df) if size is None else size) // int(mb * 1e6)))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of text in one Arrow batch; the default of 10,000 holds too much with long documents.
+def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 4) -> None:
+    """Rows and bytes of text in one Arrow batch; the defaults, 10,000 rows of any length, hold too much with long documents.
 
     Plans read it when they run, which is after the operator returned, so it stays set in the session.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        have = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
+        if have <= 0 or have > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
