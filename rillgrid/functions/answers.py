@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from fractions import Fraction
 
 import pandas as pd
@@ -19,6 +20,25 @@ def first_tag(text: Column, tag: str = "answer") -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^\s+|\s+$", ""))
 
 
+def tag_or_line(text: Column, line: str = r"Answer:\s*(.+?)(?:\n|$)") -> Column:
+    """What stands in the first pair of answer tags, or else after `Answer:` up to the line's end; null without either."""
+    found = first_tag(text)
+    after = F.when(F.regexp_like(text, F.lit(line)), F.trim(F.regexp_extract(text, line, 1)))
+    return F.coalesce(found, after)
+
+
+def tag_or_braces(text: Column) -> Column:
+    """What stands in the first pair of answer tags, or else the braces after `Answer:`, with them."""
+    return tag_or_line(text, r"(?is)Answer:\s*(\{.*?\})")
+
+
+def cleaned_thought(text: Column, mark: str = "<|endoftext|>") -> Column:
+    """A generated text up to a model's end mark, and no further than its first answer."""
+    x = F.substring_index(text, mark, 1)
+    first = F.regexp_extract(x, r"(?is)^(.*?</answer>)", 1)
+    return F.regexp_replace(F.when(first != "", first).otherwise(x), r"^\s+|\s+$", "")
+
+
 def last_tag(text: Column, tag: str = "answer") -> Column:
     """What stands in the last pair of tags on one line; null without one."""
     return F.trim(F.try_element_at(F.regexp_extract_all(text, F.lit(rf"<{tag}>(.*?)</{tag}>"), F.lit(1)), F.lit(-1)))
@@ -98,9 +118,12 @@ def tokenize_expression(text: str) -> list[str] | None:
     return out
 
 
-def evaluate(text: str | None, longest: int = 1000) -> Fraction | None:
-    """The exact value of an expression of + - * / // ** and parentheses; None if it's none or has no value."""
-    tokens = tokenize_expression(text) if text and len(text) <= longest else None
+def evaluate(text: str | None, most_bits: int = 1 << 20) -> Fraction | None:
+    """The exact value of an expression of + - * / // ** and parentheses; None if it's none or has no value.
+
+    A power of more than `most_bits` bits has no value here: no table needs one, and it would fill memory.
+    """
+    tokens = tokenize_expression(text) if text else None
     if not tokens:
         return None
     at = 0
@@ -136,7 +159,8 @@ def evaluate(text: str | None, longest: int = 1000) -> Fraction | None:
         if peek() == "**":
             take()
             y = signed()
-            if y.denominator != 1 or abs(y) > 64:
+            bits = max(abs(x.numerator).bit_length(), x.denominator.bit_length())
+            if y.denominator != 1 or (abs(x) not in (0, 1) and abs(y) * bits > most_bits):
                 raise ValueError
             return x ** int(y)
         return x

@@ -18,12 +18,16 @@ def same_groups(answer: Column, gold: Column) -> Column:
 
 
 def group_score(answer: Column, gold: Column, score: float = 1.0, format_score: float = 0.1, abstain_score: float = 0.3) -> Column:
-    """0 without an answer, abstain_score for an abstention, score for the same groups or text, else format_score."""
-    squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    """0 without an answer, abstain_score for an abstention, score for the same groups or text, else format_score.
+
+    An answer that holds the gold text, or stands in it, counts as the same text.
+    """
+    plain = lambda c: F.regexp_replace(F.trim(F.lower(c)), r"\s+", " ")
+    a, g = plain(answer), plain(gold)
     return (
         F.when(answer.isNull(), 0.0)
         .when(F.contains(F.lower(answer), F.lit("abstain")), abstain_score)
-        .when(same_groups(answer, gold) | (squeeze(answer) == squeeze(gold)), score)
+        .when(same_groups(answer, gold) | F.coalesce((a != "") & (g != "") & (F.contains(a, g) | F.contains(g, a)), F.lit(False)), score)
         .otherwise(format_score)
     )
 

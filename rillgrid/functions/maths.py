@@ -10,6 +10,7 @@ import math
 import re
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def value(text: str | None) -> float | None:
     x = canonical(text)
     if not x:
         return None
-    for _ in range(8):
+    while True:  # from the innermost fraction outwards
         y = re.sub(r"\\frac\{([^{}]*)\}\{([^{}]*)\}", r"((\1)/(\2))", x)
         y = re.sub(r"(\d)?\\sqrt\{(\d+)\}", lambda m: f"{m[1] or ''}{'*' if m[1] else ''}{math.sqrt(int(m[2])):.12f}", y)
         if y == x:
@@ -140,15 +141,34 @@ def boxed_score(text: Column, gold: Column, tail: int | None = None) -> Column:
 
 
 def repetition(text: str) -> float:
-    """The share of pairs of neighbouring suffixes' common prefixes in all suffix length: near 1 for a text that repeats itself."""
+    """The share of neighbouring suffixes' common prefixes in all suffix length: near 1 for a text that repeats itself.
+
+    Suffixes are ranked by doubling, and Kasai's walk gives the prefixes.
+    """
     n = len(text)
     if n < 2:
         return 0.0
-    order = sorted(range(n), key=lambda i: text[i : i + 200])
-    shared = 0
-    for a, b in zip(order, order[1:], strict=False):
-        k = 0
-        while a + k < n and b + k < n and k < 200 and text[a + k] == text[b + k]:
-            k += 1
-        shared += k
-    return float(Fraction(2 * shared, n * (n + 1)))
+    s = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    rank, step = np.unique(s, return_inverse=True)[1].astype(np.int64), 1
+    while True:
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - step)] = rank[step:] + 1
+        key = rank * (n + 1) + after
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+        step *= 2
+        if rank[order[-1]] == n - 1 or step >= 2 * n:
+            break
+    place, order = rank.tolist(), order.tolist()
+    shared = h = 0
+    for i in range(n):
+        if place[i]:
+            j = order[place[i] - 1]
+            while i + h < n and j + h < n and text[i + h] == text[j + h]:
+                h += 1
+            shared += h
+            h = max(0, h - 1)
+        else:
+            h = 0
+    return 2 * shared / (n * (n + 1))

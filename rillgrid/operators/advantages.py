@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import first_rows, number_rows
+from .stored import stored
+
 
 def _group(df: DataFrame, group: list[str], **stats: Column) -> DataFrame:
     """df with statistics of each group, summed apart and joined back; null keys are a group too."""
@@ -74,13 +77,22 @@ def group_mean_baseline(df: DataFrame, group: list[str], score: str, out: str =
     return whiten(g, "_x", out=out).drop("_n", "_m", "_x")
 
 
-def softmean_baseline(df: DataFrame, group: list[str], score: str, beta: float = 1.0, out: str = "advantage") -> DataFrame:
-    """score less (1 / beta) * log(mean(exp(beta * score))) of the group, the mean if beta is 0; exponents are shifted by the largest."""
-    if beta == 0:
-        g = _group(df, group, _b=F.avg(score))
-        return g.withColumn(out, F.col(score) - F.col("_b")).drop("_b")
-    top = _group(df, group, _t=F.max(F.col(score) * beta))
-    g = _group(top, group, _b=(F.max("_t") + F.log(F.avg(F.exp(F.col(score) * beta - F.col("_t"))))) / beta)
+def softmean(value: Column, beta: float, top: Column) -> Column:
+    """(1 / beta) * log(mean(exp(beta * value))), an aggregate; top: the largest value of its rows, which keeps exponents small."""
+    return F.avg(value) if beta == 0 else (F.max(top) * beta + F.log(F.avg(F.exp(beta * (value - top))))) / beta
+
+
+def softmean_baseline(df: DataFrame, score: str, beta: float = 1.0, group: list[str] | None = None, out: str = "advantage") -> DataFrame:
+    """score less the softmean of all rows, or of the row's group: the mean if beta is 0.
+
+    Two aggregations and no window, so that no task gathers all rows.
+    """
+    if group:
+        top = _group(df, group, _t=F.max(F.col(score)) if beta >= 0 else F.min(F.col(score)))
+        g = _group(top, group, _b=softmean(F.col(score), beta, F.col("_t")))
+    else:
+        top = df.join(F.broadcast(df.agg((F.max(score) if beta >= 0 else F.min(score)).alias("_t"))))
+        g = top.join(F.broadcast(top.agg(softmean(F.col(score), beta, F.col("_t")).alias("_b"))))
     return g.withColumn(out, F.col(score) - F.col("_b")).drop("_t", "_b")
 
 
@@ -93,11 +105,105 @@ def filter_downsample(df: DataFrame, group: list[str], score: str, length: str,
     """Of all groups, one in `oversample`: first those with a mean score in [low, high] and no row over `longest`, by key."""
     stats = df.groupBy(*group).agg(F.avg(score).alias("_m"), F.max(length).alias("_l"))
     stats = stats.withColumn("_bad", (~(F.col("_m").between(low, high) & (F.col("_l") <= longest))).cast("int"))
-    n = stats.count()
-    kept = stats.orderBy("_bad", *group).limit(int(n / oversample)).select(*group)
+    kept = first_rows(stats, int(stats.count() / oversample), "_bad", *group).select(*group)
     return df.join(kept, group, "left_semi")
 
 
+def opposite_mean(df: DataFrame, group: list[str], q: str, accuracy: str, out: str = "other") -> DataFrame:
+    """The mean q of the group's rows on the other side: of a lower accuracy where the row's own is above 0, else of a higher; 0 without any.
+
+    Sums by (group, accuracy) and running sums over them stand in for a join of all pairs; a
+    group's accuracies are as few as its scores' kinds.
+    """
+    per = df.groupBy(*group, accuracy).agg(F.sum(q).alias("_s"), F.count(q).alias("_n"))
+    lower = Window.partitionBy(*group).orderBy(accuracy).rowsBetween(Window.unboundedPreceding, -1)
+    higher = Window.partitionBy(*group).orderBy(accuracy).rowsBetween(1, Window.unboundedFollowing)
+    pick = lambda c: F.when(F.col(accuracy) > 0, F.sum(c).over(lower)).otherwise(F.sum(c).over(higher))
+    mean = per.select(*group, accuracy, F.coalesce(pick("_s") / pick("_n"), F.lit(0.0)).alias(out))
+    return df.join(mean, [*group, accuracy])
+
+
+def detached_preference_loss(df: DataFrame, group: list[str], q: str, accuracy: str, beta: float, best_of: str | None = None) -> DataFrame:
+    """One row, `loss`: mean of -log sigmoid(+-(beta * q - beta * other)), with other from opposite_mean.
+
+    best_of "rm" or "acc" weighs rows by n * share ** (n - 1), share the part of the group's n rows
+    with no higher q or accuracy, and sums.
+    """
+    rows = opposite_mean(df, group, q, accuracy)
+    x = beta * (F.col(q) - F.col("other")) * F.when(F.col(accuracy) > 0, 1.0).otherwise(-1.0)
+    rows = rows.withColumn("_x", F.greatest(-x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x))))
+    if best_of is None:
+        return rows.agg(F.avg("_x").alias("loss"))
+    by = {"rm": q, "acc": accuracy}[best_of]
+    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
+    share = F.cume_dist().over(Window.partitionBy(*group).orderBy(by))
+    return rows.withColumn("_w", n * F.pow(share, n - 1)).agg(F.sum(F.col("_x") * F.col("_w")).alias("loss"))
+
+
+def sign_accuracy(df: DataFrame, score: str, accuracy: str) -> DataFrame:
+    """One row: how often the score's sign is that of 2 * accuracy - 1."""
+    return df.agg(F.avg((F.signum(score) == F.signum(2 * F.col(accuracy) - 1)).cast("double")).alias("accuracy"))
+
+
+def pairwise_differences(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
+    """value_i - value_j of all pairs i < j of a group: for groups of a bounded size, as the samples of one prompt."""
+    a = df.select(*group, F.col(order).alias("i"), F.col(value).alias("_a"))
+    b = df.select(*group, F.col(order).alias("j"), F.col(value).alias("_b"))
+    return a.join(b, group).filter("i < j").select(*group, "i", "j", (F.col("_a") - F.col("_b")).alias("difference"))
+
+
+def weighted_pair_accuracy(df: DataFrame, group: list[str], order: str, score: str, accuracy: str) -> DataFrame:
+    """Per group: how far the order of scores agrees with that of accuracies, pairs weighted by the accuracies' difference; 0.5 without one."""
+    s = pairwise_differences(df, group, order, score).withColumnRenamed("difference", "_s")
+    a = pairwise_differences(df, group, order, accuracy).withColumnRenamed("difference", "_a")
+    w = F.abs("_a")
+    agree = ((F.col("_s") > 0) == (F.col("_a") > 0)).cast("double")
+    return s.join(a, [*group, "i", "j"]).groupBy(*group).agg(F.when(F.sum(w) > 0, F.sum(agree * w) / F.sum(w)).otherwise(0.5).alias("accuracy"))
+
+
+def resampling_weight(df: DataFrame, score: str, method: str = "pow", power: float = 2.0, out: str = "weight") -> DataFrame:
+    """Weights for drawing rows anew: |score| ** power, 1 for the largest and smallest score, or 0.4 for the largest and 0.1 else; 1e-8 at least."""
+    s = F.col(score)
+    if method == "pow":
+        rows, w = df, F.pow(F.abs(s), power)
+    elif method in ("max_min", "max_random"):
+        rows = df.join(F.broadcast(df.agg(F.max(score).alias("_hi"), F.min(score).alias("_lo"))))
+        w = F.when((s == F.col("_hi")) | (s == F.col("_lo")), 1.0).otherwise(0.0) if method == "max_min" else F.when(s == F.col("_hi"), 0.4).otherwise(0.1)
+    else:
+        raise ValueError(method)
+    return rows.withColumn(out, F.greatest(w + 1e-8, F.lit(1e-8))).drop("_hi", "_lo")
+
+
+def resample(df: DataFrame, weight: str, key: list[str], seed: object, draws: int | None = None) -> DataFrame:
+    """`draws` rows (as many as there are) drawn with replacement in proportion to their weight.
+
+    A row of weight w covers w / total of the draws' unit interval, at its place in key order, and
+    comes once for each draw (i + u_i) / draws that falls in it, u_i being hashed from the seed: systematic sampling,
+    with the expected number of each row and no gathering of all rows.  Draws are dealt out by the
+    range that a row covers, so a heavy row of any share is exploded where it stands.
+    """
+    numbered = number_rows(df.select(*key, F.col(weight).cast("double").alias("_w")), *key, name="_at")
+    ranged = stored(numbered.withColumn("_part", F.floor(F.col("_at") / 4096)), "weights")
+    sums = ranged.groupBy("_part").agg(F.sum("_w").alias("_s"))
+    # blocks of 4096 rows: their running sums are a thousandth part of the rows, and sorted in ranges too
+    blocks = stored(sums, "blocks")
+    before = blocks.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    total, n = blocks.agg(F.sum("_s")).first()[0] or 0.0, df.count() if draws is None else draws
+    inner = F.sum("_w").over(Window.partitionBy("_part").orderBy("_at"))
+    placed = ranged.join(before, "_part").withColumn("_end", (F.col("_before") + inner) / total * n).withColumn("_start", F.col("_end") - F.col("_w") / total * n)
+    u = lambda i: F.pmod(F.xxhash64(F.lit(str(seed)), i), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    hits = F.filter(F.sequence(F.greatest(F.floor("_start"), F.lit(0)), F.floor("_end")), lambda i: (i < n) & (i + u(i) >= F.col("_start")) & (i + u(i) < F.col("_end")))
+    drawn = placed.select(*key, F.explode(hits).alias("draw"))
+    return df.join(drawn, key)
+
+
+def until_full(df: DataFrame, group: list[str], order: str, prompts: int, score: str) -> DataFrame:
+    """Rows of the first `prompts` groups, by their first row, whose scores vary or that have one row: a generation batch filled from varied groups."""
+    kept = keep_varied_groups(df, group, score)
+    first = kept.groupBy(*group).agg(F.min(order).alias("_o"))
+    return kept.join(first_rows(first, prompts, "_o").select(*group), group, "left_semi")
+
+
 def pair_preferences(df: DataFrame, pair: Column, order: str, score: str) -> DataFrame:
     """Rows with chosen: of each pair of neighbours the one with the higher score, the first of equals."""
     d = df.withColumn("_pair", pair)

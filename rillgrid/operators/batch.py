@@ -6,27 +6,37 @@ batches.  A length is needed by few of them and is then counted once.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 POS = "_pos"
 
 
 def number_rows(df: DataFrame, *order: str, name: str = POS, start: int = 0) -> DataFrame:
     """df with consecutive numbers in the given order, without gathering all rows in one task.
 
-    Rows are dealt by ranges; each range's rows are numbered apart and shifted by the sizes of
-    the ranges before it, which are as few as partitions.
+    Rows are dealt by ranges and sorted, and each carries its range and its place in it; that is
+    evaluated once and stored, as another evaluation could draw other ranges.  A range's rows are
+    shifted by the sizes of the ranges before it, which are as few as partitions.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    keys = [F.col(c) for c in order]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    ranged = stored(ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = ranged.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(c) for c in order]))
-    return ranged.join(shift, "_part").withColumn(name, (F.col("_before") + local - 1 + start).cast("long")).drop("_part", "_before")
+    return ranged.join(shift, "_part").withColumn(name, (F.col("_before") + F.col("_at") + start).cast("long")).drop("_part", "_before", "_at")
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in the given order, for an n that may grow with the data: no task holds them all."""
+    return number_rows(df, *order, name="_first").filter(F.col("_first") < n).drop("_first")
 
 
 @dataclass(frozen=True)
@@ -91,12 +101,43 @@ class Batch:
         return self._with(self.df.filter(keep).withColumn(POS, F.floor(at / step).cast("long")))
 
     def reorder(self, index: list[int]) -> Batch:
-        """Row index[i] comes to place i; rows may repeat or be left out."""
+        """Row index[i] comes to place i; rows may repeat or be left out, and a mask of booleans picks rows."""
+        if index and isinstance(index[0], bool):
+            index = [i for i, kept in enumerate(index) if kept]
         spark = self.df.sparkSession
         n = len(self)
         place = spark.createDataFrame([(i, j if j >= 0 else n + j) for i, j in enumerate(index)], "_to long, _from long")
         return self._with(self.df.join(F.broadcast(place), F.col(POS) == F.col("_from")).drop(POS, "_from").withColumnRenamed("_to", POS))
 
+    def __getitem__(self, item) -> Batch | dict:
+        """A slice, a list of places or booleans, or the row at one place as a dict."""
+        if isinstance(item, slice):
+            n = len(self) if any(x is not None and x < 0 for x in (item.start, item.stop)) else 0
+            start, stop = ((x + n if x is not None and x < 0 else x) for x in (item.start, item.stop))
+            return self.slice(start or 0, stop, item.step or 1)
+        if isinstance(item, list):
+            return self.reorder(item)
+        row = self.df.filter(F.col(POS) == (item if item >= 0 else len(self) + item)).first()
+        if row is None:
+            raise IndexError(item)
+        return {k: v for k, v in row.asDict(True).items() if k != POS}
+
+    def save(self, path: str) -> None:
+        """The rows as Parquet, and the metadata beside them as JSON."""
+        self.df.write.mode("overwrite").parquet(f"{path}/rows")
+        self.df.sparkSession.createDataFrame([(json.dumps(self.meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark, path: str) -> Batch:
+        return cls(spark.read.parquet(f"{path}/rows"), json.loads(spark.read.json(f"{path}/meta").first()[0]))
+
+    def rank(self, world: int) -> Batch:
+        """A column `_rank`: neighbouring rows go to the same of `world` ranks, as chunk deals them."""
+        n = len(self)
+        if n % world:
+            raise ValueError(f"{n} rows can't be dealt to {world} ranks")
+        return self._with(self.df.withColumn("_rank", F.floor(F.col(POS) / max(1, n // world)).cast("int")))
+
     def where(self, condition) -> Batch:
         return self._with(number_rows(self.df.filter(condition).withColumnRenamed(POS, "_old"), "_old").drop("_old"))
 
@@ -112,11 +153,12 @@ class Batch:
 
     @staticmethod
     def concat(batches: list[Batch]) -> Batch:
+        """All rows in order; columns must be the same, and the first batch's metadata holds."""
         frames, shift = [], 0
         for b in batches:
             frames.append(b.df.withColumn(POS, F.col(POS) + shift))
             shift += len(b)
-        return Batch(reduce(DataFrame.unionByName, frames), {k: v for b in batches for k, v in b.meta.items()})
+        return Batch(reduce(DataFrame.unionByName, frames), dict(batches[0].meta))
 
     def repeat(self, times: int, interleave: bool = True) -> Batch:
         """Each row `times` times, one after another or the whole batch again."""
@@ -138,6 +180,29 @@ class Batch:
         again = self.repeat(1 + -(-pad // n), interleave=False)
         return again.slice(0, n + pad), pad
 
+    def padding(self, size: int, candidate: str = "") -> Batch:
+        """`size` copies of the first row, or of the last unless candidate is "first", after all others."""
+        n = len(self)
+        edge = self.df.filter(F.col(POS) == (0 if candidate == "first" else n - 1))
+        more = edge.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn(POS, (F.lit(n) + F.col("_k")).cast("long")).drop("_k")
+        return self._with(self.df.unionByName(more)) if size else self
+
+    def scatter(self, workers: int) -> tuple[list[Batch], int]:
+        """Equal parts for all workers, padded from the front if need be, and how many rows the padding has."""
+        padded, pad = self.pad_to_divisor(workers)
+        return padded.chunk(workers), pad
+
+    @staticmethod
+    def gather(parts: list[Batch], pad: int = 0) -> Batch:
+        """The parts in order, without the padding."""
+        return Batch.concat(parts).unpad(pad)
+
+    def sizes_gb(self) -> dict[str, float]:
+        """Gigabytes of each column's values as text or plain binary form."""
+        width = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+        one = [F.sum(F.lit(width[t]) if t in width else F.lit(8) if t in ("bigint", "double", "timestamp") else F.octet_length(F.to_json(F.struct(c)))).alias(c) for c, t in self.df.select(self.columns).dtypes]
+        return {c: (v or 0) / 1e9 for c, v in self.df.agg(*one).first().asDict().items()}
+
     def unpad(self, pad: int) -> Batch:
         return self.slice(0, len(self) - pad) if pad else self
 

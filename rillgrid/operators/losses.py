@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import first_rows
+
 
 def _mean(x: Column, mask: str) -> Column:
     return F.sum(x * F.col(mask)) / (F.sum(mask) + 1e-8)
@@ -30,14 +32,15 @@ def clip_by_covariance(df: DataFrame, value: str, mask: str, low: float, high: f
     """df with `clipped` on a seeded share of all masked tokens, drawn from those whose covariance lies in (low, high)."""
     n = int(df.agg(F.sum(mask)).first()[0] or 0)
     band = (F.col(value) > low) & (F.col(value) < high) & (F.col(mask) == 1)
-    drawn = df.filter(band).select(*key).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])), *key).limit(max(1, int(n * share)))
+    hashed = df.filter(band).select(*key, F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])).alias("_h"))
+    drawn = first_rows(hashed, max(1, int(n * share)), "_h", *key).drop("_h")
     return df.join(drawn.withColumn("_c", F.lit(True)), key, "left").withColumn("clipped", F.coalesce("_c", F.lit(False))).drop("_c")
 
 
 def top_covariance(df: DataFrame, value: str, mask: str, share: float, key: list[str]) -> DataFrame:
     """Keys of the masked tokens with the largest covariance: a share of all, one at least."""
     n = int(df.agg(F.sum(mask)).first()[0] or 0)
-    return df.filter(F.col(mask) == 1).orderBy(F.col(value).desc(), *key).limit(max(1, int(n * share))).select(*key)
+    return first_rows(df.filter(F.col(mask) == 1).select(*key, (-F.col(value)).alias("_v")), max(1, int(n * share)), "_v", *key).select(*key)
 
 
 def sppo_loss(df: DataFrame, seq: list[str], old: str, new: str, reward: str, mask: str, eta: float = 1.0) -> DataFrame:
@@ -116,3 +119,69 @@ def cosine_schedule(step: int, warmup: int, total: int, least: float = 0.0, cycl
         return least + (1 - least) * step / max(1, warmup)
     x = (step - warmup) / max(1, total - warmup)
     return max(least, (1 + least) / 2 + (1 - least) / 2 * math.cos(math.pi * cycles * 2 * x))
+
+
+def constant_schedule(step: int, warmup: int) -> float:
+    return step / max(1.0, warmup) if step < warmup else 1.0
+
+
+def stable_schedule(step: int, warmup: int, total: int, least: float = 0.0, cycles: float = 0.5, stable: float = 0.9) -> float:
+    """Linear warm-up, a stable phase for a share of what remains, and a cosine down to `least`."""
+    rest = max(0, total - warmup)
+    flat = int(rest * stable)
+    if step < warmup:
+        return step / max(1, warmup)
+    if step < warmup + flat:
+        return 1.0
+    if step >= total:
+        return least
+    x = (step - warmup - flat) / max(1, rest - flat)
+    return (1 - least) * max(0.0, 0.5 * (1 + math.cos(2 * math.pi * cycles * x))) + least
+
+
+def exponential_schedule(fraction: float, scale: float = 0.9, rate: float = 12.43) -> float:
+    return scale * math.exp(-rate * fraction)
+
+
+def bell_schedule(fraction: float) -> float:
+    return 2 * fraction * math.exp(-4 * fraction) + 0.2
+
+
+def entropy_loss(df: DataFrame, seq: list[str], entropy: str, mask: str) -> DataFrame:
+    """A token's entropy averaged in each of the ways that losses are: mode, loss."""
+    from .sequences import aggregate_loss
+
+    return aggregate_loss(df, seq, entropy, mask)
+
+
+# Peak floating-point operations a second by a part of the device's name, the first that fits.
+PEAK = (("MI300X", 1336e12), ("H100", 989e12), ("H800", 989e12), ("H200", 989e12), ("A100", 312e12), ("A800", 312e12), ("L40", 181.05e12), ("L20", 119.5e12), ("H20", 148e12), ("910B", 354e12), ("RTX 3070 Ti", 21.75e12))
+PREFIXES = "BKMGTP"
+
+
+def peak_flops(device: str, prefix: str = "T") -> float:
+    """A device's peak in the given unit; infinite for one that isn't known."""
+    return next((n for name, n in PEAK if name in device), math.inf) / 1000 ** PREFIXES.index(prefix)
+
+
+def expert_flops(hidden: int, layers: int, heads: int, kv_heads: int, expert: int, active: int, experts: int, vocabulary: int, tokens: int, squares: int, seconds: float, size: int | None = None) -> float:
+    """Achieved teraflops of a decoder with experts, `active` of which see a token, and a gate over all."""
+    size = size or hidden // heads
+    layer = 3 * hidden * expert * active + hidden * experts + hidden * size * (2 * heads + 2 * kv_heads)
+    return (6 * (layers * layer + 2 * vocabulary * hidden) * tokens + 12 * squares * size * heads * layers) / seconds / 1e12
+
+
+def latent_flops(hidden: int, layers: int, heads: int, expert: int, active: int, shared: int, experts: int, dense_layers: int, intermediate: int, vocabulary: int, nope: int, rope: int, value: int, kv_rank: int, tokens: int, squares: int, seconds: float, q_rank: int | None = None) -> float:
+    """The same with attention through low-rank projections, and `dense_layers` without experts."""
+    q = nope + rope
+    attention = hidden * heads * q if q_rank is None else q_rank * (hidden + heads * q)
+    attention += hidden * (kv_rank + rope) + heads * (nope + value) * kv_rank + heads * value * hidden
+    sparse = hidden * experts + 3 * hidden * expert * (active + shared) + attention
+    parameters = sparse * (layers - dense_layers) + (3 * hidden * intermediate + attention) * dense_layers + 2 * vocabulary * hidden
+    return (6 * parameters * tokens + 12 * squares * layers * q * heads) / seconds / 1e12
+
+
+def achieved(lengths: DataFrame, length: str) -> tuple[int, int]:
+    """(tokens, sum of squared lengths) of a batch, in one aggregation: what the estimates above take."""
+    row = lengths.agg(F.sum(F.col(length).cast("long")), F.sum(F.col(length).cast("long") * F.col(length))).first()
+    return int(row[0] or 0), int(row[1] or 0)

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import number_rows
+from .stored import stored
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -55,35 +58,43 @@ def bootstrap(values: list | np.ndarray, size: int, reduce: Callable, draws: int
     """Mean and population deviation of `reduce` over `draws` samples with replacement."""
     if len(values) == 0:
         raise ValueError("no values to draw from")
-    rng = np.random.RandomState(seed)
-    x = [reduce([values[i] for i in rng.choice(len(values), size=size, replace=True)]) for _ in range(draws)]
+    x = [reduce([values[i] for i in drawn]) for drawn in _draws(len(values), size, draws, seed)]
     return float(np.mean(x)), float(np.std(x))
 
 
-def bootstrap_by_prompt(df: DataFrame, source: str, prompt: str, value: str, vote: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
+def _draws(n: int, size: int, draws: int, seed: int) -> np.ndarray:
+    """The places that `draws` samples of `size` take, a row each: the stream of RandomState(seed).choice, drawn at once."""
+    return np.random.RandomState(seed).choice(n, size=(draws, size), replace=True)
+
+
+def _majority(values: np.ndarray, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each sample the value of the first draw of its most frequent code, of equals the one drawn first."""
+    drawn = codes[at]
+    counts = np.zeros((len(at), int(codes.max()) + 1), np.int64)
+    np.add.at(counts, (np.arange(len(at))[:, None], drawn), 1)
+    best = np.take_along_axis(counts, drawn, 1).argmax(1)
+    return values[at[np.arange(len(at)), best]]
+
+
+def bootstrap_by_prompt(df: DataFrame, source: str, prompt: str, value: str, vote: str | None = None, draws: int = 1000, seed: int = 42, order: str | None = None) -> DataFrame:
     """Per source and n = 2, 4, 8, ... up to a prompt's rows: bootstrap best, worst and majority, averaged over prompts."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_o")
-        n, out = len(rows), []
-        sizes = sorted({*(2**k for k in range(1, 20) if 2**k < n), n} - {1})
-        pairs = list(zip(rows["v"], rows["k"], strict=True))
-
-        def majority(xs):
-            count: dict = {}
-            for _, k in xs:
-                count[k] = count.get(k, 0) + 1
-            top = max(count, key=count.get)
-            return next(v for v, k in xs if k == top)
-
-        for size in sizes:
-            kinds = {"best": lambda xs: max(v for v, _ in xs), "worst": lambda xs: min(v for v, _ in xs)} | ({"maj": majority} if vote else {})
-            for name, f in kinds.items():
-                m, s = bootstrap(pairs, size, f, draws, seed)
-                out.append((rows["source"].iloc[0], size, name, m, s))
+        n, out, size = len(rows), [], 2
+        sizes = []
+        while size < n:
+            sizes.append(size)
+            size *= 2
+        values, codes = rows["v"].to_numpy(), pd.factorize(rows["k"])[0]
+        for size in [*sizes, n] if n > 1 else []:
+            at = _draws(n, size, draws, seed)
+            kinds = {"best": values[at].max(1), "worst": values[at].min(1)} | ({"maj": _majority(values, codes, at)} if vote else {})
+            out += [(rows["source"].iloc[0], size, name, float(x.mean()), float(x.std())) for name, x in kinds.items()]
         return pd.DataFrame(out, columns=["source", "n", "metric", "mean", "std"])
 
-    slim = df.select(F.col(source).alias("source"), F.col(prompt).cast("string").alias("p"), F.col(value).cast("double").alias("v"), (F.col(vote).cast("string") if vote else F.lit("")).alias("k"), F.monotonically_increasing_id().alias("_o"))
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    slim = df.select(F.col(source).alias("source"), F.col(prompt).cast("string").alias("p"), F.col(value).cast("double").alias("v"), (F.col(vote).cast("string") if vote else F.lit("")).alias("k"), place.alias("_o"))
     per = slim.groupBy("source", "p").applyInPandas(one, "source string, n int, metric string, mean double, std double")
     return per.groupBy("source", "n", "metric").agg(F.avg("mean").alias("mean"), F.avg("std").alias("std"))
 
@@ -126,3 +137,111 @@ def mean_of_means(df: DataFrame, row: list[str], source: str, value: Column) ->
 
 def masked_mean(df: DataFrame, value: str, mask: str) -> DataFrame:
     return df.agg((F.sum(F.col(value) * F.col(mask)) / (F.sum(mask) + 1e-8)).alias("masked_mean"))
+
+
+def response_info(df: DataFrame, mask: str, response: int) -> DataFrame:
+    """df with prompt_length, response_length and response_mask of an attention mask whose last `response` places are the response's."""
+    n = F.size(mask)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    rows = df.withColumn("response_mask", F.slice(mask, n - response + 1, F.lit(response)))
+    return rows.withColumn("response_length", total(F.col("response_mask"))).withColumn("prompt_length", total(F.col(mask)) - F.col("response_length"))
+
+
+def length_metrics(df: DataFrame, length: str, longest: int, name: str) -> DataFrame:
+    """metric, value: mean, max, min of a length, and how often it is the longest possible."""
+    x = F.col(length).cast("double")
+    one = df.agg(F.avg(x).alias("mean"), F.max(x).alias("max"), F.min(x).alias("min"), F.avg((x == longest).cast("double")).alias("clip_ratio"))
+    return one.unpivot([], one.columns, "metric", "value").withColumn("metric", F.concat(F.lit(f"{name}/"), "metric"))
+
+
+def training_metrics(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """metric, value: mean, max and min of each column that the table has; name: the column, an array being summed up first."""
+    there = {name: c for name, c in columns.items() if c in df.columns}
+    kinds = dict(df.dtypes)
+    x = {n: F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda s, v: s + v) if kinds[c].startswith("array") else F.col(c).cast("double") for n, c in there.items()}
+    if not x:
+        return df.sparkSession.createDataFrame([], "metric string, value double")
+    one = df.agg(*[f(c).alias(f"{n}/{k}") for n, c in x.items() for k, f in (("mean", F.avg), ("max", F.max), ("min", F.min))])
+    return one.unpivot([], one.columns, "metric", "value")
+
+
+def preference_metrics(df: DataFrame, longest_prompt: int, longest_response: int) -> DataFrame:
+    """metric, value of preference training: scores, rewards and lengths as above, means of log-probabilities; absent columns are left out."""
+    out = training_metrics(df, {"reward/score": "token_level_scores", "reward/rewards": "token_level_rewards"})
+    means = {f"actor/{c}": c for c in ("dpo_logits", "chosen_logps", "rejected_logps") if c in df.columns}
+    if means:
+        one = df.agg(*[F.avg(c).alias(n) for n, c in means.items()])
+        out = out.unionByName(one.unpivot([], one.columns, "metric", "value"))
+    for name, longest in (("response_length", longest_response), ("prompt_length", longest_prompt)):
+        if name in df.columns:
+            out = out.unionByName(length_metrics(df, name, longest, name))
+    return out
+
+
+def appended(metrics: DataFrame, step: int) -> DataFrame:
+    """metric, value rows of one step, for a table of all steps' values."""
+    return metrics.select(F.lit(step).alias("step"), "metric", F.col("value").cast("double").alias("value"))
+
+
+def mean_by_name(df: DataFrame, name: str, value: str) -> DataFrame:
+    """Each name's mean over micro-batches or processes."""
+    return df.groupBy(name).agg(F.avg(value).alias(value))
+
+
+def spread(df: DataFrame, value: str) -> DataFrame:
+    """One row over all ranks' rows: mean, max, min and sample deviation."""
+    return df.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.stddev_samp(value).alias("std"))
+
+
+def exact_masked_mean(df: DataFrame, value: str, mask: str) -> DataFrame:
+    """Sum of masked values over the sum of the mask, null where that is 0."""
+    return df.agg(F.try_divide(F.sum(F.col(value) * F.col(mask)), F.sum(mask)).alias("masked_mean"))
+
+
+def masked_variance(df: DataFrame, value: str, mask: str, unbiased: bool = True) -> DataFrame:
+    """The variance of masked values; an error without one, or with a single one where Bessel's correction is asked for."""
+    x = F.when(F.col(mask) > 0, F.col(value))
+    n = F.count(x)
+    bad = F.when(n == 0, F.raise_error(F.lit("the mask is empty"))).when(F.lit(unbiased) & (n == 1), F.raise_error(F.lit("the mask has one element")))
+    return df.agg(F.coalesce(bad.cast("double"), F.var_samp(x) if unbiased else F.var_pop(x)).alias("variance"))
+
+
+def squares(df: DataFrame, value: str) -> DataFrame:
+    return df.agg(F.sum(F.col(value) * F.col(value)).alias("sum_of_squares"))
+
+
+def probability_difference(df: DataFrame, one: str, other: str, mask: str) -> DataFrame:
+    """max, mean and sample deviation of two log-probabilities' difference as probabilities, over masked tokens."""
+    d = F.when(F.col(mask) > 0, F.abs(F.exp(one) - F.exp(other)))
+    return df.agg(F.max(d).alias("max"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"))
+
+
+def retry_counts(before: DataFrame, after: DataFrame, correct: str, length: str, longest: int) -> DataFrame:
+    """One row: correct rows, and those within `longest`, before and after a retry."""
+
+    def one(df, name):
+        ok = F.coalesce(F.col(correct), F.lit(False))
+        return df.agg(F.count_if(ok).alias(f"correct_{name}"), F.count_if(ok & F.coalesce(F.col(length) <= longest, F.lit(False))).alias(f"short_{name}"))
+
+    return one(before, "before").join(one(after, "after"))
+
+
+def largest_index(df: DataFrame, index: str = "index") -> int | None:
+    """The largest whole number in a column of any type, None without one."""
+    return df.agg(F.max(F.expr(f"try_cast(`{index}` AS bigint)"))).first()[0]
+
+
+def metric_in_line(line: Column, name: str) -> Column:
+    """The number after `name:` in a line of a log."""
+    return F.regexp_extract(line, rf"{name}:\s*(?:np\.float64\()?(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)", 1).try_cast("double")
+
+
+def token_lengths(df: DataFrame, mask: str, order: str) -> tuple[DataFrame, int]:
+    """df with `length` and `offset`, the tokens of all rows before it, from masks; and the largest length."""
+    rows = df.withColumn("length", F.aggregate(F.col(mask).cast("array<long>"), F.lit(0).cast("long"), lambda s, x: s + x))
+    numbered = stored(number_rows(rows, order, name="_at").withColumn("_part", F.floor(F.col("_at") / 4096)), "lengths")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = numbered.groupBy("_part").agg(F.sum("length").alias("_s")).select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    inner = F.sum("length").over(Window.partitionBy("_part").orderBy("_at")) - F.col("length")
+    out = numbered.join(blocks, "_part").withColumn("offset", F.col("_before") + inner).drop("_at", "_part", "_before")
+    return out, int(numbered.agg(F.max("length")).first()[0] or 0)

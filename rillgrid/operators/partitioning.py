@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 
 
 def greedy(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
-    """Longest first, each to the partition of the smallest sum that isn't full."""
+    """In the given order, each to the partition of the smallest sum, the first of equals."""
     if len(lengths) < k or (equal_size and len(lengths) % k):
         raise ValueError(f"{len(lengths)} sequences don't fill {k} partitions")
-    most = len(lengths) // k if equal_size else len(lengths)
-    heap = [(0, p) for p in range(k)]
+    # with equal sizes, the fewest members come before the smallest sum
+    heap = [(0, 0, p) for p in range(k)]
     parts: list[list[int]] = [[] for _ in range(k)]
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        total, p = heapq.heappop(heap)
+    for i, n in enumerate(lengths):
+        size, total, p = heapq.heappop(heap)
         parts[p].append(i)
-        if len(parts[p]) < most:
-            heapq.heappush(heap, (total + lengths[i], p))
-    return [sorted(p) for p in parts]
+        heapq.heappush(heap, (size + 1 if equal_size else 0, total + n, p))
+    return parts
 
 
 def karmarkar_karp(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
@@ -47,16 +46,42 @@ def karmarkar_karp(lengths: list[int], k: int, equal_size: bool = False) -> list
     return [sorted(s[1]) for s in heap[0][2]]
 
 
-def micro_batches(lengths: list[int], budget: int) -> list[list[int]]:
-    """As few balanced parts as the token budget allows."""
+def ceildiv(a: int, b: int) -> int:
+    return -(-a // b)
+
+
+def round_up(a: int, b: int) -> int:
+    """The smallest multiple of b that is at least a."""
+    return ceildiv(a, b) * b
+
+
+def inverse(order: list[int]) -> list[int]:
+    """Where each place of a permutation went: inverse(order)[order[i]] is i."""
+    out = [0] * len(order)
+    for i, j in enumerate(order):
+        out[j] = i
+    return out
+
+
+def checked(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
+    """Balanced parts that hold each index once, none empty and, if equal_size, all of one size."""
+    parts = karmarkar_karp(lengths, k, equal_size)
+    if len(parts) != k or not all(parts) or sorted(i for p in parts for i in p) != list(range(len(lengths))):
+        raise ValueError("the parts don't hold every sequence once")
+    if equal_size and len({len(p) for p in parts}) > 1:
+        raise ValueError("the parts differ in size")
+    return parts
+
+
+def micro_batches(lengths: list[int], budget: int, at_least: int = 1, multiple_of: int = 1) -> list[list[int]]:
+    """Balanced parts, as many as the total fills budgets, within the number of sequences.
+
+    at_least and multiple_of raise the number, for ranks that have to agree on it.
+    """
     if max(lengths) > budget:
         raise ValueError("a sequence is longer than the budget")
-    k = -(-sum(lengths) // budget)
-    while True:
-        parts = karmarkar_karp(lengths, min(k, len(lengths)))
-        if max(sum(lengths[i] for i in p) for p in parts) <= budget:
-            return parts
-        k += 1
+    k = min(len(lengths), ceildiv(sum(lengths), budget))
+    return checked(lengths, min(len(lengths), round_up(max(k, at_least), multiple_of)))
 
 
 def balance(df: DataFrame, batch: str, order: str, length: str, k: int, method: str = "karmarkar_karp", equal_size: bool = False) -> DataFrame:

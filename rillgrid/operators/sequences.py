@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .advantages import whiten
+
 
 def _after(seq: list[str], order: list[str]):
     return Window.partitionBy(*seq).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -20,46 +23,135 @@ def suffix_sum(df: DataFrame, seq: list[str], order: list[str], value: str, out:
     return df.withColumn(out, F.sum(value).over(_after(seq, order)))
 
 
-def _backward(df: DataFrame, seq: list[str], order: list[str], columns: list[str], out: str, step) -> DataFrame:
-    """A linear recurrence from the end of each sequence: one pass over its arrays in an Arrow function."""
-    row = F.array_sort(F.collect_list(F.struct(*order, *columns, F.struct(*df.columns).alias("_row"))))
+def backward(inputs: np.ndarray, offs: np.ndarray, decay: float, keep: np.ndarray | None = None) -> np.ndarray:
+    """x_t + decay * keep_(t+1) * y_(t+1) for all sequences at once, from their ends.
+
+    inputs: the sequences one after another, sequence i from offs[i] to offs[i + 1].
+    """
+    out = np.empty(len(inputs))
+    n = np.diff(offs)
+    order = np.argsort(-n, kind="stable")
+    ends, lengths, last = offs[1:][order] - 1, n[order], np.zeros(len(n))
+    for back in range(int(lengths[0]) if len(n) else 0):
+        live = int(np.searchsorted(-lengths, -back, "left"))
+        at = ends[:live] - back
+        out[at] = inputs[at] + decay * last[:live]
+        last[:live] = out[at] if keep is None else out[at] * keep[at]
+    return out
+
+
+def _recurrence(df: DataFrame, seq: list[str], order: list[str], columns: list[str], out: str, step) -> DataFrame:
+    """A recurrence from the end of each sequence: rows are packed by one shuffle, and an Arrow batch of sequences is one call of `step`.
+
+    A null input counts as 0.
+    """
+    row = F.array_sort(F.collect_list(F.struct(*order, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_in_{c}") for c in columns], F.struct(*df.columns).alias("_row"))))
     packed = df.groupBy(*seq).agg(row.alias("_t"))
-    solve = F.pandas_udf(step, "array<double>")
-    packed = packed.withColumn("_x", solve(*[F.col(f"_t.{c}").cast("array<double>") for c in columns]))
+
+    @F.pandas_udf("array<double>")
+    def solve(*series: pd.Series) -> pd.Series:
+        offs = np.concatenate([[0], np.cumsum(series[0].map(len))]).astype(np.int64)
+        flat = [np.concatenate([np.asarray(v, float) for v in s]) if len(s) else np.zeros(0) for s in series]
+        return pd.Series(np.split(step(offs, *flat), offs[1:-1]))
+
+    packed = packed.withColumn("_x", solve(*[F.col(f"_t._in_{c}") for c in columns]))
     one = packed.select(F.explode(F.arrays_zip(F.col("_t._row").alias("row"), F.col("_x").alias("x"))).alias("_z"))
     return one.select("_z.row.*", F.col("_z.x").alias(out))
 
 
-def discounted_return(df: DataFrame, seq: list[str], order: list[str], value: str, gamma: float, out: str = "return_") -> DataFrame:
-    """r_t + gamma * R_(t+1)."""
-
-    def step(values: pd.Series) -> pd.Series:
-        def one(v):
-            total, x = 0.0, [0.0] * len(v)
-            for t in range(len(v) - 1, -1, -1):
-                total = v[t] + gamma * total
-                x[t] = total
-            return x
+def discounted_return(df: DataFrame, seq: list[str], order: list[str], value: str, gamma: float, mask: str | None = None, out: str = "return_") -> DataFrame:
+    """r_t + gamma * R_(t+1); with a mask, what comes after a token whose mask is 0 counts nothing before it."""
+    if mask is None:
+        return _recurrence(df, seq, order, [value], out, lambda offs, r: backward(r, offs, gamma))
+    return _recurrence(df, seq, order, [value, mask], out, lambda offs, r, m: backward(r, offs, gamma, m))
 
-        return values.map(one)
 
-    return _backward(df, seq, order, [value], out, step)
+def discounted_advantage(df: DataFrame, seq: list[str], order: list[str], value: str, mask: str, gamma: float) -> DataFrame:
+    """return_ as above, reset by the mask, and `advantage`: whitened over masked tokens, 0 on the others."""
+    rows = discounted_return(df, seq, order, value, gamma, mask)
+    return whiten(rows, "return_", mask, out="advantage").withColumn("advantage", F.col("advantage") * F.col(mask))
 
 
 def gae(df: DataFrame, seq: list[str], order: list[str], reward: str, value: str, gamma: float, lam: float, out: str = "advantage") -> DataFrame:
     """Generalised advantage: delta_t + gamma * lam * A_(t+1), delta_t = r_t + gamma * V_(t+1) - V_t."""
 
-    def step(rewards: pd.Series, values: pd.Series) -> pd.Series:
-        def one(r, v):
-            last, after, x = 0.0, 0.0, [0.0] * len(r)
-            for t in range(len(r) - 1, -1, -1):
-                last = r[t] + gamma * after - v[t] + gamma * lam * last
-                after, x[t] = v[t], last
-            return x
+    def step(offs, r, v):
+        after = np.append(v[1:], 0.0)
+        after[offs[1:][np.diff(offs) > 0] - 1] = 0.0
+        return backward(r + gamma * after - v, offs, gamma * lam)
+
+    return _recurrence(df, seq, order, [reward, value], out, step)
+
+
+def gae_returns(df: DataFrame, seq: list[str], order: list[str], reward: str, value: str, mask: str, gamma: float, lam: float) -> DataFrame:
+    """`return_` = A + V, and `advantage`: A whitened over masked tokens."""
+    rows = gae(df, seq, order, reward, value, gamma, lam, "_a").withColumn("return_", F.col("_a") + F.col(value))
+    return whiten(rows, "_a", mask, out="advantage").drop("_a")
+
+
+def process_rewards(df: DataFrame, seq: list[str], order: list[str], q: str, beta: float, lam: float = 0.0, outcome: str | None = None, granularity: str = "token", out: str = "score") -> DataFrame:
+    """Token scores of a process reward: beta * q, or their recurrence x_t + lam * y_(t+1).
+
+    outcome: a column whose value takes the place of the last token, less the sum of those before
+    it.  granularity "token" leaves the last token 0, "whole" puts the sum of all on it.
+    """
+    if granularity not in ("token", "whole"):
+        raise ValueError(granularity)
+
+    def step(offs, q, outcome):
+        x = q * beta
+        ends = offs[1:][np.diff(offs) > 0] - 1
+        if lam and use:
+            total = np.add.reduceat(x, offs[:-1][np.diff(offs) > 0]) if len(x) else x
+            x[ends] = outcome[ends] - (total - x[ends])
+        r = backward(x, offs, lam) if lam else x
+        y = np.zeros(len(r)) if granularity == "whole" else r.copy()
+        if len(r):
+            y[ends] = np.add.reduceat(r, offs[:-1][np.diff(offs) > 0]) if granularity == "whole" else 0.0
+        return y
+
+    use = outcome is not None
+    rows = df if use else df.withColumn("_none", F.lit(0.0))
+    made = _recurrence(rows, seq, order, [q, outcome or "_none"], out, step)
+    return made if use else made.drop("_none")
+
+
+def suffix_norm(df: DataFrame, seq: list[str], order: list[str], score: str, out: str = "score") -> DataFrame:
+    """Scores over the largest absolute suffix sum of all sequences (+ 1e-6)."""
+    rows = suffix_sum(df, seq, order, score, "_s")
+    top = rows.agg(F.max(F.abs("_s")).alias("_top"))
+    return rows.join(F.broadcast(top)).withColumn(out, F.col(score) / (F.col("_top") + 1e-6)).drop("_s", "_top")
+
+
+def leave_one_out_tokens(df: DataFrame, seq: list[str], group: list[str], value: str, mask: str, out: str) -> DataFrame:
+    """On masked tokens value * n / (n - 1) less the sum of the group's sequence means / (n - 1), n its sequences; 0 on others."""
+    m = F.col(mask) > 0
+    means = df.filter(m).groupBy(*group, *seq).agg(F.avg(value).alias("_m")).groupBy(*group).agg(F.sum("_m").alias("_s"))
+    sizes = df.groupBy(*group).agg(F.count_distinct(*seq).alias("_n"))
+    rows = df.join(means.join(sizes, group), group, "left")
+    n = F.col("_n")
+    return rows.withColumn(out, F.when(m & (n > 1), F.col(value) * n / (n - 1) - F.col("_s") / (n - 1)).otherwise(0.0)).drop("_s", "_n")
+
+
+def weighted_leave_one_out(df: DataFrame, seq: list[str], group: list[str], order: list[str], mask: str, sources: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """Several reward sources, each name: (value, its mask, weight), summed after their leave-one-out: `return_` is the suffix sum, `advantage` its whitening."""
+    rows = df
+    for name, (value, own, _) in sources.items():
+        rows = leave_one_out_tokens(rows, seq, group, value, own, f"_x_{name}")
+    total = sum((F.col(f"_x_{name}") * w for name, (_, _, w) in sources.items()), F.lit(0.0))
+    rows = suffix_sum(rows.withColumn("_r", total * F.col(mask)), seq, order, "_r").drop("_r", *[f"_x_{n}" for n in sources])
+    return whiten(rows, "return_", mask, out="advantage")
+
+
+def kl_shaped(score: Column, old: Column, reference: Column, ratio: float) -> Column:
+    """score less ratio times the log-probabilities' difference."""
+    return score - (old - reference) * ratio
 
-        return pd.Series([one(r, v) for r, v in zip(rewards, values, strict=True)])
 
-    return _backward(df, seq, order, [reward, value], out, step)
+def remax(df: DataFrame, seq: list[str], order: list[str], reward: str, baseline: str, mask: str) -> DataFrame:
+    """`return_`: the suffix sum of masked rewards; `advantage`: less the sequence's baseline on masked tokens."""
+    rows = suffix_sum(df.withColumn("_r", F.col(reward) * F.col(mask)), seq, order, "_r").drop("_r")
+    return rows.withColumn("advantage", F.col("return_") - F.col(baseline) * F.col(mask))
 
 
 def response_mask(df: DataFrame, seq: list[str], order: list[str], is_end: Column, out: str = "mask") -> DataFrame:

@@ -1,13 +1,8 @@
-"""All queries of the library proper, by name, and their SQL for DuckDB.
-
-Floats are rounded on both sides; every ranking has a total order.
-"""
+"""Queries over batches, advantages, losses, metrics, joins and windows, with their SQL for DuckDB."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillgrid.functions import answers, groups, maths
@@ -15,31 +10,7 @@ from rillgrid.operators import advantages, joins, losses, metrics, partitioning,
 from rillgrid.operators.batch import Batch
 from rillgrid.sources import readers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "eval_accuracy_rollup"
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if there is one."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(c: Column | str) -> Column:
-    # + 0.0 makes a negative zero positive
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
-
+from .queries import FLAGSHIP, QUERIES, SQL, query, r6, table  # noqa: F401  the register is known by this module too
 
 LIMIT_CHARS = 2000
 
@@ -120,7 +91,7 @@ def val_expected_best(spark, d):
 
 @query()
 def val_bootstrap(spark, d):
-    return metrics.bootstrap_by_prompt(table(spark, d, "events"), "event_type", "user_id", "value", "event_type", draws=20)
+    return metrics.bootstrap_by_prompt(table(spark, d, "events"), "event_type", "user_id", "value", "event_type", order="event_id")
 
 
 def _groups(spark, d) -> DataFrame:
@@ -248,8 +219,14 @@ def masked_whiten(spark, d):
 
 @query(f"""WITH e AS ({_GROUPS}), t AS (SELECT *, max(value) {_W} AS top FROM e), s AS (SELECT *, top + ln(avg(exp(value - top)) {_W}) AS b FROM t)
 SELECT event_id, round(value - b, 6) + 0.0 AS advantage FROM s""")
+def softmean_group_baseline(spark, d):
+    return _advantage(advantages.softmean_baseline(_groups(spark, d), "value", group=_KEY))
+
+
+@query("""WITH t AS (SELECT event_id, value, max(value) OVER () AS top FROM events), s AS (SELECT *, top + ln(avg(exp(0.5 * (value - top))) OVER ()) / 0.5 AS b FROM t)
+SELECT event_id, round(value - b, 6) + 0.0 AS advantage FROM s""")
 def softmean_baseline(spark, d):
-    return _advantage(advantages.softmean_baseline(_groups(spark, d), _KEY, "value"))
+    return _advantage(advantages.softmean_baseline(_groups(spark, d), "value", 0.5))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, cast(value > 50 AS INT) AS ok, date_trunc('hour', ts) AS h FROM events), s AS (SELECT *, count(*) OVER w AS n, min(ok) OVER w AS a, max(ok) OVER w AS b FROM e WINDOW w AS (PARTITION BY user_id, event_type, h))
@@ -354,16 +331,24 @@ def pad_unpad(spark, d):
     return padded.df.selectExpr("_pos AS pos", "n_nationkey")
 
 
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, n_nationkey, n_name FROM nation")
+def scatter_gather(spark, d):
+    """Dealt to eight workers with padding and put together again."""
+    parts, pad = _nation(spark, d).scatter(8)
+    return Batch.gather(parts, pad).df.selectExpr("_pos AS pos", "n_nationkey", "n_name")
+
+
 @query("SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey) - 1 AS pos, n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey")
 def fold_unfold(spark, d):
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey")).select("r_regionkey", "n_nationkey")
     return Batch.of(n, "r_regionkey", "n_nationkey").fold(5).unfold().df.selectExpr("_pos AS pos", "n_nationkey")
 
 
-@query("""WITH h AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS k, count(*) OVER () AS n FROM documents)
-SELECT doc_id, lang, CASE WHEN k < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM h""")
+@query("""WITH h AS (SELECT doc_id, lang, text, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS k, count(*) OVER () AS n FROM documents)
+SELECT doc_id, lang, md5(text) AS digest, CASE WHEN k < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM h""")
 def seeded_split(spark, d):
-    return sampling.split(table(spark, d, "documents").select("doc_id", "lang"), 42, ["doc_id"], 0.8)
+    """Whole rows go through the split, so that it is tried with wide ones."""
+    return sampling.split(table(spark, d, "documents").select("doc_id", "lang", "text"), 42, ["doc_id"], 0.8).select("doc_id", "lang", F.md5("text").alias("digest"), "split")
 
 
 @query("""WITH h AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS k FROM documents) SELECT doc_id, lang FROM h WHERE k <= 10""")
@@ -384,7 +369,14 @@ def knn_inner_product(spark, d):
     return retrieval.knn(e, e.filter(F.col("vec_id") % 50 == 0), "vec_id", "embedding", 10)
 
 
-@query()
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\W+'), lambda w: w <> '')"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT item_id AS query, unnest({_WORDS}) AS w FROM benchmark), s AS (SELECT doc_id AS key, {_WORDS} AS ws FROM documents),
+a AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM s), x AS (SELECT key, len(ws) AS len, unnest(ws) AS w FROM s),
+f AS (SELECT w, key, len, count(*) AS tf FROM x WHERE w IN (SELECT w FROM t) GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM f GROUP BY w),
+g AS (SELECT query, key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * len / mean))), 6) AS score FROM f JOIN df USING (w) JOIN t USING (w), a GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM g) SELECT query, key, score, cast(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def bm25_search(spark, d):
     return retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", 10)
 
