@@ -8,12 +8,13 @@ a marked part is cut back to what is free, and counts while it has `least` token
 the marked share of the item's tokens, wherever in the document they stand and in any order.
 
 The benchmark is the stated query set and goes against all documents in blocks of at most
-`block_mb` of text; its size is summed before any of it is sent, so a larger benchmark takes more
-passes and no more memory.
+`block_mb` of text; its size is summed before any of it is sent.  Documents pass from block to
+block within a task, so they are read once and never shuffled; `at_once` blocks are sent at a time, and
+a benchmark of more of them has its documents' findings written in between.
 
 Cases: null or empty texts on either side match nothing; an item of fewer than `least` tokens is
-matched as a whole; repeated documents and items are compared like others; empty tables give no
-matches; columns other than doc_id and text, item_id and text are ignored.
+matched as a whole; repeated documents and items are compared like others, and rows without a doc_id too; empty tables give no
+matches; columns other than doc_id and text, item_id and text are ignored, and kept by clean().
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .tables import bounded_batches
+from .tables import bounded_batches, stage
 
 
 class Items:
@@ -78,25 +79,43 @@ def tile(matches: list[tuple[int, int, int]], n_item: int, least: int) -> list[t
     return tiles
 
 
-def compare(part: pa.RecordBatch, items: Items, threshold: float) -> Iterator[tuple[int, int, int]]:
-    """(row, item, tokens covered) of all pairs that reach the threshold."""
+def compare(part: pa.RecordBatch, items: Items, threshold: float, most: int = 1 << 22) -> Iterator[tuple[int, int, int]]:
+    """(row, item, tokens covered) of all pairs that reach the threshold.
+
+    Seeds that stand often on both sides make many pairs of places: `most` are held at a time, or
+    those of one document.
+    """
     buf, offs = tx.buffers(part.column("text"))
     buf = tx.LOWER[buf]
     starts, ends, firsts = tx.words(buf, offs, tx.NOT_ALNUM)
     h, own = tx.hash_spans(buf, starts, ends), tx.owners(firsts)
-    docs, places = [], []
+    hits = []
     for length in items.lengths:
         g = tx.rolling(h, length, 6)
         ok = own[: len(g)] == own[length - 1 :][: len(g)]
         low, high = np.searchsorted(items.seeds, g, "left"), np.searchsorted(items.seeds, g, "right")
-        hit = np.flatnonzero((high > low) & ok)
-        n = (high - low)[hit]
-        seed = np.repeat(low[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at = np.repeat(hit, n)
-        fit = items.size[seed] == length
-        docs.append(at[fit])
-        places.append(seed[fit])
-    at, seed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, places))
+        at = np.flatnonzero((high > low) & ok)
+        hits.append((at, low[at], (high - low)[at], np.full(len(at), length)))
+    at, low, n, length = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 4
+    by = np.argsort(at, kind="stable")
+    at, low, n, length = at[by], low[by], n[by], length[by]
+    # so many pairs of places at a time, whole documents
+    ends = np.searchsorted(at, firsts[1:])
+    total = np.concatenate([[0], np.cumsum(n)])[ends]
+    begin = done = 0
+    while begin < len(at):
+        k = max(int(np.searchsorted(total, done + most, "right")) - 1, int(np.searchsorted(ends, begin, "right")))
+        part_ = slice(begin, int(ends[k]))
+        yield from _compared(at[part_], low[part_], n[part_], length[part_], own, items, threshold)
+        begin, done = int(ends[k]), int(total[k])
+
+
+def _compared(hit: np.ndarray, low: np.ndarray, n: np.ndarray, length: np.ndarray, own: np.ndarray, items: Items, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """The same, from the documents' places that have seeds: how many, from where in the index, and of what length."""
+    seed = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    at = np.repeat(hit, n)
+    fit = items.size[seed] == np.repeat(length, n)
+    at, seed = at[fit], seed[fit]
     if not len(at):
         return
     doc, item = own[at], items.item[seed]
@@ -133,50 +152,67 @@ def blocks(benchmark: DataFrame, least: int, block_mb: float) -> Iterator[Items]
             yield Items([r[0] for r in found], [r[1] for r in found], least)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 5, block_mb: float = 8.0) -> DataFrame:
-    """Pairs that reach the threshold: doc_id, item_id, covered, n_tokens, coverage."""
+def _found(batches: Iterator[pa.RecordBatch], items: Items, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Batches with doc_id, text and found, an array of (item_id, covered, n_tokens), longer by what this block has."""
+    kind = pa.struct([("item_id", pa.int64()), ("covered", pa.int64()), ("n_tokens", pa.int64())])
+    for batch in batches:
+        for part in tx.slabs(batch, "text"):
+            more: dict[int, list[dict]] = {}
+            for d, i, covered in compare(part, items, threshold):
+                more.setdefault(d, []).append({"item_id": items.ids[i], "covered": covered, "n_tokens": int(items.firsts[i + 1] - items.firsts[i])})
+            had = part.column("found")
+            if more:
+                had = pa.array([(old or []) + more.get(d, []) for d, old in enumerate(had.to_pylist())], pa.list_(kind))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), had], ["doc_id", "text", "found"])
+
+
+def findings(docs: DataFrame, benchmark: DataFrame, threshold: float, least: int, block_mb: float, at_once: int = 4) -> DataFrame:
+    """doc_id and found, an array of (item_id, covered, n_tokens) that reach the threshold, of every row of docs."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, covered long, n_tokens long, coverage double"
-    out = docs.sparkSession.createDataFrame([], schema)
+    schema = "doc_id long, text string, found array<struct<item_id:long,covered:long,n_tokens:long>>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr("cast(array() AS array<struct<item_id:bigint,covered:bigint,n_tokens:bigint>>)").alias("found"))
+    sent = []
     for k, items in enumerate(blocks(benchmark, least, block_mb)):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        if k and k % at_once == 0:
+            rows = stage(rows, f"found{k}")
+            while sent:
+                sent.pop().unpersist()
+        sent.append(docs.sparkSession.sparkContext.broadcast(items))
+        rows = rows.mapInArrow(lambda batches, b=sent[-1]: _found(batches, b.value, threshold), schema)
+    return rows.select("doc_id", "found")
 
-        def found(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = sent.value
-            for batch in batches:
-                for part in tx.slabs(batch, "text"):
-                    x = list(compare(part, items, threshold))
-                    n = [int(items.firsts[i + 1] - items.firsts[i]) for _, i, _ in x]
-                    ids = part.column("doc_id").to_pylist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[d] for d, _, _ in x], pa.int64()), pa.array([items.ids[i] for _, i, _ in x], pa.int64()), pa.array([c for _, _, c in x], pa.int64()), pa.array(n, pa.int64()), pa.array([c / m for (_, _, c), m in zip(x, n, strict=True)], pa.float64())],
-                        ["doc_id", "item_id", "covered", "n_tokens", "coverage"],
-                    )
 
-        part = rows.mapInArrow(found, schema)
-        out = part if k == 0 else out.unionByName(part)
-    return out
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 5, block_mb: float = 8.0) -> DataFrame:
+    """Pairs that reach the threshold: doc_id, item_id, covered, n_tokens, coverage."""
+    one = findings(docs, benchmark, threshold, least, block_mb).select("doc_id", F.explode("found").alias("f"))
+    return one.select("doc_id", "f.item_id", "f.covered", "f.n_tokens", (F.col("f.covered") / F.col("f.n_tokens")).alias("coverage"))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 5, block_mb: float = 8.0) -> DataFrame:
     """One row per document: doc_id, contaminated, the largest coverage (0 below the threshold) and the items found."""
-    found = matches(docs, benchmark, threshold, least, block_mb).groupBy("doc_id").agg(F.max("coverage").alias("coverage"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce(F.size("items"), F.lit(0)).cast("int").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+    rows = findings(docs, benchmark, threshold, least, block_mb)
+    items = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item_id"])))
+    best = F.coalesce(F.array_max(F.transform("found", lambda f: f["covered"] / f["n_tokens"])), F.lit(0.0))
+    return rows.select("doc_id", (F.size("found") > 0).alias("contaminated"), best.alias("coverage"), F.size(items).cast("int").alias("n_items"), items.alias("items"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 5, block_mb: float = 8.0) -> DataFrame:
-    """docs without those that hold an item; the rows pass through one scan for each block, and none is shuffled."""
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 5, block_mb: float = 8.0, at_once: int = 4) -> DataFrame:
+    """docs without those that hold an item; rows pass from block to block in one scan, and none is shuffled."""
     bounded_batches(docs.sparkSession)
-    for items in blocks(benchmark, least, block_mb):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    schema, sent = docs.schema, []
+    for k, items in enumerate(blocks(benchmark, least, block_mb)):
+        if k and k % at_once == 0:
+            docs = stage(docs, f"clean{k}")
+            while sent:
+                sent.pop().unpersist()
+        sent.append(docs.sparkSession.sparkContext.broadcast(items))
 
-        def kept(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def kept(batches: Iterator[pa.RecordBatch], b=sent[-1]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in tx.slabs(batch, "text"):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[d for d, _, _ in compare(part, sent.value, threshold)]] = False
+                    keep[[d for d, _, _ in compare(part, b.value, threshold)]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(kept, docs.schema)
+        docs = docs.mapInArrow(kept, schema)
     return docs

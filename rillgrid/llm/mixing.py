@@ -7,13 +7,16 @@ source's blocks go to its shards in the same way, the shards' words being the vo
 the documents of a hash of (source, doc_id); it takes whole passes over its documents and, for the
 rest of its quota, documents in a seeded order, the last one in part.
 
-Highest quotients needn't be drawn one seat at a time: with the divisor d, every party has
-round(votes / d) seats, and the seats still missing or over go by the order of the quotients
-around that point, of which each party has few.
+Highest quotients needn't be drawn one seat at a time.  With V votes, N seats and k parties the
+divisor of the last seat lies between V / (N + k / 2) and V / (N - k / 2), as rounding adds half a
+seat a party at most; so a party surely has the seats that the upper bound gives it, and bids for
+those up to what the lower bound gives.  That is k bids more than parties in all, and the highest
+fill what is left: the same seats as one at a time.
 
 Cases: a null text has 0 words and takes 0; a null source is a source of its own; an empty table
-gives an empty result; repeated doc_ids take the same way, each row on its own words; columns
-other than doc_id, text and source are ignored.
+gives an empty result; rows that share a doc_id, or have none, are taken each on its own words, and equal rows
+take the same place one after another; columns other than doc_id, text and source, whatever their
+names, are ignored by mix() and kept by choose().
 """
 
 from __future__ import annotations
@@ -55,59 +58,80 @@ def targets(sources: DataFrame, most: float = 3.0) -> DataFrame:
 
 
 def apportion(parties: DataFrame, within: list[str], votes: str, seats: str, order: list[str]) -> DataFrame:
-    """parties with `quota`, the seats that each gets of its group's by Sainte-Lague; ties go by `order`.
-
-    A party's seats are within one of floor(votes * seats / total + 1/2) unless rounding adds up
-    over many parties; each such party puts up the quotients of its next few seats, and the
-    highest fill what is left.
-    """
+    """parties with `quota`, the seats that each gets of its group's by Sainte-Lague; ties go by `order`."""
     group = Window.partitionBy(*within)
-    exact = F.col(votes) * F.col(seats) / F.sum(votes).over(group)
-    base = parties.withColumn("_floor", F.when(F.sum(votes).over(group) > 0, F.greatest(F.floor(exact) - 1, F.lit(0))).otherwise(F.lit(0)).cast("long"))
-    base = base.withColumn("_left", (F.col(seats) - F.sum("_floor").over(group)).cast("long"))
-    # quotients of the next seats; a party's seats differ from the exact share by little, four cover it
-    offers = base.withColumn("_next", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    offers = offers.withColumn("_quotient", F.col(votes) / (2 * (F.col("_floor") + F.col("_next")) + 1))
-    top = Window.partitionBy(*within).orderBy(F.col("_quotient").desc(), *[F.col(c).asc_nulls_last() for c in order], F.col("_next"))
-    won = offers.withColumn("_won", ((F.row_number().over(top) <= F.col("_left")) & (F.col(votes) > 0)).cast("long"))
-    keep = [c for c in parties.columns]
-    return won.groupBy(*keep, "_floor").agg(F.sum("_won").alias("_won")).select(*keep, (F.col("_floor") + F.col("_won")).alias("quota"))
-
-
-def mix(docs: DataFrame, block: int = 16, shard_words: int = 200_000, seed: str = "mix", most: float = 3.0) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and taken, the words that the mix takes of it.
-
-    block: words in a block.  shard_words: words that a shard holds about, which bounds what one
-    task orders; a source of any size is dealt over so many shards.
+    total, half = F.sum(votes).over(group), F.count(F.lit(1)).over(group) / 2
+    # the seats that a divisor of total / n gives, less or more one for what floating point may miss
+    given = lambda n: F.when(total > 0, F.floor(F.col(votes) * n / total + 0.5)).otherwise(F.lit(0))
+    base = parties.withColumn("_sure", F.greatest(given(F.col(seats) - half) - 1, F.lit(0)).cast("long"))
+    base = base.withColumn("_most", F.when(F.col(votes) > 0, given(F.col(seats) + half) + 1).otherwise(F.lit(0)).cast("long"))
+    base = base.withColumn("_left", (F.col(seats) - F.sum("_sure").over(group)).cast("long"))
+    bids = base.filter("_most > _sure").select(*within, *order, votes, "_left", F.explode(F.sequence(F.col("_sure"), F.col("_most") - 1)).alias("_seat"))
+    bids = bids.withColumn("_quotient", F.col(votes) / (2 * F.col("_seat") + 1))
+    top = Window.partitionBy(*within).orderBy(F.col("_quotient").desc(), *[F.col(c).asc_nulls_last() for c in order], F.col("_seat"))
+    won = bids.filter("_left > 0").withColumn("_rank", F.row_number().over(top)).filter("_rank <= _left").groupBy(*within, *order).agg(F.count("*").alias("_won"))
+    keys = [*within, *order]
+    won = won.select(*[F.col(c).alias(f"_w_{c}") for c in keys], "_won")
+    on = [base[c].eqNullSafe(won[f"_w_{c}"]) for c in keys]
+    return base.join(won, on, "left").select(*[base[c] for c in parties.columns], (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias("quota"))
+
+
+def _dealt(rows: DataFrame, block: int, shard_words: int, seed: str, most: float) -> DataFrame:
+    """rows, an array of columns `row` with doc_id, source, size and a hash of the text, with source_size, target, taken and shard.
+
+    The seeded order of a shard's documents is the order of its blocks, of which the first are taken.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size(F.col("text").cast("string")).alias("size"))
-    sized = stage(sized, "sizes")
-    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most)
-    sources = sources.withColumn("blocks", F.col("target") / block)
+    sizes = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    sources = targets(sizes, most)
     total = Window.partitionBy()
     sources = sources.withColumn("all_blocks", F.round(F.sum("target").over(total) / block).cast("long"))
     quotas = apportion(sources, [], "target", "all_blocks", ["source"]).withColumnRenamed("quota", "source_blocks")
     n_shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("int")
-    quotas = stage(quotas.select("source", "source_size", "target", "source_blocks", n_shards.alias("n_shards")), "quotas")
+    quotas = stage(quotas.select(F.col("source").alias("q_source"), "source_size", "target", "source_blocks", n_shards.alias("n_shards")), "quotas")
     # a row per source, as the sources' names are known: small beside any table of documents
-    dealt = sized.join(quotas, sized["source"].eqNullSafe(quotas["source"])).drop(quotas["source"])
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("n_shards")).cast("int"))
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"), F.first("target").alias("source_target"))
-    shards = apportion(shards, ["source"], "shard_size", "source_blocks", ["shard"])
+    dealt = rows.join(quotas, rows["source"].eqNullSafe(quotas["q_source"])).drop("q_source")
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "content"), F.col("n_shards")).cast("int"))
+    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
+    shards = apportion(stage(shards, "shards"), ["source"], "shard_size", "source_blocks", ["shard"])
     # blocks are whole; the words a shard takes never go beyond `most` passes over it
     shards = shards.select(F.col("source").alias("s_"), F.col("shard").alias("k_"), "shard_size", F.least(F.col("quota") * block, F.floor(F.col("shard_size") * F.lit(float(most)))).cast("long").alias("words"))
     chosen = dealt.join(shards, dealt["source"].eqNullSafe(shards["s_"]) & (dealt["shard"] == shards["k_"]))
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
-    order = Window.partitionBy("source", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
+    order = Window.partitionBy("source", "shard").orderBy(drawn, "doc_id", "size", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.sum("size").over(order) - F.col("size")
     rest = F.col("words") - passes * F.col("shard_size")
     extra = F.least(F.greatest(rest - before, F.lit(0)), F.col("size"))
-    return chosen.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + extra).cast("long").alias("taken"), "source", "shard")
+    return chosen.withColumn("taken", (passes * F.col("size") + extra).cast("long"))
+
+
+def _sized(docs: DataFrame) -> list:
+    """doc_id, source, size and content of a row."""
+    text = F.col("text").cast("string")
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size(text).alias("size"), F.xxhash64(text).alias("content")]
 
 
-def choose(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs of which the mix takes words, with size, source_size, target and taken."""
-    names = ["size", "source_size", "target", "taken"]
-    part = mix(docs, **how).filter("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(*[F.max(c).alias(f"_{c}") for c in names])
-    free = {c: c if c not in docs.columns else f"mix_{c}" for c in names}
-    return docs.join(part, docs["doc_id"] == part["_id"]).select(*[docs[c] for c in docs.columns], *[F.col(f"_{c}").alias(free[c]) for c in names])
+def mix(docs: DataFrame, block: int = 16, shard_words: int = 200_000, seed: str = "mix", most: float = 3.0) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target and taken, the words that the mix takes of it.
+
+    block: words in a block.  shard_words: words that a shard holds about, which bounds what one
+    task orders; a source of any size is dealt over so many shards.
+    """
+    rows = stage(docs.select(*_sized(docs)), "sizes")
+    return _dealt(rows, block, shard_words, seed, most).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
+
+
+def choose(docs: DataFrame, block: int = 16, shard_words: int = 200_000, seed: str = "mix", most: float = 3.0) -> DataFrame:
+    """The rows of docs of which the mix takes words, with size, source_size, target and taken.
+
+    Where docs has a column of such a name, the new one is called mix_ and the name, with more
+    underscores if that is taken too.  Rows go through the deal whole, in one shuffle by shard.
+    """
+    names = {}
+    for c in ("size", "source_size", "target", "taken"):
+        names[c] = c if c not in docs.columns else f"mix_{c}"
+        while names[c] in docs.columns:
+            names[c] += "_"
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = _dealt(docs.select(*_sized(docs), row), block, shard_words, seed, most).filter("taken > 0")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in names.items()])

@@ -232,7 +232,7 @@ def keep(docs: DataFrame, **how) -> DataFrame:
 
     The ids of the others go to the rows in a join by doc_id.
     """
-    gone = stage(dedup(docs, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = stage(dedup(docs, **how).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
     twice = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     rows = docs if twice.isEmpty() else docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
-    return rows.join(gone, rows["doc_id"] == F.col("_gone"), "left_anti")
+    return rows.join(gone, "doc_id", "left_anti").select(*rows.columns)

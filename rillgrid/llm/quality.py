@@ -64,10 +64,10 @@ def histograms(buf: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.n
     doc = tx.owners(offs)[lead]
     chars = np.bincount(doc * N_CLASSES + _CLASS[buf[lead]], minlength=n * N_CLASSES).reshape(n, N_CLASSES)
     hashes, columns = _vocabulary()
-    last = ends.copy()  # without sentence marks at the end, of which three at most are taken
-    for _ in range(3):
-        cut = (last > starts) & _STRIP[buf[np.maximum(last - 1, 0)]]
-        last -= cut
+    last = ends.copy()  # without sentence marks at the end
+    cut = np.flatnonzero(ends > starts)
+    while len(cut := cut[(last[cut] > starts[cut]) & _STRIP[buf[np.maximum(last[cut] - 1, 0)]]]):
+        last[cut] -= 1
     h = tx.hash_spans(buf, starts, last, tx.LOWER)
     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
     column = np.where(hashes[at] == h, columns[at], len(hashes))

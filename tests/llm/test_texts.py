@@ -267,7 +267,7 @@ def test_mixing(spark):
     again = mixing.mix(frame(spark, rows).repartition(5), shard_words=2000).collect()
     assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in got}
     assert mixing.mix(frame(spark, [])).count() == 0
-    chosen = mixing.choose(frame(spark, rows))
+    chosen = mixing.choose(frame(spark, rows), shard_words=2000)
     assert chosen.columns[:11] == frame(spark, rows).columns and chosen.count() == sum(r.taken > 0 for r in got)
 
 
@@ -277,15 +277,89 @@ def test_capped_targets(spark):
     assert {r.source: r.target for r in mixing.targets(rows).collect()} == pytest.approx(want)
 
 
-def test_sainte_lague(spark):
-    votes = {"a": 53, "b": 24, "c": 23, "d": 0, "e": 7}
-    seats, won = 20, Counter()
+def seat_by_seat(votes, seats):
+    won = Counter()
     for _ in range(seats):
-        won[max(votes, key=lambda k: (votes[k] / (2 * won[k] + 1), -ord(k)))] += 1
+        won[max(votes, key=lambda k: (votes[k] / (2 * won[k] + 1), [-ord(c) for c in k]))] += 1
+    return won
+
+
+@pytest.mark.parametrize(("votes", "seats"), [({"a": 53, "b": 24, "c": 23, "d": 0, "e": 7}, 20), ({"a": 1, "b": 1, "c": 1}, 2), ({"a": 0, "b": 0}, 0), ({"a": 9}, 4), ({f"p{i:04}": 49 for i in range(1000)} | {"z": 100_000}, 1490), ({f"p{i:03}": 1 + (i * 37) % 91 for i in range(300)}, 77)])
+def test_sainte_lague(spark, votes, seats):
+    """Quotas are those of drawing seat by seat, also where many small parties stand beside a large one."""
+    won = seat_by_seat(votes, seats)
     rows = spark.createDataFrame([(k, v, seats) for k, v in votes.items()], "p string, v long, s long")
     assert {r.p: r.quota for r in mixing.apportion(rows, [], "v", "s", ["p"]).collect()} == {k: won[k] for k in votes}
 
 
+def test_mixing_of_rows_without_keys(spark):
+    """Rows without a doc_id or with one in common are taken each on its own words, whatever other columns are called."""
+    rows = [(None, "a b c", "x", 1, 2.0, "s"), (7, "one two " * 5, "x", 3, 4.0, "t"), (7, "w " * 400, "x", 5, 6.0, "u"), (None, None, None, 7, 8.0, "v"), (9, "q " * 30, "y", 9, 1.0, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, mix_size double, _size string")
+    out = mixing.choose(docs).collect()
+    assert out[0].asDict().keys() == {"doc_id", "text", "source", "size", "mix_size", "_size", "mix_size_", "source_size", "target", "taken"}
+    assert {r._size for r in out} >= {"u", "w"}
+    assert all(0 < r.taken <= 3 * r["mix_size_"] for r in out)
+    per = mixing.mix(docs)
+    assert per.count() == 5 and all(r.taken <= 3 * r.size for r in per.collect())
+
+
+def test_flags_of_rows_without_keys(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, item, 1), (None, "clean text", 2), (3, item, 3), (3, "none", 4)], "doc_id long, text string, found int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.contaminated) for r in decontaminate.flag(docs, bench).collect()) == [(0, False), (0, True), (3, False), (3, True)]
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and {r.found for r in kept.collect()} == {2, 4}
+    assert {(r.item_id, r.coverage) for r in decontaminate.matches(docs, bench).collect()} == {(1, 1.0)}
+
+
+def brute_tiles(a, b, least):
+    """Greedy string tiling by its definition: the longest match of free tokens, the leftmost in a and then in b, again and again."""
+    mine, theirs, covered = [False] * len(a), [False] * len(b), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not mine[i + k] and not theirs[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        n, i, j = best
+        if n < least:
+            return covered
+        mine[i : i + n] = [True] * n
+        theirs[j : j + n] = [True] * n
+        covered += n
+
+
+def test_decontamination_against_brute_force(spark):
+    """Coverage of texts that share, repeat, overlap and reorder pieces of items, also items and texts of few different words."""
+    rng = random.Random(12)
+    words = [f"t{i}" for i in range(60)]
+    items = [[rng.choice(words) for _ in range(rng.randrange(3, 40))] for _ in range(8)] + [["x", "y"] * 8, ["x"] * 12]
+    made = []
+    for _ in range(40):
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            item = rng.choice(items)
+            i = rng.randrange(len(item))
+            text += item[i : i + rng.randrange(3, 25)] + [rng.choice(words) for _ in range(rng.randrange(4))]
+        made.append(text)
+    docs = texts(spark, *[" ".join(t) for t in made])
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {}
+    for d, t in enumerate(made):
+        for i, item in enumerate(items):
+            covered = brute_tiles(item, t, min(5, len(item)))
+            if covered >= 0.5 * len(item):
+                want[d, i] = covered
+    got = {(r.doc_id, r.item_id): r.covered for r in decontaminate.matches(docs, bench).collect()}
+    assert got == want and len(want) > 20
+    assert {(r.doc_id, r.item_id): r.covered for r in decontaminate.matches(docs, bench, block_mb=0.0002).collect()} == want
+
+
 def test_language_model(spark):
     rng = random.Random(4)
     langs = [[f"{p}{i}" for i in range(12)] for p in ("ae", "zo")]
