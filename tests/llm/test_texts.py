@@ -81,6 +81,54 @@ def test_licences(spark):
     assert licences.scan(frame(spark, [])).count() == 0
 
 
+def test_licence_texts(spark):
+    """Whole texts, also cut, edited and among other words, are found by their rare words; other prose isn't."""
+    from rillgrid.llm.licence_texts import TEMPLATES
+
+    rng = random.Random(3)
+    prose = lambda k: " ".join(rng.choice("the of and to in word other thing make some any use copy".split()) for _ in range(k))
+    names = sorted(TEMPLATES)
+    whole = [f"{prose(30)} {TEMPLATES[n][0]} {prose(30)}" for n in names]
+    edited = TEMPLATES["mit"][0].split()
+    edited[40:45] = ["one", "two"]
+    two = f"{TEMPLATES['zlib'][0]} {prose(500)} {TEMPLATES['apache-2.0'][0]}"
+    got = licences.scan(texts(spark, *whole, " ".join(edited), two, prose(400), "any copy of this software", prose(100) * 30)).orderBy("doc_id").collect()
+    for n, r in zip(names, got, strict=False):
+        assert n in r.labels.split(",") and r.score > 0.95, (n, r)
+    rest = got[len(names) :]
+    assert "mit" in rest[0].labels and 0.3 < rest[0].score < 1
+    assert {"zlib", "apache-2.0"} <= set(rest[1].labels.split(","))
+    assert [r.labels for r in rest[2:]] == ["", "", ""]
+
+
+def brute_base(text):
+    w = [x.decode() for x in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))]
+    found = [(i, label) for p, label in licences.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    at = [i for i, _ in found]
+    return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def test_licence_base_against_brute_force(spark):
+    rng = random.Random(6)
+    words = ["gnu", "General", "public", "LICENSE", "apache", "cc", "by", "mit", "é", "x1", "CC-BY", "mit/license"]
+    rows = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(80)] + [None, "", "MIT license " * 3000, "cc\n\tby,mit license"]
+    docs = texts(spark, *rows)
+    got = {r.doc_id: tuple(r[1:6]) for r in licences.scan(docs).collect()}
+    assert got == {i: brute_base(t) for i, t in enumerate(rows)}
+
+
+def test_rarest_words_by_brute_force():
+    """Of each document the places of its words of the highest weight, ties to the first of the vocabulary."""
+    rng = np.random.default_rng(5)
+    own = np.sort(rng.integers(0, 6, 80))
+    which, idf = rng.integers(0, 9, 80), np.array([3.0, 1.0, 2.0, 2.0, 0.5, 4.0, 1.0, 1.5, 0.1])
+    want = []
+    for d in range(6):
+        best = sorted(set(which[own == d].tolist()), key=lambda w: (-idf[w], w))[:4]
+        want += [i for i in np.flatnonzero(own == d).tolist() if which[i] in best and idf[which[i]] >= 1.0]
+    assert licences.rarest(np.arange(80), which, own, idf, 4, 1.0).tolist() == sorted(want)
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     w = [f"t{i}" for i in range(3000)]
