@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -474,6 +475,17 @@ def test_language_model(spark):
     assert language_model.score(frame(spark, [])).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_language_model_on_other_layouts(spark):
+    """One pass beats the counts on texts held out, and scores don't follow the files' layout."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one = {r.doc_id: r for r in language_model.score(docs, share=50_000).collect()}
+    two = {r.doc_id: r for r in language_model.score(docs.repartition(7, "text"), share=50_000).collect()}
+    assert one.keys() == two.keys() and all(r.score == pytest.approx(two[d].score, rel=1e-6) for d, r in one.items())
+    held = [r for r in one.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_model_is_normalised():
     p = language_model.start()
     every = np.arange(language_model.CLASSES)
