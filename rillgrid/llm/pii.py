@@ -317,6 +317,8 @@ def _replaced(docs: DataFrame, key: str) -> DataFrame:
         # a document by its content: rows of one text have the same corrections, whatever their ids
         content = F.array(F.xxhash64("text"), F.length("text").cast("long"))
         hit = found.select(content.alias("_c"), F.explode(entities).alias("entity")).distinct().join(late, "entity").groupBy("_c").agg(F.map_from_entries(F.collect_set(F.struct("entity", "replacement"))).alias(wrong))
+        # written first, so that its size is known: a small table is sent to the texts, and none is shuffled
+        hit = stage(hit, "mends")
         found = found.join(hit, content == hit["_c"], "left").drop(hit["_c"])
         mend = lambda p: F.coalesce(F.col(wrong)[p], surrogate(p, key))
     new = F.array_join(F.transform(F.col(parts), lambda p, i: F.when(i % 2 == 1, mend(p)).otherwise(p)), "")
