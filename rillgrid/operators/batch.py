@@ -26,12 +26,12 @@ def number_rows(df: DataFrame, *order: str, name: str = POS, start: int = 0) ->
     shifted by the sizes of the ranges before it, which are as few as partitions.
     """
     keys = [F.col(c) for c in order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    ranged = stored(ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
-    sizes = ranged.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return ranged.join(shift, "_part").withColumn(name, (F.col("_before") + F.col("_at") + start).cast("long")).drop("_part", "_before", "_at")
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_nr_place", F.monotonically_increasing_id())
+    ranged = stored(ranged.withColumn("_nr_part", F.shiftright("_nr_place", 33)).withColumn("_nr_place", F.col("_nr_place").bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = ranged.groupBy("_nr_part").agg((F.max("_nr_place") + 1).alias("_nr_n"))
+    before = Window.orderBy("_nr_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_nr_part", F.coalesce(F.sum("_nr_n").over(before), F.lit(0)).alias("_nr_before"))
+    return ranged.join(shift, "_nr_part").withColumn(name, (F.col("_nr_before") + F.col("_nr_place") + start).cast("long")).drop("_nr_part", "_nr_before", "_nr_place")
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:

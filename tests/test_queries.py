@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from rillgrid.plans import catalogue
+from rillgrid.plans import catalogue, scores, training  # noqa: F401  all register their queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
