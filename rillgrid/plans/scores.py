@@ -184,7 +184,7 @@ SELECT conv_id, 400 AS size, n::BIGINT AS attention, greatest(least(p + r, 400)
 def supervised_rows(spark, d):
     """Prompt, response and end in 400 places: the loss stands on what predicts a response token or the end."""
     made = tokens.supervised_row(F.col("prompt"), F.col("response"), 400, side="right")
-    rows = _pairs(spark, d).select("conv_id", *[c.alias(k) for k, c in made.items()])
+    rows = _pairs(spark, d).select("conv_id", made.alias("r")).select("conv_id", "r.*")
     return rows.select("conv_id", F.size("input_ids").alias("size"), _sum(F.col("attention_mask")).alias("attention"), _sum(F.col("loss_mask")).alias("loss"), _sum(F.col("position_ids")).alias("positions"))
 
 
@@ -192,7 +192,7 @@ def supervised_rows(spark, d):
 def prompt_rows(spark, d):
     """Prompts in 200 places, cut on the left and padded there."""
     made = tokens.prompt_row(F.col("prompt"), 200, -1, side="left")
-    rows = _pairs(spark, d).select("conv_id", *[c.alias(k) for k, c in made.items()])
+    rows = _pairs(spark, d).select("conv_id", made.alias("r")).select("conv_id", "r.*")
     padding = F.size(F.filter("input_ids", lambda x: x == -1)).cast("long")
     return rows.select("conv_id", _sum(F.col("attention_mask")).alias("attention"), padding.alias("padding"), _sum(F.col("position_ids")).alias("positions"), F.size("raw_prompt_ids").cast("long").alias("raw"))
 
@@ -201,15 +201,15 @@ def prompt_rows(spark, d):
 def rollout_rows(spark, d):
     """Prompts of 100 places and responses of 150 in one row."""
     answer = tokens.characters(F.col("response"))
-    made = tokens.rollout_row(tokens.characters(F.col("prompt")), answer, F.transform(answer, lambda x: F.lit(1)), 100, 150)
-    rows = _pairs(spark, d).filter("prompt <> ''").select("conv_id", *[c.alias(k) for k, c in made.items()])
+    made = tokens.let(answer, lambda a: tokens.rollout_row(tokens.characters(F.col("prompt")), a, tokens.ones(a), 100, 150))
+    rows = _pairs(spark, d).filter("prompt <> ''").select("conv_id", made.alias("r")).select("conv_id", "r.*")
     return rows.select("conv_id", F.size("input_ids").alias("size"), _sum(F.col("attention_mask")).alias("attention"), _sum(F.col("response_mask")).alias("answered"), _sum(F.col("position_ids")).alias("positions"))
 
 
 @query(f"""WITH c AS ({_PAIRS}) SELECT conv_id, least(r, 120) - 1 AS at, round(p / 1000, 6) AS reward, round(p / 1000 + least(-(least(r, 120) - 70) / 50 * 0.5, 0), 6) AS with_penalty FROM c WHERE r > 0""")
 def placed_rewards(spark, d):
     """A response's score stands at its last token, with the penalty on long ones beside."""
-    mask = tokens.pad(F.transform(F.slice(tokens.characters(F.col("response")), 1, 120), lambda x: F.lit(1)), 120, 0)
+    mask = tokens.pad(tokens.ones(F.slice(tokens.characters(F.col("response")), 1, 120)), 120, 0)
     rows = _pairs(spark, d).filter("response <> ''").select("conv_id", (F.length("prompt") / 1000).alias("s"), mask.alias("response_mask"))
     one = scoring.batch_manager(rows, lambda df: F.col("s"))
     two = scoring.dapo_manager(rows, lambda df: F.col("s"), longest=120, buffer=50, factor=0.5).select("conv_id", F.col("reward").alias("more"))
