@@ -54,7 +54,7 @@ def targets(sources: DataFrame, most: float = 3.0) -> DataFrame:
     w = w.withColumn("free", F.col("weight") * F.col("level") <= F.col("cap"))
     level = F.min(F.when(F.col("free"), F.struct(F.col("capped"), F.col("level")))).over(whole)["level"]
     share = F.coalesce(level * F.col("weight"), F.col("cap"))
-    return w.select("source", "source_size", F.least(share, F.col("cap")).alias("target"))
+    return w.select("source", "source_size", F.round(F.least(share, F.col("cap")), 6).alias("target"))
 
 
 def apportion(parties: DataFrame, within: list[str], votes: str, seats: str, order: list[str]) -> DataFrame:
@@ -77,7 +77,7 @@ def apportion(parties: DataFrame, within: list[str], votes: str, seats: str, ord
 
 
 def _dealt(rows: DataFrame, block: int, shard_words: int, seed: str, most: float) -> DataFrame:
-    """rows, an array of columns `row` with doc_id, source, size and a hash of the text, with source_size, target, taken and shard.
+    """rows, with doc_id, source, size and content (a digest of id and text), and source_size, target, taken and shard.
 
     The seeded order of a shard's documents is the order of its blocks, of which the first are taken.
     """
@@ -90,15 +90,15 @@ def _dealt(rows: DataFrame, block: int, shard_words: int, seed: str, most: float
     quotas = stage(quotas.select(F.col("source").alias("q_source"), "source_size", "target", "source_blocks", n_shards.alias("n_shards")), "quotas")
     # a row per source, as the sources' names are known: small beside any table of documents
     dealt = rows.join(quotas, rows["source"].eqNullSafe(quotas["q_source"])).drop("q_source")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "content"), F.col("n_shards")).cast("int"))
+    dealt = dealt.withColumn("shard", (F.conv(F.substring("content", 1, 15), 16, 10).cast("long") % F.col("n_shards")).cast("int"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
     shards = apportion(stage(shards, "shards"), ["source"], "shard_size", "source_blocks", ["shard"])
     # blocks are whole; the words a shard takes never go beyond `most` passes over it
     shards = shards.select(F.col("source").alias("s_"), F.col("shard").alias("k_"), "shard_size", F.least(F.col("quota") * block, F.floor(F.col("shard_size") * F.lit(float(most)))).cast("long").alias("words"))
     chosen = dealt.join(shards, dealt["source"].eqNullSafe(shards["s_"]) & (dealt["shard"] == shards["k_"]))
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
-    drawn = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    order = Window.partitionBy("source", "shard").orderBy(drawn, "doc_id", "size", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), F.col("content")))
+    order = Window.partitionBy("source", "shard").orderBy(drawn, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.sum("size").over(order) - F.col("size")
     rest = F.col("words") - passes * F.col("shard_size")
     extra = F.least(F.greatest(rest - before, F.lit(0)), F.col("size"))
@@ -106,9 +106,11 @@ def _dealt(rows: DataFrame, block: int, shard_words: int, seed: str, most: float
 
 
 def _sized(docs: DataFrame) -> list:
-    """doc_id, source, size and content of a row."""
+    """doc_id, source, size and content, a digest of id and text, of a row."""
     text = F.col("text").cast("string")
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size(text).alias("size"), F.xxhash64(text).alias("content")]
+    doc_id = F.col("doc_id").cast("long")
+    content = F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+    return [doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), _size(text).alias("size"), content.alias("content")]
 
 
 def mix(docs: DataFrame, block: int = 16, shard_words: int = 200_000, seed: str = "mix", most: float = 3.0) -> DataFrame:

@@ -55,4 +55,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_decontamination, op4_minhash_dedup, op5_html_extraction, op6_license_scan, op7_pii_surrogates, op8_source_mix, op9_lm_scores, op10_quality_rules)
 }
 #: Where SQL can't express an operator or takes too long on whole tables, tests hold it against brute force.
-SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING, "op4_minhash_dedup": sql.NEAR}
+SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING, "op2_suffix_array_dedup": sql.SUFFIXES, "op4_minhash_dedup": sql.NEAR, "op8_source_mix": sql.MIX}

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from rillgrid.llm import quality, stages
 
 import corpus_pipeline
@@ -63,3 +65,37 @@ def test_empty_table(spark, tmp_path):
 
 def test_stages_call_the_dealt_operators():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "pii", "mixing"]
+
+
+def test_clashing_names_in_every_stage(spark, tmp_path):
+    """Columns that are called as the operators' own ones, keys that are null or shared, and empty texts go through all stages."""
+    sf = f"file://{tmp_path}"
+    rows = write(spark, sf)
+    names = ["_gone", "_size", "_id", "size", "taken", "mix_size", "_pieces", "_wrong", "_found", "found", "content", "row", "shard", "target", "source_size", "_lang", "band", "c1", "anchor", "n", "item_id", "_c", "quota"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(i))
+    extra = [None, 7, 7]
+    more = docs.filter("doc_id IN (6, 7, 8)").withColumn("doc_id", F.element_at(F.array(*[F.lit(x).cast("long") for x in extra]), (F.col("doc_id") - 5).cast("int")))
+    docs = docs.unionByName(more)
+    columns = docs.columns
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, sf)
+        assert out.columns[: len(columns)] == columns, name
+        if name != "mixing":
+            assert out.columns == columns
+        assert out.count() > 0
+        bare = out.select(*columns).limit(0)
+        assert step(spark, bare, sf).count() == 0
+        docs = out.select(*columns)
+    assert {r["_gone"] for r in docs.collect()} == {0}
+
+
+def test_ties_and_repeats(spark, tmp_path):
+    """Rows that repeat in full: one of them stays, and none of another text is lost with it."""
+    sf = f"file://{tmp_path}"
+    write(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    once = {r.doc_id for r in stages.near_dedup(spark, docs, sf).collect()}
+    twice = [r.doc_id for r in stages.near_dedup(spark, docs.unionByName(docs), sf).collect()]
+    assert sorted(twice) == sorted(once)
