@@ -84,23 +84,23 @@ class FMIndex:
     def __init__(self, symbols: np.ndarray, offs: np.ndarray, owner: np.ndarray, window: int):
         n, self.window = len(offs) - 1, window
         s = np.zeros(len(symbols) + n, np.int64)
-        self.places = np.arange(len(symbols)) + tx.owners(offs)
-        s[self.places] = symbols
+        s[np.arange(len(symbols)) + tx.owners(offs)] = symbols
         order, rank = suffix_ranks(s, window)
         sigma = int(s.max()) + 1 if len(s) else 1
         self.below = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=sigma))])
         self.wavelet = Wavelet(s[order - 1], max(1, int(sigma - 1).bit_length()))
         self.start = self.wavelet.start(np.arange(sigma))
-        which = np.repeat(np.arange(n), np.diff(offs) + 1)
-        self.owner = owner[which[order]]
+        # beside the transform, 12 bytes a symbol: owners by their rank, and the wide intervals
+        self.ids, rank_ = np.unique(owner, return_inverse=True)
+        self.owner = rank_.astype(np.int32)[np.repeat(np.arange(n, dtype=np.int32), np.diff(offs) + 1)[order]]
         # intervals of equal prefixes of window - 1 symbols, to give up a match's last symbol
         h = np.concatenate([tx.rolling(tx.mix(s.astype(np.uint64), 2), window - 1), np.zeros(min(window - 2, len(s)), np.uint64)])[: len(s)]
         # a prefix that the text's end cuts off is a class of its own
         new = np.ones(len(s), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (order[1:] > len(s) - window + 1) | (order[:-1] > len(s) - window + 1)
-        begin = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        self.wide = begin[group], np.append(begin[1:], len(s))[group]
+        begin = np.flatnonzero(new).astype(np.int32)
+        size = np.diff(np.append(begin, len(s)))
+        self.wide = np.repeat(begin, size), np.repeat(begin + size, size).astype(np.int32)
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of the match that has one more symbol on its left."""
@@ -120,7 +120,7 @@ class FMIndex:
             live = order[: np.searchsorted(lengths, -back, "left")]
             a, b = low[live], high[live]
             if grown == self.window:
-                a, b = self.wide[0][a], self.wide[1][a]
+                a, b = self.wide[0][a].astype(np.int64), self.wide[1][a].astype(np.int64)
             else:
                 grown += 1
             a, b = self.step(symbols[offs[live + 1] - 1 - back], a, b)
@@ -152,7 +152,7 @@ def shard(window: int):
             edges = np.stack([span, np.minimum(ends, len(index.owner) - 1)], 1).ravel()
             found = np.minimum.reduceat(index.owner, edges)[::2]
             found = np.where(ends == len(index.owner), np.minimum(found, index.owner[-1]), found)
-            least[offs[live + 1] - 1 - back] = found[which]
+            least[offs[live + 1] - 1 - back] = index.ids[found[which]]
             back += 1
         # back to all segments
         m = np.diff(firsts) - window + 1
