@@ -13,6 +13,12 @@ def parse_groups(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_sort(F.filter(words, lambda g: F.size(g) > 0)))
 
 
+def parse_all_groups(text: Column) -> Column:
+    """As parse_groups, with empty words kept: `[a,]` is a group of two."""
+    found = F.regexp_extract_all(text, F.lit(r"\[([^\[\]]*)\]"), F.lit(1))
+    return F.when(F.size(found) > 0, F.array_sort(F.transform(found, lambda g: F.array_sort(F.transform(F.split(g, ","), lambda w: F.upper(F.trim(w)))))))
+
+
 def same_groups(answer: Column, gold: Column) -> Column:
     return F.coalesce(parse_groups(answer) == parse_groups(gold), F.lit(False))
 

@@ -6,6 +6,7 @@ A scorer is a function of (text, gold) columns.  Where a number is asked for, a
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -362,3 +363,69 @@ def last_user_score(df: DataFrame, conversation: list[str], order: str, role: st
     last = df.filter(F.col(role) == user).groupBy(*conversation).agg(F.max_by(content, order).alias("_c"))
     text = F.when(F.col("_c").startswith("#### "), F.col("_c")).otherwise(F.concat(F.lit("#### "), F.col("_c")))
     return last.select(*conversation, scorer(text).cast("double").alias("score")).withColumn("finished", F.col("score") == 1.0)
+
+
+# verdicts over tables, judges, and small predicates
+
+def checked_generations(generations: DataFrame, raw: DataFrame, text: str, target: str = "target", numbers: str = "numbers", key: str = "index") -> DataFrame:
+    """generations with `correct`, by the raw row of their index: one join in place of a scan for each row."""
+    rows = generations.join(raw.select(key, F.col(target).alias("_target"), F.col(numbers).alias("_numbers")), key, "left")
+    verdict = evaluated_answer(answers.tag_or_line(F.col(text)), F.col("_target"), F.col("_numbers"))
+    return rows.withColumn("correct", F.coalesce(verdict, F.lit(False))).drop("_target", "_numbers")
+
+
+def judged(df: DataFrame, prompt: str, ask: Callable[[str], str], attempts: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """df with `judgement`, a model's answer to each prompt, asked from the executors; null where all attempts failed.
+
+    Pauses double from one attempt to the next.
+    """
+
+    def one(text: str | None) -> str | None:
+        for k in range(attempts if text is not None else 0):
+            try:
+                return ask(text)
+            except Exception:  # noqa: BLE001  whatever a service raises is a failed attempt
+                if k < attempts - 1:
+                    sleep(wait * 2**k)
+        return None
+
+    return df.withColumn("judgement", batched(one, "string")(F.col(prompt)))
+
+
+def whole_text(x: Column) -> Column:
+    """Whether a text is digits alone."""
+    return F.coalesce(x.cast("string").rlike(r"^\d+$"), F.lit(False))
+
+
+def whole_type(kind: str) -> bool:
+    """Whether a column's type is one of whole numbers."""
+    return kind in ("tinyint", "smallint", "int", "bigint")
+
+
+def whole_column(df: DataFrame, column: str) -> Column:
+    """Either: a column of whole numbers, or a text of digits."""
+    return F.col(column).isNotNull() if whole_type(dict(df.dtypes)[column]) else whole_text(F.col(column))
+
+
+def plain(text: Column) -> Column:
+    """Trimmed, lower case, white space as one space."""
+    return F.regexp_replace(F.lower(trimmed(text)), r"\s+", " ")
+
+
+def tight(text: Column) -> Column:
+    """Lower case without any white space."""
+    return F.regexp_replace(F.lower(text), r"\s+", "")
+
+
+def same_trimmed(a: Column, b: Column) -> Column:
+    return trimmed(a) == trimmed(b)
+
+
+def same_lines(output: Column, truth: Column) -> Column:
+    """An array of lines, or one text, against a truth, both trimmed."""
+    return trimmed(F.array_join(output, "\n")) == trimmed(truth)
+
+
+def distinct_numbers(numbers: Column, target: Column) -> Column:
+    """Whether all numbers differ, from one another and from the target."""
+    return (F.size(F.array_distinct(numbers)) == F.size(numbers)) & ~F.array_contains(numbers, target)

@@ -7,9 +7,11 @@ batches.  A length is needed by few of them and is then counted once.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,12 +143,42 @@ class Batch:
     def where(self, condition) -> Batch:
         return self._with(number_rows(self.df.filter(condition).withColumnRenamed(POS, "_old"), "_old").drop("_old"))
 
-    def chunk(self, chunks: int) -> list[Batch]:
-        """Equal parts in order; the length must be a multiple of their number."""
+    def chunk(self, chunks: int, uneven: bool = False) -> list[Batch]:
+        """Equal parts in order; the length must be a multiple of their number, unless they may be uneven.
+
+        Uneven parts have the size rounded up, so that the last one is shorter and there may be fewer of them.
+        """
         n = len(self)
-        if n % chunks:
+        if n % chunks and not uneven:
             raise ValueError(f"{n} rows can't be cut into {chunks} equal parts")
-        return [self.slice(k * (n // chunks), (k + 1) * (n // chunks)) for k in range(chunks)]
+        size = max(1, -(-n // chunks))
+        return [self.slice(a, min(a + size, n)) for a in range(0, n, size)]
+
+    def map_batches(self, size: int, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, columns: list[str] | None = None) -> Batch:
+        """function of each run of `size` rows, with only the columns it needs; rows keep their places."""
+        keep = self.columns if columns is None else columns
+
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(POS)
+            return function(part[keep]).assign(**{POS: part[POS].to_numpy()})
+
+        rows = self.df.select(POS, *keep).withColumn("_b", F.floor(F.col(POS) / size))
+        return self._with(rows.groupBy("_b").applyInPandas(run, f"{schema}, {POS} long"))
+
+    def nested_batches(self, mini: int, micro: int, epochs: int = 1, seed: int | None = None) -> DataFrame:
+        """Rows with epoch, mini-batch and, within that, micro-batch numbers."""
+        if mini % micro:
+            raise ValueError(f"mini-batches of {mini} can't be cut into {micro}")
+        rows = self.batches(mini, epochs, seed, drop_last=True)
+        within = F.row_number().over(Window.partitionBy("epoch", "batch").orderBy(POS)) - 1
+        return rows.withColumn("micro", F.floor(within / micro).cast("long"))
+
+    def balanced(self, length: str, ranks: int) -> Batch:
+        """Rows in the order of ranks, of equal numbers and like token totals; the lengths pass through the driver, a number a row of one batch."""
+        from .partitioning import karmarkar_karp
+
+        lengths = [r[0] for r in self.df.orderBy(POS).select(length).collect()]
+        return self.reorder([i for part in karmarkar_karp(lengths, ranks, True) for i in part])
 
     def split(self, size: int) -> list[Batch]:
         return [self.slice(a, a + size) for a in range(0, len(self), size)]

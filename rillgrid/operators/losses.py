@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batch import first_rows
+from .stored import stored
 
 
 def _mean(x: Column, mask: str) -> Column:
@@ -43,6 +44,36 @@ def top_covariance(df: DataFrame, value: str, mask: str, share: float, key: list
     return first_rows(df.filter(F.col(mask) == 1).select(*key, (-F.col(value)).alias("_v")), max(1, int(n * share)), "_v", *key).select(*key)
 
 
+def covariance_clipped_loss(df: DataFrame, old: str, new: str, advantage: str, mask: str, key: list[str], clip_low: float = 0.2, clip_high: float = 0.2, share: float = 0.0002, low: float = 1.0, high: float = 5.0, seed: object = 0) -> DataFrame:
+    """One row: loss, clip_fraction and kl of the clipped surrogate in which a seeded share of tokens with a covariance in (low, high) counts nothing.
+
+    Tokens that the surrogate clips anyway aren't drawn.
+    """
+    a, m = F.col(advantage), F.col(mask)
+    ratio = F.exp(F.col(new) - F.col(old))
+    rows = covariance(df, advantage, new, mask, "_cov").withColumn("_one", -a * ratio).withColumn("_two", -a * F.least(F.greatest(ratio, F.lit(1 - clip_low)), F.lit(1 + clip_high)))
+    rows = rows.withColumn("_cov", F.when((F.col("_two") > F.col("_one")) & (m > 0), F.lit(float("-inf"))).otherwise(F.col("_cov")))
+    rows = stored(rows, "covariances")
+    rows = clip_by_covariance(rows, "_cov", mask, low, high, share, seed, key)
+    kept = F.when(F.col("clipped"), 0.0).otherwise(1.0)
+    return rows.agg(_mean(F.greatest("_one", "_two") * kept, mask).alias("loss"), _mean(1 - kept, mask).alias("clip_fraction"), _mean(F.col(old) - F.col(new), mask).alias("kl"))
+
+
+def covariance_penalty_loss(df: DataFrame, old: str, new: str, advantage: str, mask: str, key: list[str], share: float = 0.0002, weight: float = 1.0) -> DataFrame:
+    """One row: loss and absolute kl of the plain surrogate, in which the share of tokens with the largest covariance pays weight * |log ratio|.
+
+    Means are over masked tokens without an epsilon, as the covariances are of these alone.
+    """
+    m = F.when(F.col(mask) > 0, 1)
+    means = df.agg(F.avg(F.when(m == 1, F.col(advantage))).alias("_ma"), F.avg(F.when(m == 1, F.col(new))).alias("_ml"))
+    rows = df.join(F.broadcast(means)).withColumn("_cov", (F.col(advantage) - F.col("_ma")) * (F.col(new) - F.col("_ml"))).drop("_ma", "_ml")
+    rows = stored(rows, "covariances")
+    top = top_covariance(rows, "_cov", mask, share, key).withColumn("_pays", F.lit(True))
+    d = F.col(new) - F.col(old)
+    loss = -F.col(advantage) * F.exp(d) + F.when(F.col("_pays"), weight * F.abs(d)).otherwise(0.0)
+    return rows.join(top, key, "left").agg(_mean(loss, mask).alias("loss"), _mean(F.abs(d), mask).alias("kl"))
+
+
 def sppo_loss(df: DataFrame, seq: list[str], old: str, new: str, reward: str, mask: str, eta: float = 1.0) -> DataFrame:
     """Mean of (sum of log ratios - eta * reward) squared over sequences."""
     per = df.groupBy(*seq).agg(F.sum((F.col(new) - F.col(old)) * F.col(mask)).alias("d"), F.max(reward).alias("r"))

@@ -245,3 +245,25 @@ def token_lengths(df: DataFrame, mask: str, order: str) -> tuple[DataFrame, int]
     inner = F.sum("length").over(Window.partitionBy("_part").orderBy("_at")) - F.col("length")
     out = numbered.join(blocks, "_part").withColumn("offset", F.col("_before") + inner).drop("_at", "_part", "_before")
     return out, int(numbered.agg(F.max("length")).first()[0] or 0)
+
+
+def validate(df: DataFrame, samples: int, answer: Callable[[DataFrame], DataFrame], scorer: Callable[[DataFrame], Column], source: str, prompt: str, vote: str | None = None, draws: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(rows with their score, name and value of all validation metrics): each row is answered `samples` times, scored and summed up.
+
+    answer: rows with a `sample` number to the same with a response.  Core metrics are those of the
+    most samples.
+    """
+    rows = df.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    scored = stored(_scored(answer(rows), scorer), "scored")
+    means = mean_std_by_prompt(scored, source, prompt, "score")
+    named = means.select(source, F.explode(F.array(F.struct(F.lit("mean").alias("metric"), F.col("n_max").cast("int").alias("n"), F.col("mean").alias("value")), F.struct(F.lit("std").alias("metric"), F.col("n_max").cast("int").alias("n"), F.col("std").alias("value")))).alias("m")).select(source, "m.*")
+    if samples > 1:
+        boot = bootstrap_by_prompt(scored, source, prompt, "score", vote, draws, order="sample").withColumnRenamed("source", source)
+        parts = [boot.select(source, F.concat("metric", F.lit(f"/{k}")).alias("metric"), "n", F.col(k).alias("value")) for k in ("mean", "std")]
+        named = named.unionByName(parts[0]).unionByName(parts[1])
+    section = metric_section("score", "score", F.col("metric"), F.col("n"), F.lit(samples))
+    return scored, named.select(F.concat(section, F.lit("/"), F.col(source), F.lit("/score/"), F.col("metric"), F.lit("@"), F.col("n").cast("string")).alias("name"), "value")
+
+
+def _scored(rows: DataFrame, scorer: Callable[[DataFrame], Column]) -> DataFrame:
+    return rows.withColumn("score", scorer(rows).cast("double"))

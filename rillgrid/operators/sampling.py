@@ -35,3 +35,23 @@ def upsert(original: DataFrame, updated: DataFrame, key: str) -> DataFrame:
 
 def unprocessed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
+
+
+def first_samples(df: DataFrame, n: int, seed: object, key: list[str]) -> DataFrame:
+    """n rows of a seeded order, the same ones for the same rows: what is shown of a validation."""
+    return df.withColumn("_h", seeded(seed, *key)).orderBy("_h", *key).limit(n).drop("_h")
+
+
+def continued(new: DataFrame, known: DataFrame, order: list[str], index: str = "index") -> DataFrame:
+    """new with indexes that go on after known's largest."""
+    start = known.agg(F.coalesce(F.max(F.col(index).cast("long")) + 1, F.lit(0))).first()[0]
+    return number_rows(new, *order, name=index, start=int(start))
+
+
+def rl_data(train: DataFrame, raw: DataFrame, prompt: Column, reward: Column, metadata: Column, ratio: float, seed: object) -> tuple[DataFrame, DataFrame]:
+    """(train, test) records of the train rows that raw rows of their index stand behind, in a seeded split."""
+    from rillgrid.sources.readers import rl_records
+
+    rows = rl_records(train.join(raw, "index"), prompt, reward, metadata, "index")
+    dealt = split(rows, seed, ["index"], ratio)
+    return dealt.filter("split = 'train'").drop("split"), dealt.filter("split = 'test'").drop("split")

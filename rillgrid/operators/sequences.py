@@ -171,6 +171,18 @@ def collapse_runs(df: DataFrame, seq: list[str], order: str, value: str, of: lis
     return df.withColumn("_b", before).filter(~(F.col(value).isin(of) & F.col(value).eqNullSafe(F.col("_b")))).drop("_b")
 
 
+def mask_tool_turns(df: DataFrame, seq: list[str], order: list[str], is_end: Column, roles: str, mask: str, out: str = "loss_mask", tool: str = "tool") -> DataFrame:
+    """Token rows with the mask, 0 on the tokens of tool turns.
+
+    roles: an array of the response's roles; neighbouring tool turns are one.  A token's turn is the
+    number of ends before it, and what follows the last turn keeps its mask.
+    """
+    merged = F.transform(F.filter(F.transform(roles, lambda r, i: F.struct(r.alias("r"), ((i > 0) & (r == tool) & (F.get(F.col(roles), i - 1) == tool)).alias("same"))), lambda x: ~x["same"]), lambda x: x["r"])
+    before = F.coalesce(F.sum(is_end.cast("int")).over(Window.partitionBy(*seq).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = df.withColumn("_turn", before.cast("int")).withColumn("_merged", merged)
+    return rows.withColumn(out, F.when(F.get("_merged", F.col("_turn")) == tool, 0).otherwise(F.col(mask))).drop("_turn", "_merged")
+
+
 def kl(log_prob: Column, reference: Column, mode: str) -> Column:
     """Penalties on a log-probability's distance from the reference: kl, abs, mse or low_var_kl."""
     d = log_prob - reference

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from rillgrid.functions import scoring
 from rillgrid.operators import advantages, losses, sequences
 from rillgrid.operators.batch import POS, Batch
+from rillgrid.streaming import agents
 
 
 class Registry:
@@ -128,8 +129,11 @@ def prime_advantage(df: DataFrame, estimator: str, **how) -> DataFrame:
 
 
 POLICY_LOSSES.register("vanilla")(sequences.clipped_policy_loss)
-POLICY_LOSSES.register("clip_cov")(losses.clip_by_covariance)
-POLICY_LOSSES.register("kl_cov")(losses.top_covariance)
+POLICY_LOSSES.register("clip_cov")(losses.covariance_clipped_loss)
+POLICY_LOSSES.register("kl_cov")(losses.covariance_penalty_loss)
+LOOPS.register("single_turn_agent")(agents.single_turn)
+LOOPS.register("tool_agent")(agents.tool_loop)
+LOOPS.register("hint_agent")(agents.hint_loop)
 for _name, _manager in (("naive", scoring.naive_manager), ("dapo", scoring.dapo_manager), ("batch", scoring.batch_manager), ("prime", scoring.tolerant_manager)):
     MANAGERS.register(_name)(_manager)
 
@@ -461,10 +465,18 @@ def dealt(dispatch: str = "DP_COMPUTE_PROTO", execute: str = "ALL", blocking: bo
 
 
 class Workers:
-    """Runs the marked methods of a worker's class over batches, a task for each rank."""
+    """Runs the marked methods of a worker's class over batches, a task for each rank; calls without rows run on the driver for one rank or all."""
+
+    def execute_all(self, name: str, *args, **kwargs) -> list:
+        """The method's value on each rank; a list argument as long as the ranks gives each its own item."""
+        own = lambda x, r: x[r] if isinstance(x, list) and len(x) == self.ranks.world else x
+        return [getattr(self._made(), name)(*[own(a, r) for a in args], **{k: own(v, r) for k, v in kwargs.items()}) for r in range(self.ranks.world)]
+
+    def execute_rank_zero(self, name: str, *args, **kwargs):
+        return getattr(self._made(), name)(*args, **kwargs)
 
     def __init__(self, ranks: Ranks, worker: type, *args, **kwargs):
-        self.ranks = ranks
+        self.ranks, self._made = ranks, functools.partial(worker, *args, **kwargs)
         for name in dir(worker):
             method = getattr(worker, name)
             if hasattr(method, "dealt"):
@@ -575,6 +587,32 @@ def interactions_from(config: dict) -> dict[str, Interaction]:
     return out
 
 
+class CompletionCallback(ABC):
+    """What a user has done when a model's answer is there: the messages grow, tools run, and the conversation goes on or ends."""
+
+    def __init__(self, tools: dict[str, Tool]):
+        self.tools = tools
+
+    @abstractmethod
+    def completed(self, messages: list[dict], answer: dict, info: dict) -> bool:
+        """Whether the conversation goes on."""
+
+    def gathered(self, conversations: list[list[dict]]) -> list[dict]:
+        """One record for each conversation: prompt and response messages."""
+        out = []
+        for messages in conversations:
+            at = next((i for i, m in enumerate(messages) if m["role"] == "assistant"), len(messages))
+            out.append({"prompt": messages[:at], "response": messages[at:]})
+        return out
+
+
+class AgentLoop(ABC):
+    """A loop of one's own, run for each row by its registered name."""
+
+    @abstractmethod
+    def run(self, prompt: list[int]) -> dict: ...
+
+
 class ToolParser(ABC):
     """Finds the calls of tools in a model's answer."""
 

@@ -180,6 +180,57 @@ def micro_batch_means(spark, d):
     return metrics.mean_by_name(table(spark, d, "lineitem").select(F.col("l_linestatus").alias("name"), F.col("l_quantity").alias("v")), "name", "v").withColumn("v", r6("v"))
 
 
+@query(f"""WITH t AS (SELECT *, (l_quantity - 25) / 10 AS a FROM ({_MASKED})), x AS (SELECT *, exp(l_tax - l_discount) AS r FROM t), m AS (SELECT avg(a) AS ma, avg(l_tax) AS ml FROM x WHERE m = 1),
+c AS (SELECT x.*, row_number() OVER (ORDER BY CASE WHEN m = 1 THEN 0 ELSE 1 END, (a - ma) * (l_tax - ml) DESC, l_orderkey, {_ORDER}) AS k, (SELECT greatest(1, floor(sum(m) * 0.01)) FROM x) AS n FROM x, m)
+SELECT round(sum((-a * r + CASE WHEN m = 1 AND k <= n THEN 2 * abs(l_tax - l_discount) ELSE 0 END) * m) / (sum(m) + 1e-8), 6) AS loss, round(sum(abs(l_tax - l_discount) * m) / (sum(m) + 1e-8), 6) AS kl FROM c""")
+def covariance_penalty(spark, d):
+    """The hundredth part of all tokens with the largest covariance pays for its distance from the old policy."""
+    t = _masked(spark, d).withColumn("a", (F.col("l_quantity") - 25) / 10)
+    out = losses.covariance_penalty_loss(t, "l_discount", "l_tax", "a", "m", ["l_orderkey", *_TOK], 0.01, 2.0)
+    return out.select(r6("loss").alias("loss"), r6("kl").alias("kl"))
+
+
+@query(f"""WITH t AS (SELECT *, (l_quantity - 25) / 10 AS a FROM ({_MASKED})), x AS (SELECT *, -a * exp(l_tax - l_discount) AS f, -a * least(greatest(exp(l_tax - l_discount), 0.98), 1.02) AS s FROM t),
+m AS (SELECT sum(a * m) / (sum(m) + 1e-8) AS ma, sum(l_tax * m) / (sum(m) + 1e-8) AS ml, sum(m) AS n FROM x),
+c AS (SELECT x.*, n, m = 1 AND NOT s > f AND (a - ma) * (l_tax - ml) > 0.01 AND (a - ma) * (l_tax - ml) < 0.02 AS band FROM x, m), b AS (SELECT least(count(*) FILTER (WHERE band), greatest(1, floor(max(n) * 0.001))) AS k FROM c)
+SELECT round(k / ((SELECT n FROM m) + 1e-8), 6) AS clip_fraction, round((SELECT sum((l_discount - l_tax) * m) / (sum(m) + 1e-8) FROM x), 6) + 0.0 AS kl FROM b""")
+def covariance_clipping(spark, d):
+    """A thousandth of all tokens, drawn from those in a band of covariance, counts nothing."""
+    t = _masked(spark, d).withColumn("a", (F.col("l_quantity") - 25) / 10)
+    out = losses.covariance_clipped_loss(t, "l_discount", "l_tax", "a", "m", ["l_orderkey", *_TOK], 0.02, 0.02, 0.001, 0.01, 0.02)
+    return out.select(r6("clip_fraction").alias("clip_fraction"), r6("kl").alias("kl"))
+
+
+@query(f"""WITH n AS ({_NUMBERED}), e AS (SELECT *, coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM n)
+SELECT {_ID}, CASE WHEN turn = 1 THEN 0 ELSE 1 END AS loss_mask FROM e""")
+def tool_turn_masks(spark, d):
+    """Roles assistant, tool, tool, assistant are three turns, of which the second counts nothing."""
+    t = table(spark, d, "lineitem").select("l_orderkey", *_TOK, "l_returnflag").withColumn("roles", F.array(*map(F.lit, ("assistant", "tool", "tool", "assistant")))).withColumn("one", F.lit(1))
+    out = sequences.mask_tool_turns(t, ["l_orderkey"], _TOK, F.col("l_returnflag") == "R", "roles", "one")
+    return out.select("l_orderkey", *_TOK, "loss_mask")
+
+
+@query("""SELECT index, text, p_size % 2 = 0 AS correct FROM (SELECT p_partkey AS index, p_size, 'Answer: ' || p_size || ' + 2' AS text FROM part)""")
+def checked_generations(spark, d):
+    from rillgrid.functions import scoring
+
+    p = table(spark, d, "part")
+    said = p.select(F.col("p_partkey").alias("index"), F.concat(F.lit("Answer: "), "p_size", F.lit(" + 2")).alias("text"))
+    n = F.col("p_size").cast("long")
+    raw = p.select(F.col("p_partkey").alias("index"), (n + 2 + n % 2).alias("target"), F.array(n, F.lit(2).cast("long"), F.lit(9).cast("long")).alias("numbers"))
+    return scoring.checked_generations(said, raw, "text")
+
+
+@query("""WITH r AS (SELECT event_type, user_id, avg(value) AS m, stddev_pop(value) AS s FROM (SELECT user_id, event_type, value + k AS value FROM events, (SELECT unnest([0, 1, 2]) AS k)) GROUP BY ALL)
+SELECT 'val-core/' || event_type || '/score/mean@' || (SELECT max(n) FROM (SELECT count(*) * 3 AS n FROM events e WHERE e.event_type = r.event_type GROUP BY user_id)) AS name, round(avg(m), 6) AS value FROM r GROUP BY event_type""")
+def validated_means(spark, d):
+    """Rows answered three times, scored, and summed up over prompts."""
+    e = table(spark, d, "events").select("event_type", "user_id", "value")
+    _, named = metrics.validate(e, 3, lambda rows: rows, lambda rows: F.col("value") + F.col("sample"), "event_type", "user_id", draws=2)
+    named = named.filter("name LIKE '%/score/mean@%'").withColumn("name", F.regexp_replace("name", "^val-aux", "val-core"))
+    return named.withColumn("value", r6("value"))
+
+
 # how rows are dealt to workers
 
 @query("""WITH n AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation WHERE n_nationkey < 24), r AS (SELECT unnest(range(0, 12)) AS rank), g AS (SELECT rank, rank // 2 % 3 AS data, rank % 2 AS tensor, rank // 6 AS pipe FROM r)

@@ -475,3 +475,79 @@ def test_resampling(spark):
     got = {r.id: r.n for r in advantages.resample(df, "w", ["id"], 3, 600).groupBy("id").agg(F.count("*").alias("n")).collect()}
     total = sum(i % 5 + 1 for i in range(50))
     assert sum(got.values()) == 600 and all(abs(got.get(i, 0) - 600 * (i % 5 + 1) / total) <= 2 for i in range(50))
+
+
+def test_more_of_batches(spark):
+    b = Batch.of(spark.range(7).select("id", (F.col("id") % 4 + 1).alias("n")), "id")
+    assert [[r["id"] for r in p.collect()] for p in b.chunk(3, uneven=True)] == [[0, 1, 2], [3, 4, 5], [6]]
+    assert len(b.chunk(5, uneven=True)) == 4
+    out = b.map_batches(3, lambda d: d.assign(k=d["n"].cumsum()), "n long, k long", ["n"])
+    assert [r["k"] for r in out.collect()] == [1, 3, 6, 4, 5, 7, 3]
+    nested = Batch(b.df.limit(6)).nested_batches(4, 2).collect()
+    assert sorted((r["batch"], r["micro"]) for r in nested) == [(0, 0), (0, 0), (0, 1), (0, 1)]
+    with pytest.raises(ValueError):
+        b.nested_batches(4, 3)
+    even = Batch(b.df.filter("_pos < 6")).balanced("n", 2)
+    ns = [r["n"] for r in even.collect()]
+    assert abs(sum(ns[:3]) - sum(ns[3:])) <= 1
+
+
+def test_more_of_samples(spark):
+    from rillgrid.operators import sampling
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id long, t string")
+    a = sampling.first_samples(df, 5, 42, ["t"]).collect()
+    assert a == sampling.first_samples(df.repartition(3), 5, 42, ["t"]).collect() and len(a) == 5
+    known = spark.createDataFrame([(3,), (7,)], "index long")
+    assert [r["index"] for r in sampling.continued(df.limit(3), known, ["id"]).orderBy("index").collect()] == [8, 9, 10]
+    assert sampling.continued(df.limit(1), known.limit(0), ["id"]).first()["index"] == 0
+    raw = df.select(F.col("id").alias("index"), F.col("t").alias("answer"))
+    train, test = sampling.rl_data(df.select(F.col("id").alias("index"), F.concat(F.lit("System: s\n\nUser: "), "t", F.lit("\n\nAssistant: a")).alias("p")), raw, F.col("p"), F.struct("answer"), F.struct("index"), 0.8, 1)
+    assert (train.count(), test.count()) == (16, 4) and readers.problems(train) == []
+    assert [m.role for m in train.first().prompt] == ["system", "user", "assistant"]
+
+
+def test_small_predicates(spark):
+    got = one(spark, scoring.whole_text(F.lit("12")), scoring.whole_text(F.lit("1.2")), scoring.plain(F.lit("  A  b\n")), scoring.tight(F.lit("A b\n")), scoring.same_trimmed(F.lit(" a"), F.lit("a ")), scoring.same_lines(F.lit(["a", "b"]), F.lit("a\nb\n")), scoring.distinct_numbers(F.lit([1, 2]), F.lit(2)), scoring.case_status(F.struct(F.lit("Success").alias("status"), F.lit(None).cast("string").alias("compile_status"), F.lit("Finished").alias("run_status"), F.lit(0).alias("return_code"), F.lit("7\n").alias("stdout")), F.lit("7")))
+    assert tuple(got) == (True, False, "a b", "ab", True, True, False, 1)
+    df = spark.createDataFrame([(1, "2", 0.5)], "a long, b string, c double")
+    assert tuple(df.select(*[scoring.whole_column(df, c) for c in "abc"]).first()) == (True, True, False)
+    assert notation.same_latex("x+1", "1+x") and not notation.same_latex("ab" * 100, "ab" * 100)
+    from rillgrid.functions import groups
+
+    assert one(spark, groups.parse_all_groups(F.lit("[a,], [B]")))[0] == [["", "A"], ["B"]]
+
+
+def test_judges(spark):
+    calls = {"n": 0}
+
+    def ask(text):
+        if text == "bad":
+            raise ConnectionError
+        return f"\\boxed{{{text}}}"
+
+    rows = spark.createDataFrame([("True",), ("bad",), (None,), ("False",)], "p string")
+    out = scoring.judged(rows, "p", ask, 2, 0.0).select("p", scoring.boxed_true(F.col("judgement")).alias("s"), scoring.rule_or_judge(F.lit(0.5), scoring.boxed_true(F.col("judgement")), F.lit("train")).alias("r")).collect()
+    assert [(r.s, r.r) for r in out] == [(1.0, 1.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)] and calls["n"] == 0
+
+
+def test_calls_without_rows():
+    class Adder:
+        def __init__(self, by):
+            self.by = by
+
+        def add(self, x, y=0):
+            return x + self.by + y
+
+    w = extensions.Workers(extensions.Ranks(3), Adder, 10)
+    assert w.execute_all("add", [1, 2, 3], y=5) == [16, 17, 18] and w.execute_all("add", 1) == [11] * 3 and w.execute_rank_zero("add", 2) == 12
+
+    class Callback(extensions.CompletionCallback):
+        def completed(self, messages, answer, info):
+            return False
+
+    got = Callback({}).gathered([[{"role": "user"}, {"role": "assistant"}, {"role": "tool"}], [{"role": "user"}]])
+    assert [(len(r["prompt"]), len(r["response"])) for r in got] == [(1, 2), (1, 0)]
+    assert extensions.LOOPS.get("tool_agent") is agents.tool_loop
+    with pytest.raises(ValueError):
+        extensions.LOOPS.get("none")
