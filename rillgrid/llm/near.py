@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .tables import bounded_batches, partitions, stage, texts
+from .tables import bounded_batches, fewer, partitions, stage, text_bytes, texts
 
 U64 = np.uint64
 
@@ -193,19 +193,20 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reached by links), kept."""
     bounded_batches(docs.sparkSession)
     docs = texts(docs)
-    seen = stage(_outline(docs, k, bands, rows), "signatures")
+    size = text_bytes(docs)
+    seen = stage(fewer(_outline(docs, k, bands, rows), size), "signatures")
     classes = seen.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")).filter("members > 1")
     later = stage(seen.filter("n_shingles > 0").select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "classes")
     alone = seen.filter("n_shingles > 0").join(later, "doc_id", "left_anti").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     buckets = alone.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    met = stage(alone.join(buckets, "band").drop("members"), "buckets")
+    met = stage(fewer(alone.join(buckets, "band").drop("members"), size), "buckets")
 
     def reaches(both, size_a, size_b):
         return both * 100 >= (size_a + size_b - both) * percent
 
     # what stands in no other of these documents can't be shared, which bounds a document's similarity with any
     # the texts of these documents are dealt once, and read again from here
-    docs = stage(docs.join(met.select("doc_id").distinct(), "doc_id"), "candidates")
+    docs = stage(fewer(docs.join(met.select("doc_id").distinct(), "doc_id"), size), "candidates")
     n = partitions(docs, 16)
     own = own_shingles(docs, k)
     at = met.join(own, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")

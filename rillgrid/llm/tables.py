@@ -54,6 +54,15 @@ def partitions(df: DataFrame, mb: float, size: int | None = None) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-(text_bytes(df) if size is None else size) // int(mb * 1e6)))
 
 
+def fewer(df: DataFrame, size: int, mb: float = 128) -> DataFrame:
+    """df in at most so many tasks that each gets about mb megabytes of `size` bytes, or two for each core if that is more.
+
+    For tables that are written: small inputs then don't make a file for each of many small tasks,
+    and no shuffle is added.  Large inputs keep the tasks that they have.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // int(mb * 1e6))))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 4) -> None:
     """Rows and bytes of text in one Arrow batch; the defaults, 10,000 rows of any length, hold too much with long documents.
 

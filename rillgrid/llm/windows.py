@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .tables import bounded_batches, partitions, stage, texts
+from .tables import bounded_batches, fewer, partitions, stage, text_bytes, texts
 
 U64 = np.uint64
 _MASK = U64(0xFFFFFFFFFF000000)
@@ -266,8 +266,9 @@ def find(docs: DataFrame, units: Units, window: int, gram: int, across: bool, sh
     """
     bounded_batches(docs.sparkSession)
     docs = texts(docs)
-    n = partitions(docs, 32)
-    seen = stage(outline(docs, units, window, gram), "outline")
+    size = text_bytes(docs)
+    n = partitions(docs, 32, size)
+    seen = stage(fewer(outline(docs, units, window, gram), size), "outline")
     # a text shorter than a window loses nothing, however often it stands
     classes = seen.filter(F.col("n_units") >= window).groupBy("c1", "c2").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("members")).filter("members > 1")
     marked = seen.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"])
@@ -282,7 +283,7 @@ def find(docs: DataFrame, units: Units, window: int, gram: int, across: bool, sh
     segments = dealt.join(look.hint("shuffle_hash"), "doc_id").mapInArrow(_segments(units, window, gram, hot), "shard long, doc_id long, firsts array<int>, seg binary, salted boolean")
     limit = int(shard_mb * 1e6)
     sorted_ = segments.repartition(n, "shard").sortWithinPartitions("shard")
-    reports = stage(sorted_.mapInArrow(lambda b: slabs_of_keys(b, shard, limit), REPORT), "reports")
+    reports = stage(fewer(sorted_.mapInArrow(lambda b: slabs_of_keys(b, shard, limit), REPORT), size), "reports")
     found = reports.filter("f1 is null").select("doc_id", "first", "last").unionByName(merge(reports.filter("f1 is not null")))
     found = found.groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     twins = marked.filter("later") if across else marked
