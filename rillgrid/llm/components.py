@@ -11,8 +11,8 @@ from .tables import stage
 def _star(edges: DataFrame, small: bool, tasks: int) -> DataFrame:
     """One star step on edges (u, v), u > v: neighbours are linked to the smallest of the neighbourhood.
 
-    Minima are summed before they are shuffled, and meet their edges again by a join, so that a
-    node of very many links isn't gathered anywhere.
+    Minima are taken before they are shuffled and meet their edges again by a join, a row for each
+    node; the edges of a node of very many links are no group there, and adaptive execution splits them.
     """
     if small:  # of each node, smaller neighbours only
         around = edges.select(F.col("u").alias("node"), F.col("v").alias("other"))

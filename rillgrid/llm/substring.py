@@ -169,9 +169,15 @@ def shard(window: int):
 
 
 def merge(rows: DataFrame) -> DataFrame:
-    """Windows that were first in their shard of a hot anchor, but aren't first among its shards."""
-    first = rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("smallest"))
-    return rows.join(first, ["f1", "f2"]).filter("doc_id > smallest").select("doc_id", "first", "last")
+    """Windows that were first in their shard of a hot anchor, but aren't first among its shards.
+
+    A document's places of one window are one row meanwhile, so that a periodic text doesn't weigh
+    on the task that its window meets others in: a window comes once from each shard at most.
+    """
+    places = rows.groupBy("doc_id", "f1", "f2").agg(F.collect_list("first").alias("places"))
+    first = places.groupBy("f1", "f2").agg(F.min("doc_id").alias("smallest"))
+    late = places.join(first, ["f1", "f2"]).filter("doc_id > smallest")
+    return late.select("doc_id", F.explode("places").alias("first")).withColumn("last", F.col("first") + 1)
 
 
 def removed_units(part: pa.RecordBatch, firsts: np.ndarray, window: int) -> np.ndarray:
