@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillgrid.functions import answers, groups, maths
-from rillgrid.operators import advantages, joins, losses, metrics, partitioning, retrieval, sampling, sequences
+from rillgrid.operators import advantages, joins, losses, metrics, partitioning, relational, retrieval, sampling, sequences
 from rillgrid.operators.batch import Batch
 from rillgrid.sources import readers
+from rillgrid.streaming import streams
 
 from .queries import FLAGSHIP, QUERIES, SQL, query, r6, table  # noqa: F401  the register is known by this module too
 
@@ -288,14 +289,14 @@ def upsert_merge(spark, d):
 @query("SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def semi_join_kept(spark, d):
     kept = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(kept, "o_custkey", "left_semi").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"))
+    return relational.with_keys(table(spark, d, "orders"), kept, ["o_custkey"]).select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
 @query("SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation, round(c_acctbal, 2) AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey, round(s_acctbal, 2), NULL FROM supplier")
 def union_by_name(spark, d):
     c = table(spark, d, "customer").selectExpr("c_custkey AS key", "c_name AS name", "c_nationkey AS nation", "round(c_acctbal, 2) AS balance", "c_mktsegment AS segment")
     s = table(spark, d, "supplier").selectExpr("round(s_acctbal, 2) AS balance", "s_suppkey AS key", "s_name AS name", "s_nationkey AS nation")
-    return c.unionByName(s, allowMissingColumns=True)
+    return relational.union_all([c, s])
 
 
 def _nation(spark, d) -> Batch:
@@ -359,7 +360,7 @@ def sample_per_group(spark, d):
 @query("SELECT o_orderkey, 'status' AS kind, o_orderstatus AS text FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders")
 def unpivot_preferences(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    return o.unpivot("o_orderkey", ["status", "priority"], "kind", "text")
+    return relational.unpivoted(o, ["o_orderkey"], ["status", "priority"], "kind", "text")
 
 
 @query("""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS key, round(list_inner_product(x, embedding::DOUBLE[]), 5) AS score FROM q, embeddings),
@@ -429,23 +430,28 @@ def balanced_partitions(spark, d):
     return partitioning.balance(docs, "batch", "doc_id", "n_chars", 4)
 
 
+def _timed(spark, d) -> DataFrame:
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _plain_time(df: DataFrame) -> DataFrame:
+    return df.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_tumbling(spark, d):
-    e = table(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return e.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return _plain_time(streams.windowed_totals(_timed(spark, d), "ts", "value", ["event_type"], "1 hour", "1 hour"))
 
 
 @query("SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS start, count(*) AS n, round(sum(value), 4) AS total FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL")
 def events_sliding(spark, d):
-    e = table(spark, d, "events").groupBy(F.window("ts", "1 hour", "30 minutes")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return e.select(F.col("window.start").alias("start"), "n", "total")
+    return _plain_time(streams.windowed_totals(_timed(spark, d), "ts", "value", [], "1 hour", "1 hour", "30 minutes"))
 
 
 @query("""WITH l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM l)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, g""")
 def events_session(spark, d):
-    e = table(spark, d, "events").groupBy(F.session_window("ts", "10 minutes"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return e.select("user_id", F.col("session_window.start").alias("start"), "n")
+    return _plain_time(streams.session_totals(_timed(spark, d), "ts", "value", ["user_id"], "10 minutes", "1 hour")).select("user_id", "start", "n")
 
 
 @query("""WITH p AS (SELECT event_id AS asof_event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
@@ -466,17 +472,18 @@ def range_join(spark, d):
 
 @query("SELECT lang, source, count(*) AS n, cast(sum(n_chars) AS BIGINT) AS chars, cast(grouping(lang) * 2 + grouping(source) AS BIGINT) AS g FROM documents GROUP BY CUBE (lang, source)")
 def cube_counts(spark, d):
-    return table(spark, d, "documents").cube("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.grouping_id().cast("long").alias("g"))
+    return relational.cube(table(spark, d, "documents"), ["lang", "source"], n=F.count(F.lit(1)), chars=F.sum("n_chars"))
 
 
 @query("SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
 def except_keys(spark, d):
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct().join(table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("k")), "k", "left_anti")
+    return relational.distinct_difference(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("k")), ["k"])
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
 def percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(r6(F.percentile("value", 0.5)).alias("median"), r6(F.percentile("value", 0.9)).alias("p90"))
+    out = relational.quantiles(table(spark, d, "events"), ["event_type"], "value", median=0.5, p90=0.9)
+    return out.select("event_type", r6("median").alias("median"), r6("p90").alias("p90"))
 
 
 @query("""SELECT doc_id, md5(CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 150) || '...(truncated)...' || right(text, 150) END) AS digest, cast((length(text) - length(replace(text, 'the', ''))) / 3 AS INT) AS hints FROM documents""")
