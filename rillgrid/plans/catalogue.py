@@ -415,7 +415,8 @@ def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(answers.ascii_normalise(F.col("text"))).alias("digest"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, p_size + (p_partkey % 7 + 1) * 3 AS value, p_size + (p_partkey % 7 + 1) * 3 + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS target FROM part)
+SELECT p_partkey, CASE WHEN value = target THEN 1.0 ELSE 0.1 END::DOUBLE AS score FROM p""")
 def countdown_score(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_size")
     n = F.array(F.col("p_size"), F.col("p_partkey") % 7 + 1, F.lit(3))
