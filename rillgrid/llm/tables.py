@@ -35,8 +35,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rillgrid-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/rillgrid-{uuid.uuid4().hex}-{name}"
+    # no marker file: a table that isn't written whole is never read, as the write raises
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     jvm = spark.sparkContext._jvm
     jvm.System.gc()  # shuffle files of what has been written go with the driver's references to them
     target = jvm.org.apache.hadoop.fs.Path(path)
