@@ -55,7 +55,7 @@ def partitions(df: DataFrame, mb: float, size: int | None = None) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-(text_bytes(df) if size is None else size) // int(mb * 1e6)))
 
 
-def fewer(df: DataFrame, size: int, mb: float = 128) -> DataFrame:
+def fewer(df: DataFrame, size: int, mb: float = 32) -> DataFrame:
     """df in at most so many tasks that each gets about mb megabytes of `size` bytes, or two for each core if that is more.
 
     For tables that are written: small inputs then don't make a file for each of many small tasks,

@@ -269,10 +269,14 @@ def find(docs: DataFrame, units: Units, window: int, gram: int, across: bool, sh
     size = text_bytes(docs)
     n = partitions(docs, 32, size)
     seen = stage(fewer(outline(docs, units, window, gram), size), "outline")
-    # a text shorter than a window loses nothing, however often it stands
-    classes = seen.filter(F.col("n_units") >= window).groupBy("c1", "c2").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("members")).filter("members > 1")
-    marked = seen.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"])
-    marked = stage(marked.select("doc_id", (F.col("doc_id") != F.col("smallest")).alias("later")), "classes")
+    # a text shorter than a window loses nothing, however often it stands.  A class's other documents are those
+    # that are not its smallest: met by doc_id, so that a class of very many copies is no group anywhere.
+    long = seen.filter(F.col("n_units") >= window).select("doc_id", "c1", "c2")
+    smallest = long.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"))
+    marked = long.join(smallest.select("doc_id", "c1", "c2"), ["doc_id", "c1", "c2"], "left_anti").select("doc_id", F.lit(True).alias("later"))
+    if not across:
+        marked = marked.unionByName(smallest.filter("members > 1").select("doc_id", F.lit(False).alias("later")))
+    marked = stage(marked, "classes")
     first = seen.join(marked.filter("later").select("doc_id"), "doc_id", "left_anti")
     stands = first.select("doc_id", F.explode(F.arrays_zip("anchor", "n")).alias("a")).select("doc_id", "a.anchor", "a.n")
     shared = stands.groupBy("anchor").agg(F.sum("n").alias("times"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
