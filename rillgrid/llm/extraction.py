@@ -44,8 +44,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("aside button canvas footer form head iframe nav noscript object option select svg template textarea title".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 STRUCTURE = frozenset("html body div section article main header footer nav aside form ul ol table h1".split())
-BOILERPLATE = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices popup promo promotion related reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
-PART = frozenset("area bar block box button buttons container content form inner items link links list outer panel posts section site stories text top bottom left right wrap wrapper".split())
+# Of these words in a class, the first kind says boilerplate by itself; the second does unless another word speaks of content.
+PLAIN = frozenset("advert advertisement advertising breadcrumb breadcrumbs comments consent cookie cookies disqus footer masthead navbar navigation newsletter popup promo sidebar sponsored subscribe toolbar".split())
+BOILERPLATE = PLAIN | frozenset("ad ads adv banner comment menu nav notice notices promotion related reply respond share sharing social sponsor widget".split())
+PART = frozenset("area bar block bottom box button buttons container form inline inner item items label left link links list mid outer panel posts reader readers right section site slot stories text top unit user users wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(
@@ -69,11 +71,16 @@ def _names(found: dict[str, str], tag: str) -> list[str]:
     return f"{found.get('class', '')} {found.get('role', '')} {'' if tag in HEADINGS else found.get('id', '')}".lower().split()
 
 
-def _marked(names: list[str], inside: bool) -> bool:
-    """Whether a name says boilerplate: one of its words does, and within an article nothing else in it speaks of content."""
-    for name in names:
+def _marked(found: dict[str, str], tag: str, inside: bool) -> bool:
+    """Whether a name says boilerplate.
+
+    Outside an article any of its words does.  Within one, a plain word in a class or role does, and
+    other such words, or an id, only if nothing else in the name speaks of content.
+    """
+    own = f"{found.get('class', '')} {found.get('role', '')}".lower().split()
+    for name in _names(found, tag):
         words = [w for w in re.split(r"[^a-z]+", name) if w]
-        if not BOILERPLATE.isdisjoint(words) and (not inside or all(w in BOILERPLATE or w in PART for w in words)):
+        if not BOILERPLATE.isdisjoint(words) and (not inside or (name in own and not PLAIN.isdisjoint(words)) or all(w in BOILERPLATE or w in PART for w in words)):
             return True
     return False
 
@@ -110,7 +117,7 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool]]:
             if value in STRUCTURE:
                 path = f"{path}/{value}" + (f".{'.'.join(names).replace('/', '')}" if names else "")
             inside = any(t in ("article", "main") for t, _, _ in stack)
-            gone = dropped or value in DROPPED or (value == "header" and not inside) or bool(found) and (value not in ("html", "body", "article", "main") or inside) and (_marked(names, inside) or "hidden" in found or bool(STYLED.search(found.get("style", ""))))
+            gone = dropped or value in DROPPED or (value == "header" and not inside) or bool(found) and (value not in ("html", "body", "article", "main") or inside) and (_marked(found, value, inside) or "hidden" in found or bool(STYLED.search(found.get("style", ""))))
             yield "open", value, path, gone
             if value in VOID or rest.endswith("/"):
                 yield "close", value, path, gone

@@ -176,10 +176,10 @@ def test_extraction(spark):
 
 def test_extraction_reads_attributes():
     """Words within values, ids and data attributes say nothing; names of boilerplate do."""
-    kept = ['<div title="the hidden cost">KEEP</div>', '<p data-id="related-12">KEEP</p>', '<h2 id="social-policy">KEEP</h2>', '<h2 id="comments">KEEP</h2>', '<p class="ad-hoc">KEEP</p>', "<div style='color:red'>KEEP</div>"]
+    kept = ['<div title="the hidden cost">KEEP</div>', '<p data-id="related-12">KEEP</p>', '<h2 id="social-policy">KEEP</h2>', '<h2 id="comments">KEEP</h2>', '<p class="ad-hoc">KEEP</p>', "<div style='color:red'>KEEP</div>", '<p class="share-price">KEEP</p>', '<div id="cookie-policy">KEEP</div>', '<section class="related-work">KEEP</section>']
     for x in kept:
         assert extraction.extract(f"<body><article>a {x} b</article></body>") == "a KEEP b"
-    for x in ['<div class="ad">no</div>', '<ul class="share-buttons x"><li>no</ul>', "<p hidden>no</p>", "<div style='display: none'>no</div>", '<div id="comments">no</div>', "<aside>no</aside>", "<div role=navigation>no</div>"]:
+    for x in ['<div class="ad">no</div>', '<ul class="share-buttons x"><li>no</ul>', "<p hidden>no</p>", "<div style='display: none'>no</div>", '<div id="comments">no</div>', "<aside>no</aside>", "<div role=navigation>no</div>", '<div class="reader-comments">no</div>', '<div class="cookie-policy">no</div>', '<div class="x top-ad-slot">no</div>', '<div id="social-links">no</div>']:
         assert extraction.extract(f"<body><article>a {x} b</article></body>") == "a b"
 
 
