@@ -49,13 +49,13 @@ def knn(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, digi
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, k: int, k1: float = 0.9, b: float = 0.4, few: int = 20_000) -> DataFrame:
     """query, key, score, rank of each query's k best documents; words are runs of word characters in lower case."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"\W+"), lambda w: w != "")
-    terms = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
-    sized = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("ws")).withColumn("len", F.size("ws"))
+    split = lambda c: F.split(F.lower(c), r"\W+")
+    terms = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(split(F.col("text")))).alias("w")).filter("w <> ''")
+    sized = docs.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).withColumn("len", F.regexp_count("text", F.lit(r"\w+")))
     n, mean = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
     # up to `few` words of the queries are sent to the scan, so that no other word leaves it; more are joined
     wanted = stored(terms.select("w").distinct(), "words")
-    tokens = sized.select("key", "len", F.explode("ws").alias("w"))
+    tokens = sized.select("key", "len", F.explode(F.split("text", r"\W+")).alias("w"))
     tokens = tokens.join(F.broadcast(wanted) if wanted.count() <= few else wanted, "w", "left_semi")
     tf = stored(tokens.groupBy("w", "key", "len").agg(F.count(F.lit(1)).alias("tf")), "frequencies")
     df = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
