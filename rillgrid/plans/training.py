@@ -20,11 +20,11 @@ _ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
 @query(f"""WITH n AS ({_NUMBERED}), m AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS m, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY t) AS z FROM n),
 r AS (SELECT a.l_orderkey, a.t, a.m, a.l_linenumber, a.l_partkey, a.l_suppkey, a.l_shipdate, sum(b.l_discount * power(0.9, b.t - a.t)) AS r FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND b.t >= a.t AND a.z = b.z GROUP BY ALL),
 s AS (SELECT avg(r) AS mean, var_samp(r) AS v FROM r WHERE m = 1)
-SELECT {_ID}, round(r, 6) AS return_, round((r - mean) / sqrt(v + 1e-8) * m, 4) + 0.0 AS advantage FROM r, s""")
+SELECT {_ID}, round(r, 9) AS return_, round((r - mean) / sqrt(v + 1e-8) * m, 4) + 0.0 AS advantage FROM r, s""")
 def discounted_with_reset(spark, d):
     """What comes after a masked token counts nothing before it; advantages are whitened over the mask."""
     out = sequences.discounted_advantage(_masked(spark, d), ["l_orderkey"], _TOK, "l_discount", "m", 0.9)
-    return out.select("l_orderkey", *_TOK, r6("return_").alias("return_"), (F.round("advantage", 4) + F.lit(0.0)).alias("advantage"))
+    return out.select("l_orderkey", *_TOK, F.round("return_", 9).alias("return_"), (F.round("advantage", 4) + F.lit(0.0)).alias("advantage"))
 
 
 @query(f"""WITH n AS ({_NUMBERED}), x AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS m, l_discount + 0.99 * coalesce(lead(l_tax) OVER (PARTITION BY l_orderkey ORDER BY t), 0) - l_tax AS delta FROM n),
