@@ -102,7 +102,8 @@ def process_rewards(df: DataFrame, seq: list[str], order: list[str], q: str, bet
         x = q * beta
         ends = offs[1:][np.diff(offs) > 0] - 1
         if lam and use:
-            total = np.add.reduceat(x, offs[:-1][np.diff(offs) > 0]) if len(x) else x
+            # added one by one from each sequence's start, as SQL's sum does: another order ends in other last digits
+            total = np.bincount(np.repeat(np.arange(len(offs) - 1), np.diff(offs)), x, len(offs) - 1)[np.diff(offs) > 0]
             x[ends] = outcome[ends] - (total - x[ends])
         r = backward(x, offs, lam) if lam else x
         y = np.zeros(len(r)) if granularity == "whole" else r.copy()

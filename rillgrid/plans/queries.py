@@ -34,3 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def r6(c: Column | str) -> Column:
     # + 0.0 makes a negative zero positive
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def scaled6(c: Column | str) -> Column:
+    """Six digits as DuckDB rounds a double: its product with 10**6, half away from zero, over 10**6.
+
+    Spark's round takes the shortest decimal instead; they part where the value is within an ulp or so of a tie.
+    """
+    return F.round((F.col(c) if isinstance(c, str) else c) * F.lit(1e6), 0) / F.lit(1e6) + F.lit(0.0)

@@ -45,3 +45,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert catalogue.FLAGSHIP in __spark_entry__.queries()
+
+
+def test_process_rewards_round_as_sql(spark):
+    """Ties at the sixth digit, of which these scores have many, go as in SQL: one thread, as several add floats in an order of their own."""
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{DATA}/lineitem.parquet'")
+    name, key = "process_reward_tokens", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    got = catalogue.QUERIES[name](spark, DATA).toPandas().sort_values(key).score.to_numpy()
+    want = con.execute(catalogue.SQL[name]).fetchdf().sort_values(key).score.to_numpy()
+    assert len(got) == len(want) and abs(got - want).max() < 1e-9
