@@ -475,6 +475,18 @@ def test_language_model(spark):
     assert language_model.score(frame(spark, [])).count() == 0
 
 
+def test_language_model_whatever_the_table_holds(spark):
+    """Words that don't fit the table that tasks get are joined, and those with classes of their own keep them."""
+    rng = random.Random(5)
+    # all words of one level of counts, so that none fits a table of 64
+    rows = [(i, " ".join(rng.sample([f"w{k:02}{'aeiou'[k % 5]}" for k in range(90)], 90))) for i in range(40)]
+    docs = frame(spark, [(*r, "en", "s", 0, *[None] * 6) for r in rows])
+    whole = {r.doc_id: tuple(r) for r in language_model.score(docs).collect()}
+    for table in (0, 64):
+        got = {r.doc_id: tuple(r) for r in language_model.score(docs, table=table).collect()}
+        assert got.keys() == whole.keys() and all(got[i][:5] == r[:5] and got[i][5:] == pytest.approx(r[5:], rel=1e-9) for i, r in whole.items())
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
 def test_language_model_on_other_layouts(spark):
     """One pass beats the counts on texts held out, and scores don't follow the files' layout."""
